@@ -2,11 +2,13 @@
 
 from .language import op8_language
 from .mixing import op7_mixing
+from .neardup import op9_neardup
 from .pii import op2_pii
 
 QUERIES = {
     "op2_pii": op2_pii,
     "op7_mixing": op7_mixing,
     "op8_language": op8_language,
+    "op9_neardup": op9_neardup,
 }
 ORACLE_SQL: dict[str, str] = {}
