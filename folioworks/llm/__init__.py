@@ -1,14 +1,18 @@
 """Operators for training-data pipelines. Nothing outside this package imports it."""
 
+from .decontaminate import op3_decontaminate
 from .language import op8_language
+from .lines import OP10_SQL, op10_lines
 from .mixing import op7_mixing
 from .neardup import op9_neardup
 from .pii import op2_pii
 
 QUERIES = {
     "op2_pii": op2_pii,
+    "op3_decontaminate": op3_decontaminate,
     "op7_mixing": op7_mixing,
     "op8_language": op8_language,
     "op9_neardup": op9_neardup,
+    "op10_lines": op10_lines,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_lines": OP10_SQL}
