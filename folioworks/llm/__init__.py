@@ -1,6 +1,7 @@
 """Operators for training-data pipelines. Nothing outside this package imports it."""
 
 from .decontaminate import op3_decontaminate
+from .hmm import op1_lm_score
 from .language import op8_language
 from .lines import OP10_SQL, op10_lines
 from .mixing import op7_mixing
@@ -8,6 +9,7 @@ from .neardup import op9_neardup
 from .pii import op2_pii
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op7_mixing": op7_mixing,
