@@ -3,15 +3,19 @@
 from .decontaminate import op3_decontaminate
 from .hmm import op1_lm_score
 from .language import op8_language
+from .licenses import op4_licenses
 from .lines import OP10_SQL, op10_lines
 from .mixing import op7_mixing
 from .neardup import op9_neardup
 from .pii import op2_pii
+from .quality import op5_quality
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
+    "op4_licenses": op4_licenses,
+    "op5_quality": op5_quality,
     "op7_mixing": op7_mixing,
     "op8_language": op8_language,
     "op9_neardup": op9_neardup,

@@ -36,6 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers or short names that may be broadcast; beyond it a join is a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it is no longer than ``rows``. df is written already."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets of n + 1) of a string column, without a copy where there are no nulls."""
     if isinstance(column, pa.ChunkedArray):

@@ -22,17 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import bounded, cut, documents
 
 DEPTH, MIN_TOKENS = 3, 3
-#: Rows of 8 to 16 bytes that may be broadcast; beyond it the join is a shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it is no longer than ``rows``. df is written already."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
 
 def normal(line: Column) -> Column:
     """A line with single spaces between tokens and fields masked."""
