@@ -1,29 +1,64 @@
 """The corpus pipeline: documents in, a mixed training corpus out.
 
-STAGES are (name, function(spark, docs, sf_dir)); run() applies them to ``documents``, each
-stage written and read again by whoever drives them stage by stage.
+STAGES are (name, function(spark, docs, sf_dir)); a driver may write and read each stage's
+result before the next, or run() applies them one after the other. All but the last return
+the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioworks.llm.common import documents
+from folioworks.llm.common import cut, documents
+from folioworks.llm.decontaminate import without_leaks
 from folioworks.llm.language import keep_identified
+from folioworks.llm.lines import without_recurring_lines
+from folioworks.llm.mixing import mix
+from folioworks.llm.neardup import drop_near_duplicates
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language, or with an uncertain one, go."""
     return keep_identified(docs)
 
 
-STAGES = [("language_id", language_id)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring lines go from all documents but their first; documents left without words go."""
+    return without_recurring_lines(docs)
 
-#: No SQL expresses the classifiers and templates; tests hold the stages against brute force.
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, similarity 0.8."""
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents the mix takes, with how often; those it does not take go."""
+    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("of"), "size", "copies", "taken").dropDuplicates(["of"])
+    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("of"))).drop("of")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+#: No SQL expresses the classifier and the signatures; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written once in the shared checkpoint folder."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = cut(stage(spark, docs, sf_dir))
     return docs

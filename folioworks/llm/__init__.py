@@ -1,5 +1,6 @@
 """Operators for training-data pipelines. Nothing outside this package imports it."""
 
+from .audio import op6_fingerprints
 from .decontaminate import op3_decontaminate
 from .hmm import op1_lm_score
 from .language import op8_language
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_licenses": op4_licenses,
     "op5_quality": op5_quality,
+    "op6_fingerprints": op6_fingerprints,
     "op7_mixing": op7_mixing,
     "op8_language": op8_language,
     "op9_neardup": op9_neardup,

@@ -147,7 +147,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """docs whose language was identified with a score of ``least`` or more; the others go."""
     model = train(docs)
     names = docs.columns
