@@ -26,25 +26,39 @@ from .common import bounded, cut, documents
 
 DEPTH, MIN_TOKENS = 3, 3
 
-def normal(line: Column) -> Column:
-    """A line with single spaces between tokens and fields masked."""
-    plain = F.trim(F.regexp_replace(F.translate(line, "\t\r\x0b\x0c", "    "), " {2,}", " "))
-    masked = F.regexp_replace(plain, "[^ ]*(?:[0-9@]|://)[^ ]*", "<*>")
-    return F.when(plain.rlike("[0-9@]|://"), masked).otherwise(plain)
+def plain(line: Column) -> Column:
+    """A line with single spaces between tokens; the pattern only runs where it may match."""
+    odd = line.contains("  ")
+    for c in "\t\r\x0b\x0c":
+        odd = odd | line.contains(c)
+    return F.trim(F.when(odd, F.regexp_replace(line, "[ \\t\\r\\x0b\\x0c]+", " ")).otherwise(line))
 
 
-def tokens(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
+def masked(line: Column) -> Column:
+    """A plain line with its fields masked; possessive from a token's start, so each character is read once."""
+    field = "(?<![^ ])(?:[^ 0-9@:]|:(?!//))*+(?:[0-9@]|://)[^ ]*"
+    return F.when(line.rlike("[0-9@]|://"), F.regexp_replace(line, field, "<*>")).otherwise(line)
+
+
+def normal(text: Column) -> Column:
+    """The lines of a text, normalised. Steps are transforms of their own: each is evaluated once a line."""
+    return F.transform(F.transform(F.split(text, "\n"), plain), masked)
 
 
 def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, line, n, lh, leaf) of all lines that may have a template."""
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.explode(F.split(F.col(text), "\n")).alias("raw"))
-    rows = rows.select("doc", normal(F.col("raw")).alias("line")).where("line <> ''").withColumn("n", tokens(F.col("line"))).where(F.col("n") >= MIN_TOKENS)
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.explode(F.transform(normal(F.col(text)), counted)).alias("l"))
+    rows = rows.where(F.col("l.n") >= MIN_TOKENS).select("doc", "l.line", "l.n")
     leaf = F.xxhash64("n", F.substring_index("line", " ", DEPTH))
     return rows.select("doc", "line", "n", F.xxhash64("line").alias("lh"), leaf.alias("leaf"))
 
 
+def counted(line: Column) -> Column:
+    """(line, n): n tokens, 0 for an empty line."""
+    n = F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1)
+    return F.struct(line.alias("line"), n.alias("n"))
+
+
 def recurring(docs: DataFrame, min_docs: int, constant: float, key: str, text: str) -> DataFrame:
     """(lh, first): hashes of the lines whose template recurs, with the document that keeps it."""
     rows = line_rows(docs, key, text)
@@ -72,10 +86,14 @@ def drop_lines(docs: DataFrame, min_docs: int = 2, constant: float = 0.7, key: s
     hits = line_rows(docs, key, text).select("doc", "lh").join(bounded(gone), "lh").where("doc <> first")
     hits = cut(hits.groupBy("doc").agg(F.collect_set("lh").alias("gone")))
     out = docs.join(hits, F.col(key) == F.col("doc"), "left")
-    kept = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col("gone"), F.xxhash64(normal(x))) | (tokens(normal(x)) < MIN_TOKENS) | (normal(x) == ""))
-    out = out.withColumn("was", F.coalesce(F.size(F.split(F.col(text), "\n")), F.lit(0)))
-    out = out.withColumn("left", F.when(F.col("gone").isNotNull(), F.array_join(kept, "\n"))).withColumn("now", F.when(F.col("gone").isNotNull(), F.size(kept)).otherwise(F.col("was")))
-    out = out.withColumns({text: F.coalesce("left", text), "n_lines": F.col("was").cast("long"), "n_dropped": (F.col("was") - F.col("now")).cast("long")})
+    hashed = F.zip_with(F.split(F.col(text), "\n"), F.transform(normal(F.col(text)), lambda x: F.xxhash64(x)), lambda x, h: F.struct(x.alias("x"), h.alias("h")))
+    kept = F.transform(F.filter(hashed, lambda s: ~F.array_contains(F.col("gone"), s["h"])), lambda s: s["x"])
+    count = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"))) + 1
+    was = F.coalesce(count(F.col(text)), F.lit(0))
+    # an explode of one struct keeps the lines from being filtered once for each use
+    out = out.withColumn("s", F.explode(F.array(F.when(F.col("gone").isNotNull(), kept))))
+    now = F.when(F.col("gone").isNotNull(), F.size("s")).otherwise(was)
+    out = out.withColumns({"n_lines": was.cast("long"), "n_dropped": (was - now).cast("long"), text: F.when(F.col("gone").isNotNull(), F.array_join("s", "\n")).otherwise(F.col(text))})
     return out.select(*dict.fromkeys([*docs.columns, "n_lines", "n_dropped"]))
 
 
