@@ -2,13 +2,14 @@
 
 * ``words``/``word_spans``: the word rule of the whole subpackage,
   ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, on UTF-8 bytes.
-* ``cut``: cuts lineage through ``checkpoint()`` in ``spark.checkpoint.dir``.
+* ``cut``: cuts lineage through tables written in ``spark.checkpoint.dir``.
 * ``components``: connected components as DataFrame rounds.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +25,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written once in the cluster's shared checkpoint folder and read from there.
+    """df, written once as Parquet in the cluster's shared checkpoint folder and read from there.
 
-    The folder is ``spark.checkpoint.dir``; a folder of our own is set only
-    where the session names none (tests on one machine).
+    Unlike checkpoint(), whose result keeps the constraints and statistics of the plan before
+    it, the result is a plain table, so plans of many rounds stay small. The folder is
+    ``spark.checkpoint.dir``; a folder of our own is set only where the session names none
+    (tests on one machine). Tables are deleted when the application ends.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioworks-"))
-    return df.checkpoint(eager=True)
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = tempfile.mkdtemp(prefix="folioworks-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base}/folioworks/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Rows of a few numbers or short names that may be broadcast; beyond it a join is a shuffle.
