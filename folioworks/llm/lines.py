@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, documents
+from .common import BROADCAST_ROWS, bounded, cut, documents
 
 DEPTH, MIN_TOKENS = 3, 3
 
@@ -59,17 +59,17 @@ def counted(line: Column) -> Column:
     return F.struct(line.alias("line"), n.alias("n"))
 
 
-def recurring(docs: DataFrame, min_docs: int, constant: float, key: str, text: str) -> DataFrame:
-    """(lh, first): hashes of the lines whose template recurs, with the document that keeps it."""
-    rows = line_rows(docs, key, text)
+def recurring(docs: DataFrame, lines: DataFrame, min_docs: int, constant: float, key: str, text: str) -> DataFrame:
+    """(lh, first): hashes of the lines whose template recurs, with the document that keeps it. lines: (doc, lh, leaf)."""
     # one row for each line and document, then one for each line
-    once = rows.groupBy("lh", "doc").agg(F.first("leaf").alias("leaf"))
+    once = lines.groupBy("lh", "doc").agg(F.first("leaf").alias("leaf"))
     distinct = cut(once.groupBy("lh").agg(F.first("leaf").alias("leaf"), F.count("*").alias("docs"), F.min("doc").alias("first")))
     exact = distinct.where(F.col("docs") >= min_docs).select("lh", "first")
     shared = cut(distinct.groupBy("leaf").agg(F.count("*").alias("c")).where("c > 1").select("leaf"))
     several = cut(distinct.join(bounded(shared), "leaf").select("lh", F.col("first").alias("doc"), "docs"))
-    # the tokens of one line of each text, where its leaf holds several
-    lines = rows.join(bounded(several), ["lh", "doc"]).select("lh", "leaf", "n", "doc", "docs", F.posexplode(F.split("line", " ")).alias("p", "token"))
+    # the tokens of one line of each text, where its leaf holds several; other documents are not read further
+    some = docs.join(bounded(cut(several.select(F.col("doc").alias("some")).distinct())), F.col(key) == F.col("some"), "left_semi")
+    lines = line_rows(some, key, text).join(bounded(several), ["lh", "doc"]).select("lh", "leaf", "n", "doc", "docs", F.posexplode(F.split("line", " ")).alias("p", "token"))
     lines = lines.select("lh", "leaf", "n", "doc", "docs", F.xxhash64("leaf", "p", "token").alias("at"), "p").dropDuplicates(["lh", "p"])
     lines = cut(lines)
     fixed = lines.groupBy("at").agg(F.sum("docs").alias("d")).where(F.col("d") >= min_docs).select("at")
@@ -82,10 +82,12 @@ def recurring(docs: DataFrame, min_docs: int, constant: float, key: str, text: s
 
 def drop_lines(docs: DataFrame, min_docs: int = 2, constant: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with their text without recurring lines, and n_lines and n_dropped."""
-    gone = recurring(docs, min_docs, constant, key, text)
-    hits = line_rows(docs, key, text).select("doc", "lh").join(bounded(gone), "lh").where("doc <> first")
-    hits = cut(hits.groupBy("doc").agg(F.collect_set("lh").alias("gone")))
-    out = docs.join(hits, F.col(key) == F.col("doc"), "left")
+    lines = cut(line_rows(docs, key, text).select("doc", "lh", "leaf"))
+    gone = recurring(docs, lines, min_docs, constant, key, text)
+    hits = cut(lines.join(bounded(gone), "lh").where("doc <> first").select("doc", "lh").distinct())
+    few = hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hits = hits.groupBy("doc").agg(F.collect_set("lh").alias("gone"))
+    out = docs.join(F.broadcast(hits) if few else hits, F.col(key) == F.col("doc"), "left")
     hashed = F.zip_with(F.split(F.col(text), "\n"), F.transform(normal(F.col(text)), lambda x: F.xxhash64(x)), lambda x, h: F.struct(x.alias("x"), h.alias("h")))
     kept = F.transform(F.filter(hashed, lambda s: ~F.array_contains(F.col("gone"), s["h"])), lambda s: s["x"])
     count = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"))) + 1
