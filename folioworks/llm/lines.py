@@ -19,7 +19,7 @@ table; other columns stay as they are; texts of any length are read as a whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, bounded, cut, documents
@@ -60,20 +60,22 @@ def counted(line: Column) -> Column:
 
 
 def recurring(docs: DataFrame, lines: DataFrame, min_docs: int, constant: float, key: str, text: str) -> DataFrame:
-    """(lh, first): hashes of the lines whose template recurs, with the document that keeps it. lines: (doc, lh, leaf)."""
+    """(lh, first): hashes of the lines whose template recurs, with the document that keeps it. lines: (doc, lh, leaf, n)."""
     # one row for each line and document, then one for each line
-    once = lines.groupBy("lh", "doc").agg(F.first("leaf").alias("leaf"))
-    distinct = cut(once.groupBy("lh").agg(F.first("leaf").alias("leaf"), F.count("*").alias("docs"), F.min("doc").alias("first")))
+    once = lines.groupBy("lh", "doc").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"))
+    distinct = cut(once.groupBy("lh").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.count("*").alias("docs"), F.min("doc").alias("first")))
     exact = distinct.where(F.col("docs") >= min_docs).select("lh", "first")
     shared = cut(distinct.groupBy("leaf").agg(F.count("*").alias("c")).where("c > 1").select("leaf"))
-    several = cut(distinct.join(bounded(shared), "leaf").select("lh", F.col("first").alias("doc"), "docs"))
+    several = cut(distinct.join(bounded(shared), "leaf").select("lh", "leaf", "n", F.col("first").alias("doc"), "docs"))
     # the tokens of one line of each text, where its leaf holds several; other documents are not read further
     some = docs.join(bounded(cut(several.select(F.col("doc").alias("some")).distinct())), F.col(key) == F.col("some"), "left_semi")
-    lines = line_rows(some, key, text).join(bounded(several), ["lh", "doc"]).select("lh", "leaf", "n", "doc", "docs", F.posexplode(F.split("line", " ")).alias("p", "token"))
-    lines = lines.select("lh", "leaf", "n", "doc", "docs", F.xxhash64("leaf", "p", "token").alias("at"), "p").dropDuplicates(["lh", "p"])
-    lines = cut(lines)
-    fixed = lines.groupBy("at").agg(F.sum("docs").alias("d")).where(F.col("d") >= min_docs).select("at")
-    template = lines.join(fixed, "at").groupBy("lh").agg(F.count("*").alias("k"), F.bit_xor("at").alias("x"), F.first("n").alias("n"), F.first("leaf").alias("leaf"), F.first("docs").alias("docs"), F.first("doc").alias("first"))
+    at = F.transform(F.split("line", " "), lambda t, p: F.xxhash64("leaf", p, t))
+    tokens = line_rows(some, key, text).join(bounded(several.select("lh", "doc", "docs")), ["lh", "doc"]).select("lh", "docs", F.explode(at).alias("at"))
+    # dealt once by place and token: repeats go, constants stay
+    tokens = tokens.repartition("at").groupBy("at", "lh").agg(F.first("docs").alias("docs"))
+    constants = tokens.withColumn("d", F.sum("docs").over(Window.partitionBy("at"))).where(F.col("d") >= min_docs)
+    template = constants.groupBy("lh").agg(F.count("*").alias("k"), F.bit_xor("at").alias("x"))
+    template = template.join(several.select("lh", "leaf", "n", F.col("doc").alias("first"), "docs"), "lh")
     template = cut(template.where((F.col("k") >= MIN_TOKENS) & (F.col("k") >= constant * F.col("n"))))
     of = template.groupBy("leaf", "k", "x").agg(F.sum("docs").alias("d"), F.min("first").alias("keeper")).where(F.col("d") >= min_docs)
     general = template.join(of, ["leaf", "k", "x"]).select("lh", F.col("keeper").alias("first"))
@@ -82,7 +84,7 @@ def recurring(docs: DataFrame, lines: DataFrame, min_docs: int, constant: float,
 
 def drop_lines(docs: DataFrame, min_docs: int = 2, constant: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with their text without recurring lines, and n_lines and n_dropped."""
-    lines = cut(line_rows(docs, key, text).select("doc", "lh", "leaf"))
+    lines = cut(line_rows(docs, key, text).select("doc", "lh", "leaf", "n"))
     gone = recurring(docs, lines, min_docs, constant, key, text)
     hits = cut(lines.join(bounded(gone), "lh").where("doc <> first").select("doc", "lh").distinct())
     few = hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
