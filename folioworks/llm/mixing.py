@@ -1,6 +1,7 @@
 """Operator 7: mixing sources to target weights by hash-threshold histograms.
 
-DataFrame functions only. Every document has a hash of its key. Tokens are summed by
+DataFrame functions only. Tables of one row for each source are broadcast up to a checked
+number of rows, so a hot source's documents stay where they are. Every document has a hash of its key. Tokens are summed by
 source and hash bucket; in each source the bucket where the running sum crosses the
 budget is found, and only that bucket is summed again in finer buckets. What lies below
 the threshold is taken, so no source is sorted and nothing but sums is shuffled.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, documents
+from .common import SPACE, bounded, cut, documents
 
 BITS, LEVELS, ROUNDS = 12, 3, 3
 
@@ -64,13 +65,13 @@ def threshold(sized: DataFrame, budgets: DataFrame, near: Column, level_one: Dat
     remains before it. Sources whose rows all fit have no row. ``near`` chooses rows of sized
     joined to the budgets.
     """
-    edge = budgets.select(F.col("source").alias("s"), "left", F.lit(0).cast("long").alias("edge"), F.col("left").alias("budget"))
+    edge = cut(budgets.select(F.col("source").alias("s"), "left", F.lit(0).cast("long").alias("edge"), F.col("left").alias("budget")))
     for level in range(LEVELS):
         if level_one is not None and level == 0:
             hist = level_one.withColumnRenamed("source", "t")
         else:
             within = F.lit(True) if level == 0 else prefix(level - 1) == F.col("edge")
-            rows = sized.join(edge, F.col("source").eqNullSafe(F.col("s")) & within).where(near)
+            rows = sized.join(bounded(edge), F.col("source").eqNullSafe(F.col("s")) & within).where(near)
             hist = rows.groupBy(F.col("source").alias("t"), bucket(level).alias("bucket")).agg(F.sum("size").alias("n"))
         run = Window.partitionBy("t").orderBy("bucket")
         cum = hist.withColumn("upto", F.sum("n").over(run)).withColumn("below", F.col("upto") - F.col("n"))
@@ -99,7 +100,7 @@ def mix(docs: DataFrame, weights: list[int] = [1, 2, 3], share: float = 1.0, mos
         before = [c for c in plan.columns if c.startswith(("left", "limit"))] if r else []
         rows = sized
         if r:
-            state = plan.select(F.col("source").alias("of"), *before)
+            state = bounded(plan.select(F.col("source").alias("of"), *before))
             rows = sized.join(state, F.col("source").eqNullSafe(F.col("of"))).where(free & (F.col("size") <= F.col(f"left{r}"))).select(*sized.columns)
         edge = threshold(rows, budgets, F.lit(True), first if r == 0 else None)
         nearer = F.col("left") * 2 > F.col("edge_n") if r == ROUNDS - 1 else F.lit(False)
@@ -110,7 +111,7 @@ def mix(docs: DataFrame, weights: list[int] = [1, 2, 3], share: float = 1.0, mos
         plan = cut(plan.withColumns({f"limit{r}": F.coalesce(f"limit{r}", all_fit).cast("long"), f"left{r + 1}": F.coalesce(f"left{r + 1}", F.lit(0.0))}))
         took = free & (prefix(LEVELS - 1) < F.col(f"limit{r}")) & (F.col("size") <= F.col(f"left{r}"))
         extra, free = extra + took.cast("long"), free & ~took
-    out = sized.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    out = sized.join(bounded(plan.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")))
     copies = F.least(F.col("whole") + extra, F.lit(int(most)).cast("long")).alias("copies")
     out = out.select(key, "source", "size", "source_size", "target", copies)
     return out.withColumn("taken", F.col("copies") * F.col("size"))
