@@ -224,7 +224,7 @@ def tiny_model() -> files.Model:
 
 
 def charset_text(m: files.Model) -> bytes:
-    rows = [f"{'NULL' if c.text == ' ' else c.text} {c.properties:x} 0,255,0,255 {c.script} 0 0 0 {c.normed if c.normed != ' ' else 'NULL'}" for c in m.charset]
+    rows = [f"{'NULL' if c.text == ' ' else c.text} {c.properties:x} 0,255,0,255 {c.script}" + (f" 0 0 0 {c.normed}" if c.normed != c.text else "") for c in m.charset]
     return "\n".join([str(len(rows)), *rows]).encode() + b"\n"
 
 

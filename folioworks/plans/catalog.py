@@ -209,12 +209,12 @@ def _skew_sql() -> str:
     second = _profile_sql("a.image_id = i.image_id", "fine a").replace("pts", "pts2").replace("bins", "bins2").replace("mass AS", "mass2 AS")
     return f"""{INKED}, {A.SIZES}, coarse AS (SELECT k AS ord, 0.0::DOUBLE - 5.0::DOUBLE + k * 0.1::DOUBLE AS deg FROM range(0, 101) AS r(k)), {first}, {_BEST.format(n=1)},
     fine AS (SELECT image_id, 0 AS ord, deg FROM best1 UNION ALL SELECT image_id, k + 1, deg - 0.1::DOUBLE + k * 0.01::DOUBLE FROM best1, range(0, 21) AS r(k)), {second}, {_BEST.format(n=2)}
-    SELECT s.image_id, round(coalesce(-deg, 0.0), 6) AS degrees FROM sizes s LEFT JOIN best2 USING (image_id)"""
+    SELECT s.image_id, round(coalesce(-deg, 0.0), 6) + 0.0 AS degrees FROM sizes s LEFT JOIN best2 USING (image_id)"""
 
 
 @query("img_skew", _skew_sql())
 def _(s, d):
-    return pixels.skew(inked(s, d)).select("image_id", F.round("degrees", 6).alias("degrees"))
+    return pixels.skew(inked(s, d)).select("image_id", (F.round("degrees", 6) + F.lit(0.0)).alias("degrees"))
 
 
 @query("img_skew_kernel")
