@@ -41,7 +41,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents the mix takes, with how often; those it does not take go."""
     taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("of"), "size", "copies", "taken").dropDuplicates(["of"])
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("of"))).drop("of")
+    rest = docs.drop("size", "copies", "taken", "of")  # what the mix adds replaces columns of these names
+    return rest.join(taken, F.col("doc_id").eqNullSafe(F.col("of"))).drop("of")
 
 
 STAGES = [

@@ -1,13 +1,13 @@
 """Operators for training-data pipelines. Nothing outside this package imports it."""
 
 from .audio import op6_fingerprints
-from .decontaminate import op3_decontaminate
+from .decontaminate import OP3_SQL, op3_decontaminate
 from .hmm import op1_lm_score
 from .language import op8_language
 from .licenses import op4_licenses
 from .lines import OP10_SQL, op10_lines
 from .mixing import op7_mixing
-from .neardup import op9_neardup
+from .neardup import OP9_SQL, op9_neardup
 from .pii import op2_pii
 from .quality import op5_quality
 
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_neardup": op9_neardup,
     "op10_lines": op10_lines,
 }
-ORACLE_SQL: dict[str, str] = {"op10_lines": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op9_neardup": OP9_SQL, "op10_lines": OP10_SQL}

@@ -235,9 +235,22 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overlap: fl
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", F.round("overlap", 6).alias("overlap"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    gone = leaks(docs, items).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = leaks(docs, items).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+#: Shares of shingles without the index: a document's, which is a window's where an item was copied as a whole.
+OP3_SQL = r"""
+WITH t AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+    UNION ALL SELECT 'b', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') FROM benchmark),
+sizes AS (SELECT DISTINCT least(5, len(w)) AS k FROM t WHERE kind = 'b' AND len(w) > 0),
+shingles AS (SELECT DISTINCT kind, id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS g FROM t, sizes WHERE len(w) >= k AND (kind = 'd' OR k = least(5, len(w)))),
+totals AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'b' GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, round(count(*) / any_value(n), 6) AS overlap FROM shingles d JOIN shingles b ON d.kind = 'd' AND b.kind = 'b' AND d.k = b.k AND d.g = b.g JOIN totals ON totals.id = b.id
+GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n)
+"""

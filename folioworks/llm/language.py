@@ -113,8 +113,8 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", per_label: i
     return fit(bits, [r.label for r in got], landmarks)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", sharp: float = 3.0, batch: int = 64) -> DataFrame:
-    """docs with lang_pred and score (softmax of the regressions' outputs, 0 to 1)."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", sharp: float = 3.0, batch: int = 64, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score (softmax of the regressions' outputs, 0 to 1); into renames them."""
     names, matrix = model
     shared = docs.sparkSession.sparkContext.broadcast((names, matrix))
     at = docs.columns.index(text)
@@ -134,9 +134,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                 p /= p.sum(1, keepdims=True)
                 for j, k, v in zip(ok, p.argmax(1), p.max(1)):
                     pred[i + j], score[i + j] = names[k], v
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score)], [*b.schema.names, *into])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -148,8 +148,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
-    """docs whose language was identified with a score of ``least`` or more; the others go."""
+    """docs whose language was identified with a score of ``least`` or more; the others go.
+
+    Without any label to learn from, only texts without letters go.
+    """
     model = train(docs)
-    names = docs.columns
-    out = predict(docs.drop("lang_pred", "score"), model)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*(n for n in names if n in out.columns))
+    if not model[0]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    out = predict(docs, model, into=("_lang_pred", "_score"))
+    return out.where((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).drop("_lang_pred", "_score")

@@ -107,7 +107,8 @@ def scan(files: DataFrame, threshold: float = 0.6, path: str = "path", text: str
     templates = TEMPLATES if templates is None else templates
     terms = np.unique(np.concatenate([hashes_of(t) for _, t in templates]))
     shared = files.sparkSession.sparkContext.broadcast(Templates(templates, *document_frequencies(files, terms, text), threshold))
-    names = [n for n in files.columns if n != text]
+    added = ("own", "own_score", "header", "file_license", "file_score")  # these replace columns of their names
+    names = [n for n in files.columns if n not in (text, *added)]
     rows = files.select(*names, F.col(text).cast("string").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +138,7 @@ def scan(files: DataFrame, threshold: float = 0.6, path: str = "path", text: str
                 cols = [pa.array(pick(own, 1), pa.string()), pa.array(pick(own, 0), pa.float64()), pa.array(pick(own, 2), pa.int64()), pa.array(pick(whole, 1), pa.string()), pa.array(pick(whole, 0), pa.float64())]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*names, "own", "own_score", "header", "file_license", "file_score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
     return rows.mapInArrow(run, f"{schema}, own string, own_score double, header long, file_license string, file_score double")
 
 

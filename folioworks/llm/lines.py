@@ -68,7 +68,7 @@ def recurring(docs: DataFrame, lines: DataFrame, min_docs: int, constant: float,
     shared = cut(distinct.groupBy("leaf").agg(F.count("*").alias("c")).where("c > 1").select("leaf"))
     several = cut(distinct.join(bounded(shared), "leaf").select("lh", "leaf", "n", F.col("first").alias("doc"), "docs"))
     # the tokens of one line of each text, where its leaf holds several; other documents are not read further
-    some = docs.join(bounded(cut(several.select(F.col("doc").alias("some")).distinct())), F.col(key) == F.col("some"), "left_semi")
+    some = docs.join(bounded(cut(several.select(F.col("doc").alias("_of")).distinct())), F.col(key) == F.col("_of"), "left_semi")
     at = F.transform(F.split("line", " "), lambda t, p: F.xxhash64("leaf", p, t))
     tokens = line_rows(some, key, text).join(bounded(several.select("lh", "doc", "docs")), ["lh", "doc"]).select("lh", "docs", F.explode(at).alias("at"))
     # dealt once by place and token: repeats go, constants stay
@@ -83,21 +83,21 @@ def recurring(docs: DataFrame, lines: DataFrame, min_docs: int, constant: float,
 
 
 def drop_lines(docs: DataFrame, min_docs: int = 2, constant: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with their text without recurring lines, and n_lines and n_dropped."""
+    """docs with their text without recurring lines, and n_lines and n_dropped (which replace columns of these names)."""
     lines = cut(line_rows(docs, key, text).select("doc", "lh", "leaf", "n"))
     gone = recurring(docs, lines, min_docs, constant, key, text)
     hits = cut(lines.join(bounded(gone), "lh").where("doc <> first").select("doc", "lh").distinct())
     few = hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = hits.groupBy("doc").agg(F.collect_set("lh").alias("gone"))
-    out = docs.join(F.broadcast(hits) if few else hits, F.col(key) == F.col("doc"), "left")
+    hits = hits.groupBy(F.col("doc").alias("_of")).agg(F.collect_set("lh").alias("_gone"))
+    out = docs.join(F.broadcast(hits) if few else hits, F.col(key) == F.col("_of"), "left")
     hashed = F.zip_with(F.split(F.col(text), "\n"), F.transform(normal(F.col(text)), lambda x: F.xxhash64(x)), lambda x, h: F.struct(x.alias("x"), h.alias("h")))
-    kept = F.transform(F.filter(hashed, lambda s: ~F.array_contains(F.col("gone"), s["h"])), lambda s: s["x"])
+    kept = F.transform(F.filter(hashed, lambda s: ~F.array_contains(F.col("_gone"), s["h"])), lambda s: s["x"])
     count = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"))) + 1
     was = F.coalesce(count(F.col(text)), F.lit(0))
     # an explode of one struct keeps the lines from being filtered once for each use
-    out = out.withColumn("s", F.explode(F.array(F.when(F.col("gone").isNotNull(), kept))))
-    now = F.when(F.col("gone").isNotNull(), F.size("s")).otherwise(was)
-    out = out.withColumns({"n_lines": was.cast("long"), "n_dropped": (was - now).cast("long"), text: F.when(F.col("gone").isNotNull(), F.array_join("s", "\n")).otherwise(F.col(text))})
+    out = out.withColumn("_kept", F.explode(F.array(F.when(F.col("_gone").isNotNull(), kept))))
+    now = F.when(F.col("_gone").isNotNull(), F.size("_kept")).otherwise(was)
+    out = out.withColumns({"n_lines": was.cast("long"), "n_dropped": (was - now).cast("long"), text: F.when(F.col("_gone").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text))})
     return out.select(*dict.fromkeys([*docs.columns, "n_lines", "n_dropped"]))
 
 
@@ -108,12 +108,13 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_recurring_lines(docs: DataFrame) -> DataFrame:
     """docs with shortened texts; those that lose all their words go."""
-    out = drop_lines(docs)
-    out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     names = docs.columns
+    own = {c: f"_own_{c}" for c in ("n_lines", "n_dropped") if c in names}  # a corpus' columns of these names stay
+    out = drop_lines(docs.withColumnsRenamed(own))
+    out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    return out.select(*(F.col(own.get(n, n)).alias(n) for n in names))
 
 
 OP10_SQL = r"""

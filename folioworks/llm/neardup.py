@@ -312,5 +312,19 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, scheme: Scheme = FIVE_WORDS, key: str = "doc_id") -> DataFrame:
     """docs without those that a smaller id stands for."""
-    gone = near_duplicates(docs, scheme, key).where(~F.col("kept")).select(F.col(key).alias("gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("gone"), "left_anti")
+    gone = near_duplicates(docs, scheme, key).where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
+    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM t),
+n AS (SELECT doc_id, len(s) AS n FROM sets),
+g AS (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.other),
+part AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN part USING (doc_id)
+"""
