@@ -93,15 +93,19 @@ def texts(symbols: DataFrame, chars: DataFrame) -> DataFrame:
     return named.groupBy("line_id").agg(joined.alias("text"))
 
 
+def gaps(symbols: DataFrame, space: int) -> DataFrame:
+    """symbols with gap, the number of spaces so far: letters of a word share it."""
+    return symbols.withColumn("gap", F.sum((F.col("code") == space).cast("int")).over(Window.partitionBy("line_id").orderBy("idx")))
+
+
 def words(symbols: DataFrame, space: int) -> DataFrame:
-    """(line_id, word, first, after, space_certainty) of runs between spaces."""
+    """(line_id, gap, word, first, after, space_certainty) of runs between spaces."""
     line = Window.partitionBy("line_id").orderBy("idx")
-    is_space = (F.col("code") == space).cast("int")
-    marked = symbols.withColumn("gap", F.sum(is_space).over(line)).withColumn("c", F.when(F.col("code") == space, F.col("certainty")))
+    marked = gaps(symbols, space).withColumn("c", F.when(F.col("code") == space, F.col("certainty")))
     marked = marked.withColumn("before", F.last("c", True).over(line)).withColumn("beyond", F.first("c", True).over(line.rowsBetween(0, Window.unboundedFollowing)))
     runs = marked.where(F.col("code") != space).groupBy("line_id", "gap").agg(F.min("idx").alias("first"), (F.max("idx") + 1).alias("after"), F.first("before").alias("before"), F.first("beyond").alias("beyond"))
     beside = F.least(F.coalesce("before", F.lit(0.0)), F.coalesce(F.col("beyond"), F.col("before"), F.lit(0.0)))
-    return runs.select("line_id", (F.row_number().over(Window.partitionBy("line_id").orderBy("gap")) - 1).alias("word"), "first", "after", beside.alias("space_certainty"))
+    return runs.select("line_id", "gap", (F.row_number().over(Window.partitionBy("line_id").orderBy("gap")) - 1).alias("word"), "first", "after", beside.alias("space_certainty"))
 
 
 def confidence(c: Column) -> Column:
@@ -121,8 +125,8 @@ def recognize(probs: DataFrame, chars: DataFrame, blank: int, space: int, scale:
     """(line_id, word, text, x0, y0, x1, y1, confidence, line_confidence) by best path."""
     scored = scores(probs, blank)
     found = word_boxes(words(scored, space), boundaries(scored, widths(probs)), scale, box)
-    letters = scored.where(F.col("code") != space).join(F.broadcast(chars), "code").select("line_id", F.col("idx").alias("i"), "text", "certainty")
-    each = found.join(letters, "line_id").where("i >= first and i < after")
+    letters = gaps(scored, space).where(F.col("code") != space).join(F.broadcast(chars), "code")
+    each = found.join(letters.select("line_id", "gap", F.col("idx").alias("i"), "text", "certainty"), ["line_id", "gap"])
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda s: s["text"]), "")
     keys = ["line_id", "word", "x0", "y0", "x1", "y1"]
     out = each.groupBy(*keys).agg(joined.alias("text"), F.least(F.lit(0.0), F.min("certainty"), F.min("space_certainty")).alias("c")).withColumn("confidence", confidence(F.col("c")))

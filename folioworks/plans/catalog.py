@@ -329,7 +329,7 @@ def _(s, d):
             v = pdf["e"].to_numpy(float) * 40
             yield pdf[["line_id", "t", "code"]].assign(tanh=tensor.tanh(v).round(6) + 0.0, logistic=tensor.logistic(v).round(6) + 0.0)
 
-    return rows.mapInPandas(run, "line_id long, t int, code int, tanh double, logistic double")
+    return rows.mapInPandas(run, "line_id int, t int, code int, tanh double, logistic double")
 
 
 QUERIES["nn_logistic"], ORACLE_SQL["nn_logistic"] = QUERIES["nn_tanh"], ORACLE_SQL["nn_tanh"]
@@ -656,7 +656,7 @@ SCALE, BOX = 6.0, (100, 50, 400, 90)
 
 @query("out_split", f"WITH {A.PROBS8}, {A.scored_sql(BLANK8)}, {WORDS} SELECT line_id, word, first::INT AS first, after::INT AS after, round(space_certainty, 6) AS space_certainty FROM found")
 def _(s, d):
-    return decode.words(decode.scores(A.probs8(s, d), BLANK8), SPACE).withColumn("space_certainty", F.round("space_certainty", 6))
+    return decode.words(decode.scores(A.probs8(s, d), BLANK8), SPACE).drop("gap").withColumn("space_certainty", F.round("space_certainty", 6))
 
 
 _BOXED = f"""{BOUNDS}, boxed AS (SELECT f.*, ({BOX[0]} + floor(a.bound * {SCALE}))::INT AS x0, greatest({BOX[0]} + floor(a.bound * {SCALE}) + 1, {BOX[0]} + ceil(b.bound * {SCALE}))::INT AS x1
@@ -743,7 +743,7 @@ for _name, _table in (("src_recoder", "recoder"), ("src_dawg", "dawg_edges"), ("
 
 @query("src_tables", "SELECT i::INT AS i, round(tanh(i / 256), 9) AS tanh, round(1 / (1 + exp(-i / 256)), 9) AS logistic FROM range(0, 4096) AS r(i)")
 def _(s, d):
-    return s.createDataFrame(pd.DataFrame({"i": np.arange(4096, dtype="int32"), "tanh": tensor.TANH.round(9), "logistic": tensor.LOGISTIC.round(9)}))
+    return s.createDataFrame(pd.DataFrame({"i": np.arange(4096, dtype="int32"), "tanh": tensor.TANH.round(9), "logistic": tensor.LOGISTIC.round(9)}), "i int, tanh double, logistic double")
 
 
 @query("src_image", f"{PIX} SELECT image_id, y, x, v FROM pixels")
