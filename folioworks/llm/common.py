@@ -24,6 +24,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Folders of applications that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once as Parquet in the cluster's shared checkpoint folder and read from there.
 
@@ -35,8 +39,10 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        base = tempfile.mkdtemp(prefix="folioworks-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="folioworks-")
+        base = _OWN[app]
     path = f"{base}/folioworks/{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
