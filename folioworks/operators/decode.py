@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,10 +16,16 @@ def first_max(features: Column) -> Column:
     return (F.array_position(features, F.array_max(features)) - 1).cast("int")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: a lambda's variable, where a column would be computed at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(features: Column) -> Column:
     """Differences to the largest, cut at -86, exponentiated and divided by their sum."""
-    e = F.transform(features, lambda v: F.exp(F.greatest(F.lit(-86.0), v.cast("double") - F.array_max(features).cast("double"))))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, x: s + x))
+    powers = lambda x: let(F.array_max(x), lambda m: F.transform(x, lambda v: F.exp(F.greatest(F.lit(-86.0), v - m))))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda s, v: s + v)
+    return let(features.cast("array<double>"), lambda x: let(powers(x), lambda e: let(total(e), lambda t: F.transform(e, lambda v: v / t))))
 
 
 def activation(name: str, v: Column) -> Column:
