@@ -504,14 +504,20 @@ def _(s, d):
     return lexical.spaced(A.charset(s, d))
 
 
+def _looked_up(s, d) -> DataFrame:
+    """Ids from 0: at least 150, all of the charset and one beyond it."""
+    last = A.charset(s, d).agg(F.greatest(F.lit(149), F.coalesce(F.max("id"), F.lit(2)) + 1).alias("last"))
+    return last.select(F.explode(F.sequence(F.lit(0), F.col("last"))).alias("id"))
+
+
 @query("lex_charset", f"WITH {A.CHARSET} SELECT i::INT AS id, coalesce(c.text, '') AS text, coalesce(c.text, '') AS normed FROM range(0, 150) AS r(i) LEFT JOIN charset c ON c.id = i")
 def _(s, d):
-    return lexical.characters(s.range(150).select(F.col("id").cast("int")), A.charset(s, d))
+    return lexical.characters(_looked_up(s, d), A.charset(s, d))
 
 
 @query("lex_encode", f"WITH {A.RECODER} SELECT i::INT AS id, r.code::VARCHAR AS code FROM range(0, 150) AS q(i) LEFT JOIN recoder r ON r.unichar_id = i")
 def _(s, d):
-    return lexical.encode(s.range(150).select(F.col("id").cast("int")), A.recoder(s, d)).select("id", F.array_join(F.col("code").cast("array<string>"), ",").alias("code"))
+    return lexical.encode(_looked_up(s, d), A.recoder(s, d)).select("id", F.array_join(F.col("code").cast("array<string>"), ",").alias("code"))
 
 
 @query("lex_decode", f"WITH {A.RECODER} SELECT code::VARCHAR AS code, max(unichar_id)::INT AS unichar_id FROM recoder GROUP BY code")

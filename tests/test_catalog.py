@@ -93,6 +93,15 @@ def test_decoding_equals_kernel(spark, sf):
     assert all(got[k][:2] == want[k][:2] and abs(got[k][2] - want[k][2]) < 1e-9 for k in want)
 
 
+def test_charset_lookups_hold_all_ids(spark, tmp_path):
+    text = "".join(chr(0x4E00 + i) for i in range(200))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: r.text for r in catalog.QUERIES["lex_charset"](spark, str(tmp_path)).collect()}
+    assert got == {i: text[i - 3] if 3 <= i < 203 else "" for i in range(204)}
+    got = {r.id: r.code for r in catalog.QUERIES["lex_encode"](spark, str(tmp_path)).collect()}
+    assert got == {0: "0", 1: "201", 2: "201", 203: None} | {i: str(i - 2) for i in range(3, 203)}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
