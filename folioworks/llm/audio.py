@@ -3,14 +3,19 @@
 A recording becomes frames of 12 pitch classes. Filters (rectangles of ones against
 rectangles of minus ones over frames and classes) are read off an integral image; each
 gives two bits by its three thresholds in Gray code, 16 filters a packed integer of 32 bits.
-Recordings with an equal integer at some offset are candidates; offset histograms count
-them. Two recordings are aligned at an offset if they overlap in ``min_overlap`` integers or
-more, of whose bits at most ``max_error`` differ.
+Two recordings are aligned at an offset if they overlap in ``min_overlap`` integers or more,
+of whose bits at most ``max_error`` differ.
 
-Equal fingerprints are one class. For each integer, all classes that have it are compared
-with the one of the smallest id; where that leaves parts, few members are compared by a
-join and many in blocks whose kernel keeps a spanning forest. So every aligned pair ends in
-one component, and no pairs of a group are emitted.
+Equal fingerprints are one class. Operator 6 tests every pair of classes at every offset:
+classes are dealt to blocks of ``BLOCK_CODES`` integers, and every pair of blocks is a group
+whose kernel correlates the bits of all its pairs at all offsets, counts the links of each
+class and keeps a spanning forest. So every aligned pair ends in one component, and no pairs
+are emitted. The work grows with the square of the number of classes.
+
+``recordings_aligned`` without ``every`` is the cheaper search by index: pairs with an equal
+integer at their offset are candidates, and noisy copies without one stay apart. For each
+integer, all classes that have it are compared with the one of the smallest id; where that
+leaves parts, few members are compared by a join and many in blocks.
 
 Edge cases: null, empty and too short recordings have no fingerprint and align with nothing;
 nulls and NaN inside count as silence; repeated rows and rows that share an id are one
@@ -37,6 +42,8 @@ RULE = [(SPAN * (j // 4 + 1) // 4, (3 * j) % 9, 3 + j % 3 + (j % 2) * 3, j % 4)
 RULE = [(w, min(y, PITCHES - h), h, k) for w, y, h, k in RULE]
 THRESHOLDS = (-0.15, 0.0, 0.15)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
+#: Integers of a block, and offsets times recordings that a kernel correlates at once.
+BLOCK_CODES, CELLS = 1 << 16, 1 << 14
 
 
 def chroma_of_bins(signal: np.ndarray, frame: int = 24) -> np.ndarray:
@@ -153,17 +160,91 @@ def offset_histogram(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "code").where("a <> b").groupBy("a", "b", (F.col("tb") - F.col("ta")).alias("shift")).agg(F.count("*").alias("votes"))
 
 
-def recordings_aligned(recordings: DataFrame, key: str, samples: str, rate: int | None = None, max_error: float = 0.15, min_overlap: int = 13) -> DataFrame:
-    """(key, n_codes, class_id, links, component_id) of every row.
+def smooth(n: int) -> int:
+    """The least length from n on with no prime factor above 5."""
+    while True:
+        m = n
+        for f in (2, 3, 5):
+            while m % f == 0:
+                m //= f
+        if m == 1:
+            return n
+        n += 1
+
+
+def spectra(codes: list[np.ndarray], size: int) -> np.ndarray:
+    """(frequencies, recordings, 32) of the codes' bits as plus and minus one, zero beyond the end."""
+    x = np.zeros((len(codes), 32, size), np.float32 if size <= 4096 else np.float64)
+    for i, c in enumerate(codes):
+        x[i, :, : len(c)] = 1 - 2 * ((c[None] >> np.arange(32, dtype=np.uint32)[:, None]) & np.uint32(1)).astype(np.int8)
+    return np.fft.rfft(x, axis=2).transpose(2, 0, 1)
+
+
+def inverse(shifts: np.ndarray, size: int) -> np.ndarray:
+    """(offsets, 2 * frequencies): from real and imaginary parts of a product of spectra to the correlation at each offset."""
+    f = np.arange(size // 2 + 1)
+    turn, weight = 2 * np.pi * np.outer(shifts, f) / size, np.where((f == 0) | (2 * f == size), 1, 2) / size
+    return np.hstack([np.cos(turn) * weight, -np.sin(turn) * weight]).astype(np.float32)
+
+
+def correlated(left: list[np.ndarray], right: list[np.ndarray], max_error: float, min_overlap: int) -> np.ndarray:
+    """Which of left and right are aligned at any offset, by correlation of their bits at all of them."""
+    n, m = (np.array([len(c) for c in x]) for x in (left, right))
+    low, high = min_overlap - n.max(), m.max() - min_overlap
+    out = np.zeros((len(n), len(m)), bool)
+    if low > 0 or high < 0:
+        return out
+    size = smooth(int(n.max() + m.max() - min_overlap))
+    overlap = np.arange(min(n.max(), m.max()) + 1)
+    least = np.where(overlap >= min_overlap, 32 * overlap - 2 * np.floor(max_error * 32 * overlap) - 0.5, np.inf)
+    shifts = np.arange(low, high + 1)
+    back = inverse(shifts, size) if size <= 256 else None
+    step = max(1, CELLS // size)
+    for i in range(0, len(n), step):
+        x, own = spectra(left[i : i + step], size).conj(), n[i : i + step]
+        for j in range(0, len(m), step):
+            z, other = x @ spectra(right[j : j + step], size).transpose(0, 2, 1), m[j : j + step]
+            if back is not None:
+                r = (back @ np.concatenate([z.real, z.imag]).reshape(len(z) * 2, -1)).reshape(len(shifts), len(own), len(other))
+            else:
+                r = np.fft.irfft(z, size, axis=0)[shifts % size]
+            a, b = (x[:1] if (x == x[0]).all() else x for x in (own, other))
+            hit = out[i : i + step, j : j + step]
+            for k, shift in enumerate(shifts):
+                hit |= r[k] >= least[np.maximum(0, np.minimum((a + min(0, shift))[:, None], (b - max(0, shift))[None]))]
+    return out
 
-    class_id: smallest id with the same fingerprint; links: classes the class was found
-    aligned with while components were built; component_id: smallest id reachable.
-    """
-    rows = cut(fingerprints(recordings, key, samples, rate).withColumn("own", F.sha2(F.concat_ws(",", F.col("codes").cast("array<string>")), 256)))
-    full = rows.where(F.col("id").isNotNull() & (F.size("codes") > 0))
-    classes = full.groupBy("own").agg(F.min("id").alias("first"))
-    member = cut(full.select("id", "own").distinct().join(classes, "own").select("id", "first"))
-    codes = cut(full.join(classes.withColumnRenamed("own", "o"), (F.col("own") == F.col("o")) & (F.col("id") == F.col("first"))).select("id", "codes").dropDuplicates())
+
+def links_in_block(max_error: float, min_overlap: int):
+    """Kernel of a block pair: tests all its pairs at all offsets; gives the links of each id and a spanning forest."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
+        ids, place = np.unique(pdf["id"].to_numpy(), return_inverse=True)
+        codes = [np.asarray(x, np.int64).astype(np.uint32) for x in pdf["codes"]]
+        order = np.argsort([len(c) for c in codes], kind="stable")
+        sides = [order[(pdf["own"].to_numpy() == side)[order]] for side in (p, q)]
+        # runs of similar length, so that few are padded far
+        runs = [np.split(s, np.flatnonzero(np.diff([len(codes[i]).bit_length() for i in s])) + 1) if len(s) else [] for s in sides]
+        link = np.zeros((len(ids), len(ids)), bool)
+        for k, x in enumerate(runs[0]):
+            for y in runs[1][k if p == q else 0 :]:
+                i, j = np.nonzero(correlated([codes[t] for t in x], [codes[t] for t in y], max_error, min_overlap))
+                link[place[x[i]], place[y[j]]] = True
+        link |= link.T
+        np.fill_diagonal(link, False)
+        forest, out = Forest(len(ids)), []
+        for i in range(len(ids)):
+            near = np.flatnonzero(link[i])
+            out += [(ids[i], ids[j], 0) for j in forest.join(i, near)] if len(near) else []
+        out += [(ids[i], ids[i], c) for i, c in enumerate(link.sum(1)) if c]
+        return pd.DataFrame(out, columns=["a", "b", "links"], dtype="int64")
+
+    return run
+
+
+def indexed_links(codes: DataFrame, max_error: float, min_overlap: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) and (u, links) kept while the pairs with an equal integer at their offset become connected."""
     at = codes.select("id", F.posexplode("codes").alias("t", "code"))
     firsts = at.groupBy("code").agg(F.min(F.struct("id", "t")).alias("f"), F.max("id").alias("last"), F.count("*").alias("members")).where("f.id < last")
     shared = cut(at.join(firsts.drop("last"), "code"))
@@ -181,6 +262,33 @@ def recordings_aligned(recordings: DataFrame, key: str, samples: str, rate: int
     forest = many.groupBy("code", "p", "q").applyInPandas(forest_in_block(max_error, min_overlap), "a long, b long")
     edges = cut(stars.select("a", "b").unionByName(found.select("a", "b")).unionByName(forest).distinct())
     links = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*").distinct().groupBy("u").agg(F.count("*").alias("links"))
+    return edges, links
+
+
+def every_link(codes: DataFrame, max_error: float, min_overlap: int) -> tuple[DataFrame, DataFrame]:
+    """A spanning forest (a, b) of all aligned pairs, and (u, links) with the number of ids each is aligned with."""
+    blocks = max(1, -(-(codes.agg(F.sum(F.size("codes"))).first()[0] or 0) // BLOCK_CODES))
+    pairs = block_pairs(codes.withColumn("blocks", F.lit(blocks)), "blocks").select("p", "q", "id", "own", "codes")
+    found = cut(pairs.groupBy("p", "q").applyInPandas(links_in_block(max_error, min_overlap), "a long, b long, links long"))
+    edges = found.where("a <> b").select("a", "b").distinct()
+    links = found.where("a = b").groupBy(F.col("a").alias("u")).agg(F.sum("links").alias("links"))
+    return edges, links
+
+
+def recordings_aligned(recordings: DataFrame, key: str, samples: str, rate: int | None = None, max_error: float = 0.15, min_overlap: int = 13, every: bool = False) -> DataFrame:
+    """(key, n_codes, class_id, links, component_id) of every row.
+
+    class_id: smallest id with the same fingerprint; component_id: smallest id reachable.
+    With ``every``, all pairs are tested at all offsets and links is the number of classes the
+    class is aligned with. Without, only pairs with an equal integer at the offset are found,
+    and links are those kept while components were built.
+    """
+    rows = cut(fingerprints(recordings, key, samples, rate).withColumn("own", F.sha2(F.concat_ws(",", F.col("codes").cast("array<string>")), 256)))
+    full = rows.where(F.col("id").isNotNull() & (F.size("codes") > 0))
+    classes = full.groupBy("own").agg(F.min("id").alias("first"))
+    member = cut(full.select("id", "own").distinct().join(classes, "own").select("id", "first"))
+    codes = cut(full.join(classes.withColumnRenamed("own", "o"), (F.col("own") == F.col("o")) & (F.col("id") == F.col("first"))).select("id", "codes").dropDuplicates())
+    edges, links = (every_link if every else indexed_links)(codes, max_error, min_overlap)
     label = components(edges.unionByName(member.select(F.col("first").alias("a"), F.col("id").alias("b"))))
     least = member.groupBy("id").agg(F.min("first").alias("class_id"))
     least = least.join(label.withColumnRenamed("id", "l"), F.col("id") == F.col("l"), "left").join(links, F.col("class_id") == F.col("u"), "left")
@@ -191,4 +299,4 @@ def recordings_aligned(recordings: DataFrame, key: str, samples: str, rate: int
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings are the media column here: each vector is a short signal of 64 samples."""
-    return recordings_aligned(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    return recordings_aligned(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", every=True)

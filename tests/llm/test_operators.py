@@ -302,6 +302,38 @@ def test_alignment_by_brute_force(spark):
     assert got == label
 
 
+def test_alignment_of_all_pairs_and_offsets(spark, monkeypatch):
+    """Noise leaves many aligned pairs no equal integer; every one is linked and counted, in one block or several."""
+    rnd = np.random.RandomState(6)
+    base = [rnd.randn(70) * 0.15 for _ in range(12)]
+    rows = [(i, (base[i % 12][i % 5 : i % 5 + 64 - i % 3] + rnd.randn(64 - i % 3) * 0.03).tolist()) for i in range(72)]
+    fp = {i: audio.fingerprint(audio.chroma_of_bins(np.array(x))) for i, x in rows}
+    label, links, unequal = {i: i for i in fp}, collections.Counter(), 0
+    for i in fp:
+        for j in range(i):
+            found = False
+            for shift in range(1 - len(fp[i]), len(fp[j])):
+                x, y = fp[i][max(0, -shift) :], fp[j][max(0, shift) :]
+                n = min(len(x), len(y))
+                found |= n >= 13 and np.bitwise_count(x[:n] ^ y[:n]).sum() <= 0.15 * 32 * n
+            if found:
+                links.update((i, j))
+                unequal += not np.isin(fp[i], fp[j]).any()
+                a, b = sorted((label[i], label[j]))
+                label = {k: a if v == b else v for k, v in label.items()}
+    assert unequal and max(links.values()) > 2
+    for codes in (audio.BLOCK_CODES, 500):
+        monkeypatch.setattr(audio, "BLOCK_CODES", codes)
+        got = audio.recordings_aligned(spark.createDataFrame(rows, "rec long, x array<double>"), "rec", "x", every=True).collect()
+        assert {r.rec: (r.component_id, r.links) for r in got} == {i: (label[i], links[i]) for i in fp}
+    monkeypatch.undo()
+    x = dict(rows)
+    rows = [(1, x[0]), (2, x[12]), (2, x[12]), (3, x[0]), (4, None), (None, x[0])]
+    got = {(r.rec, r.n_codes > 0): (r.class_id, r.component_id) for r in audio.recordings_aligned(spark.createDataFrame(rows, "rec long, x array<double>"), "rec", "x", every=True).collect()}
+    assert got[3, True] == (1, 1) and got[4, False] == (4, 4) and got[None, True] == (None, None)
+    assert audio.recordings_aligned(spark.createDataFrame([], "rec long, x array<double>"), "rec", "x", every=True).count() == 0
+
+
 # -- 7: mixing ---------------------------------------------------------------
 
 
