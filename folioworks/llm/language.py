@@ -7,7 +7,7 @@ vectors. Landmarks drawn from the labelled rows give Nystroem features
 kernel is linear in the presence vector, landmarks, whitening and coefficients multiply out
 to one matrix (places x labels), and batches of texts are scored by one matrix product.
 
-The classifier is fitted on a bounded sample: at most ``per_label`` labelled rows of each
+The classifier is fitted on a bounded sample: at most ``per_label`` distinct texts of each
 label, drawn by hash of the text (parameter, 400), ``landmarks`` of them (40 per label) as
 landmarks. All rows are scored, as whole texts.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import bounded, cut, documents
 
 PLACES_BITS = 15
 PLACES = 1 << PLACES_BITS
@@ -89,12 +89,14 @@ def fit(bits: np.ndarray, labels: list[str], per_label: int, ridge: float = 1e-3
 
 def train(docs: DataFrame, label: str = "lang", text: str = "text", per_label: int = 400, landmarks: int = 40) -> tuple[list[str], np.ndarray]:
     rows = docs.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    # a threshold of the hash per label leaves a few times per_label rows; only those are ranked
-    sizes = rows.groupBy("label").count()
+    # copies count once; a threshold of the hash per label leaves a few times per_label texts; only those are ranked
+    distinct = cut(rows.select("label", "h").distinct())
+    sizes = distinct.groupBy("label").count()
     top = float(2**63)
-    some = rows.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "label").where(F.col("h").cast("double") + top <= 2 * top * (3.0 * per_label + 30) / F.col("count"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))
-    some = some.withColumn("rank", rank).where(F.col("rank") <= per_label).select("label", "rank", "text")
+    some = distinct.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "label").where(F.col("h").cast("double") + top <= 2 * top * (3.0 * per_label + 30) / F.col("count"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    some = cut(some.withColumn("rank", rank).where(F.col("rank") <= per_label).select("label", "h", "rank"))
+    some = rows.join(bounded(some), ["label", "h"]).groupBy("label", "rank").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -410,6 +410,20 @@ def test_language_on_awkward_rows(corpus, nothing):
     assert language.keep_identified(corpus.withColumn("lang", F.lit(None).cast("string"))).where("doc_id = 0").count() == 1
 
 
+def test_language_sample_counts_copies_once(spark, monkeypatch):
+    """A label that is mostly copies of one text still gives per_label distinct texts."""
+    rnd = random.Random(8)
+    text = lambda: " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(6))
+    few = [text() for _ in range(5)]
+    rows = [("copied", t) for t in [text() for _ in range(300)] + [text()] * 6000] + [("few", t) for t in few * 800]
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda bits, labels, n: seen.append((bits, labels)))
+    language.train(spark.createDataFrame(rows, "lang string, text string"), per_label=40)
+    bits, labels = seen[0]
+    assert collections.Counter(labels) == {"copied": 40, "few": 5}
+    assert len(np.unique(bits, axis=0)) == 45
+
+
 # -- 9: near duplicates ------------------------------------------------------
 
 
@@ -522,3 +536,13 @@ def test_lm_on_awkward_rows(corpus, nothing):
     assert all(r.n_tokens == 1 for r in rows if r.doc_id in (23, 24, 25))
     assert hmm.language_model(nothing, held).count() == 0
     assert all(math.isfinite(r.score) for r in hmm.language_model(corpus, F.lit(True), states=2).collect())
+
+
+def test_lm_initial_sample_counts_copies_once(spark, monkeypatch):
+    rnd = random.Random(9)
+    text = lambda: " ".join(rnd.choice(("ba", "lo", "ti", "re", "su", "mon")) for _ in range(12))
+    rows = [(i, t) for i, t in enumerate([text() for _ in range(150)] + [text()] * 3000)]
+    seen, initial = [], hmm.initial
+    monkeypatch.setattr(hmm, "initial", lambda texts, *more: seen.append(texts) or initial(texts, *more))
+    hmm.language_model(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False), states=2, passes=0, init_texts=30, init_rounds=1)
+    assert len(seen[0]) == 30 and len({x.tobytes() for x in seen[0]}) == 30
