@@ -1,7 +1,7 @@
 """Operator 2: personal data by anchor expansion.
 
 An Aho-Corasick automaton finds anchors in one pass over the whole text: at-signs, scheme
-marks, plus signs, digits and identifier cues. From each anchor a deterministic local parser
+marks, plus signs, digits and identifier cues in any mix of upper and lower case. From each anchor a deterministic local parser
 expands to the left and right, and a validator keeps or drops what it found. Kinds, in order:
 
 * ``email``, ``ip``, ``card``, ``phone``: the base kinds; per kind leftmost and not
@@ -44,6 +44,8 @@ _IBAN = re.compile(r"[:=]?\x20?([A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]{4}){2,7}(
 _ADDRESS = re.compile(r"[^\s\"'<>()\[\]{}|\\^`]+")
 _HOST = re.compile(r"(?:[^/?#@]*@)?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]{1,5})?(?:[/?#]|$)")
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
 _AUTOMATON = None
 
 
@@ -56,13 +58,18 @@ def automaton():
         for word, kind in [("@", "@"), ("://", ":"), ("+", "+"), *((d, "0") for d in "0123456789")]:
             a.add_word(word, (kind, len(word)))
         for cue in CUES:
-            for form in {cue, cue.upper(), cue.title(), cue.capitalize()}:
-                a.add_word(form, ("cue", len(form)))
+            a.add_word(cue, ("cue", len(cue)))
         a.make_automaton()
         _AUTOMATON = a
     return _AUTOMATON
 
 
+def folded(text: str) -> str:
+    """text with its letters A to Z in lower case; every place keeps its character's place."""
+    # outside of ASCII only two letters' lower case is longer or falls into ASCII
+    return text.translate(_LOWER) if "\u0130" in text or "\u212a" in text else text.lower()
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -90,7 +97,8 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     base: list[tuple[int, int, int]] = []
     more: list[tuple[int, int, int]] = []
     email = ip = card = phone = 0  # where each kind's last match ended
-    for last, (kind, length) in automaton().iter(text):
+    low = folded(text)
+    for last, (kind, length) in automaton().iter(low):
         at = last - length + 1
         if kind == "0":
             fresh = at == 0 or text[at - 1] not in _DIGITS
@@ -123,7 +131,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                 if _HOST.match(address):
                     more.append((start, 5, last + 1 + len(address)))
         elif not (at and (text[at - 1].isalnum() or text[at - 1] == "_")):
-            cue = text[at : last + 1].lower()
+            cue = low[at : last + 1]
             if cue == "iban" and (m := _IBAN.match(text, last + 1)):
                 if _iban(m.group(1)):
                     more.append((m.start(1), 4, m.end(1)))

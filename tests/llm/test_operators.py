@@ -145,6 +145,15 @@ def test_pii_added_spans():
     assert kinds("account no: 4111 1111 1111 1111")[0][0] == "card" and pii.find(None) == pii.find("") == []
 
 
+def test_pii_cues_in_any_case():
+    kinds = lambda t: [(k, t[s:e]) for k, s, e in pii.find(t)]
+    for cue in ("User ID: ", "Customer ID: ", "Member ID: ", "Tax ID: ", "API key: ", "API_Key=", "apiKey = ", "pAsSwOrD: ", "\u0130\u0130 User ID: ", "\u00c4\u212a User ID: "):
+        assert kinds(f"my {cue}4471234, ok") == [("account", "4471234")], cue
+    assert kinds("to\u212aen: 4471234") == []
+    for c in range(0x110000):
+        assert pii.folded(chr(c)) == (chr(c + 32) if 65 <= c <= 90 else chr(c)) or len(pii.folded(chr(c))) == 1 and not pii.folded(chr(c)).isascii()
+
+
 def test_pii_rows(spark, corpus, nothing):
     docs = table(spark, ["mail a.b@c.de or +1 (974) 555-3436", None])
     got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
