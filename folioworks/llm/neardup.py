@@ -16,8 +16,8 @@
 6. Connected components of the exact links.
 
 ``distance`` is chosen so that a pair at the similarity threshold exceeds it with a
-probability of about 1.5e-5 (z standard deviations, parameter); pairs above the threshold
-less often.
+probability of at most 1.5e-5 (exact binomial tail; ``miss``, parameter); pairs above the
+threshold less often.
 
 Edge cases: null and empty texts have no shingles and no links; fewer words than k are one
 shingle; repeated rows and rows that share an id are one node and get one component; rows
@@ -48,6 +48,11 @@ BLOCK_SHINGLES = 1_000_000
 BROADCAST_IDS = 1_000_000
 
 
+def beyond(n: int, p: float, most: int) -> float:
+    """The probability that more than ``most`` of n values differ, each with probability p."""
+    return math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(most + 1, n + 1))
+
+
 @dataclass(frozen=True)
 class Scheme:
     k: int
@@ -61,12 +66,12 @@ class Scheme:
         return self.distance // self.chunks
 
     @staticmethod
-    def of(k: int, percent: int, width: int, errors: int = 1, z: float = 4.1) -> Scheme:
+    def of(k: int, percent: int, width: int, errors: int = 1, miss: float = 1.5e-5) -> Scheme:
         """The fewest chunks for which the distance that holds pairs at the threshold is covered."""
         differ = (1 - percent / 100) * 255 / 256
         for chunks in range(1, 200):
             n = chunks * width
-            distance = math.ceil(n * differ + z * math.sqrt(n * differ * (1 - differ)) - 0.5)
+            distance = next(d for d in range(n + 1) if beyond(n, differ, d) <= miss)
             if chunks * (errors + 1) > distance:
                 return Scheme(k, percent, chunks, width, distance)
         raise ValueError("no number of chunks holds the distance")

@@ -436,6 +436,13 @@ def test_language_sample_counts_copies_once(spark, monkeypatch):
 # -- 9: near duplicates ------------------------------------------------------
 
 
+def test_signature_distance_holds_pairs_at_the_threshold():
+    for s in (neardup.CONTRACT, neardup.FIVE_WORDS):
+        n, p = s.chunks * s.width, (1 - s.percent / 100) * 255 / 256
+        assert sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(s.distance + 1, n + 1)) <= 1.5e-5
+        assert s.chunks * (s.errors + 1) > s.distance and s.errors == 1
+
+
 def groups(texts, k, percent):
     sets = {d: ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()) for d, w in ((d, words(t)) for d, t in texts)}
     label = {d: d for d in sets}
