@@ -33,12 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
 
     Unlike checkpoint(), whose result keeps the constraints and statistics of the plan before
     it, the result is a plain table, so plans of many rounds stay small. The folder is
-    ``spark.checkpoint.dir``; a folder of our own is set only where the session names none
-    (tests on one machine). Tables are deleted when the application ends.
+    ``spark.checkpoint.dir``. Where the session names none, a folder of our own serves on one
+    machine (local mode); a cluster without a shared folder is an error. Tables are deleted
+    when the application ends.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="folioworks-")
@@ -51,13 +54,30 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a few numbers or short names that may be broadcast; beyond it a join is a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of rows that may be broadcast; beyond it a join is a shuffle. Read at each call, so tests can lower it.
+BROADCAST_BYTES = 24 << 20
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it is no longer than ``rows``. df is written already."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def is_small(df: DataFrame) -> bool:
+    """Whether df's rows, measured whole, are at most BROADCAST_BYTES. df is written already."""
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    row = F.lit(8 * len(df.columns) + 8).cast("long")
+    for w in wide:
+        row = row + w
+    return (df.agg(F.sum(row)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its measured size allows. df is written already, and has no arrays."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """name, lengthened until no table has a column of it (Spark ignores case)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix, utf8, word_hashes
+from .common import bounded, cut, documents, mix, unused, utf8, word_hashes
 
 K1, B = 1.2, 0.75
 BLOCK, SHARD = 8, 2048
@@ -240,8 +240,9 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    gone = leaks(docs, items).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = unused("gone", docs)
+    ids = bounded(cut(leaks(docs, items).select(F.col("doc_id").alias(gone)).distinct()))
+    return docs.join(ids, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 #: Shares of shingles without the index: a document's, which is a window's where an item was copied as a whole.

@@ -72,14 +72,14 @@ def fit(bits: np.ndarray, labels: list[str], per_label: int, ridge: float = 1e-3
     names = sorted(set(labels))
     y = np.array([names.index(x) for x in labels])
     marks = np.concatenate([np.flatnonzero(y == k)[:per_label] for k in range(len(names))])
-    x = bits.astype(np.float32)
-    x /= np.sqrt(x.sum(1, keepdims=True))
-    at = x[marks]
+    unit = lambda rows: rows / np.sqrt(rows.sum(1, keepdims=True, dtype=np.float32))
+    at = unit(bits[marks].astype(np.float32))
     k = (at @ at.T).astype(np.float64)
     value, vector = np.linalg.eigh(k)
     keep = value > 1e-6 * value.max()
     white = (vector[:, keep] / np.sqrt(value[keep])) @ vector[:, keep].T
-    phi = (x @ at.T).astype(np.float64) @ white
+    # a few rows at a time: presence rows are wide
+    phi = np.concatenate([(unit(bits[i : i + 128].astype(np.float32)) @ at.T).astype(np.float64) for i in range(0, len(bits), 128)]) @ white
     goal = np.where(y[:, None] == np.arange(len(names))[None], 1.0, -1.0)
     size = np.bincount(y, minlength=len(names))
     weight = (1.0 / size)[y][:, None]  # labels count alike however many rows they have

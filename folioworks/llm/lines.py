@@ -2,30 +2,36 @@
 
 DataFrame functions only. Lines go down a tree of fixed depth: number of tokens, then the
 first ``DEPTH`` tokens; tokens with a digit, an at-sign or a scheme are the field ``<*>``
-from the start. In a leaf with more than one distinct line, a token is constant at its
-position if lines of ``min_docs`` documents or more have it there, else a field. A line's template is its
-constants at their positions. A template that recurs in ``min_docs`` documents or more is
-dropped from all of them but the one with the smallest id, so that of copies one stays
-whole. Templates need ``MIN_TOKENS`` tokens and constants at ``constant`` of the positions.
-
-Only hashes of lines are shuffled. Tokens are exploded only for one line of each text, in
-leaves with more than one. Sums are map-side; hot leaves are keyed by position and token.
+from the start. The leading tokens are constants of their leaf. In a leaf with more than one
+distinct line, a further token is constant at its place if it is there in ``min_docs``
+documents or more and in ``share`` of the leaf's, else a field; as the share is relative, a
+template keeps its fields however many documents have it. A line's template is its constants
+at their places. A template that recurs in ``min_docs`` documents or more is dropped from
+all of them but the one with the smallest id, so that of copies one stays whole. Templates
+need ``MIN_TOKENS`` tokens and constants at ``constant`` of the places.
+
+Only hashes of lines and tokens are shuffled. Tokens are read only for one line of each text,
+in leaves with more than one. Documents of a place and token are summed map-side and joined
+back, so that a hot leaf's tokens are split like any skewed join; leading tokens, which all
+lines of a leaf share, are never dealt out.
 
 Edge cases: null texts stay null, empty ones empty; lines of fewer tokens are never
 dropped; repeats inside one document are not a recurrence; rows that share an id are one
-document; rows without an id neither count nor lose lines; an empty table gives an empty
-table; other columns stay as they are; texts of any length are read as a whole.
+document; rows without an id neither count nor lose lines; of documents tied for a template
+the smallest id keeps it; an empty table gives an empty table; other columns stay as they
+are, whatever their names; texts of any length are read as a whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded, cut, documents
+from .common import bounded, cut, documents, is_small, unused
 
 DEPTH, MIN_TOKENS = 3, 3
 
+
 def plain(line: Column) -> Column:
     """A line with single spaces between tokens; the pattern only runs where it may match."""
     odd = line.contains("  ")
@@ -59,45 +65,48 @@ def counted(line: Column) -> Column:
     return F.struct(line.alias("line"), n.alias("n"))
 
 
-def recurring(docs: DataFrame, lines: DataFrame, min_docs: int, constant: float, key: str, text: str) -> DataFrame:
+def recurring(docs: DataFrame, lines: DataFrame, min_docs: int, constant: float, share: float, key: str, text: str) -> DataFrame:
     """(lh, first): hashes of the lines whose template recurs, with the document that keeps it. lines: (doc, lh, leaf, n)."""
     # one row for each line and document, then one for each line
     once = lines.groupBy("lh", "doc").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"))
     distinct = cut(once.groupBy("lh").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.count("*").alias("docs"), F.min("doc").alias("first")))
     exact = distinct.where(F.col("docs") >= min_docs).select("lh", "first")
-    shared = cut(distinct.groupBy("leaf").agg(F.count("*").alias("c")).where("c > 1").select("leaf"))
-    several = cut(distinct.join(bounded(shared), "leaf").select("lh", "leaf", "n", F.col("first").alias("doc"), "docs"))
-    # the tokens of one line of each text, where its leaf holds several; other documents are not read further
-    some = docs.join(bounded(cut(several.select(F.col("doc").alias("_of")).distinct())), F.col(key) == F.col("_of"), "left_semi")
-    at = F.transform(F.split("line", " "), lambda t, p: F.xxhash64("leaf", p, t))
-    tokens = line_rows(some, key, text).join(bounded(several.select("lh", "doc", "docs")), ["lh", "doc"]).select("lh", "docs", F.explode(at).alias("at"))
-    # dealt once by place and token: repeats go, constants stay
-    tokens = tokens.repartition("at").groupBy("at", "lh").agg(F.first("docs").alias("docs"))
-    constants = tokens.withColumn("d", F.sum("docs").over(Window.partitionBy("at"))).where(F.col("d") >= min_docs)
-    template = constants.groupBy("lh").agg(F.count("*").alias("k"), F.bit_xor("at").alias("x"))
-    template = template.join(several.select("lh", "leaf", "n", F.col("doc").alias("first"), "docs"), "lh")
+    shared = cut(distinct.groupBy("leaf").agg(F.count("*").alias("c"), F.sum("docs").alias("leaf_docs")).where("c > 1").select("leaf", "leaf_docs"))
+    several = cut(distinct.join(bounded(shared), "leaf").select("lh", "leaf", "n", F.col("first").alias("doc"), "docs", "leaf_docs"))
+    # one line of each text, where its leaf holds several; other documents are not read further
+    of = unused("of", docs)
+    some = docs.join(bounded(cut(several.select(F.col("doc").alias(of)).distinct())), F.col(key) == F.col(of), "left_semi")
+    at = F.slice(F.transform(F.split("line", " "), lambda t, p: F.xxhash64("leaf", p, t)), DEPTH + 1, F.col("n"))
+    found = line_rows(some, key, text).join(bounded(several.select("lh", "doc", "docs", "leaf_docs")), ["lh", "doc"])
+    found = cut(found.select("lh", "docs", "leaf_docs", at.alias("at")).groupBy("lh").agg(F.first("docs").alias("docs"), F.first("leaf_docs").alias("leaf_docs"), F.first("at").alias("at")))
+    tokens = found.select("lh", "docs", "leaf_docs", F.explode("at").alias("at"))
+    fixed = tokens.groupBy("at").agg(F.sum("docs").alias("d"), F.first("leaf_docs").alias("all"))
+    fixed = fixed.where((F.col("d") >= min_docs) & (F.col("d") >= share * F.col("all"))).select("at")
+    constants = tokens.select("lh", "at").join(fixed, "at").groupBy("lh").agg(F.count("*").alias("k"), F.bit_xor("at").alias("x"))
+    template = several.select("lh", "leaf", "n", F.col("doc").alias("first"), "docs").join(constants, "lh", "left")
+    template = template.withColumns({"k": F.coalesce("k", F.lit(0)) + DEPTH, "x": F.coalesce("x", F.lit(0))})
     template = cut(template.where((F.col("k") >= MIN_TOKENS) & (F.col("k") >= constant * F.col("n"))))
-    of = template.groupBy("leaf", "k", "x").agg(F.sum("docs").alias("d"), F.min("first").alias("keeper")).where(F.col("d") >= min_docs)
-    general = template.join(of, ["leaf", "k", "x"]).select("lh", F.col("keeper").alias("first"))
+    kept = template.groupBy("leaf", "k", "x").agg(F.sum("docs").alias("d"), F.min("first").alias("keeper")).where(F.col("d") >= min_docs)
+    general = template.join(kept, ["leaf", "k", "x"]).select("lh", F.col("keeper").alias("first"))
     return cut(exact.unionByName(general).groupBy("lh").agg(F.min("first").alias("first")))
 
 
-def drop_lines(docs: DataFrame, min_docs: int = 2, constant: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, min_docs: int = 2, constant: float = 0.7, share: float = 0.1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with their text without recurring lines, and n_lines and n_dropped (which replace columns of these names)."""
     lines = cut(line_rows(docs, key, text).select("doc", "lh", "leaf", "n"))
-    gone = recurring(docs, lines, min_docs, constant, key, text)
+    gone = recurring(docs, lines, min_docs, constant, share, key, text)
     hits = cut(lines.join(bounded(gone), "lh").where("doc <> first").select("doc", "lh").distinct())
-    few = hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = hits.groupBy(F.col("doc").alias("_of")).agg(F.collect_set("lh").alias("_gone"))
-    out = docs.join(F.broadcast(hits) if few else hits, F.col(key) == F.col("_of"), "left")
+    few, of, lost, left = is_small(hits), unused("of", docs), unused("lost", docs), unused("left", docs)
+    hits = hits.groupBy(F.col("doc").alias(of)).agg(F.collect_set("lh").alias(lost))
+    out = docs.join(F.broadcast(hits) if few else hits, F.col(key) == F.col(of), "left")
     hashed = F.zip_with(F.split(F.col(text), "\n"), F.transform(normal(F.col(text)), lambda x: F.xxhash64(x)), lambda x, h: F.struct(x.alias("x"), h.alias("h")))
-    kept = F.transform(F.filter(hashed, lambda s: ~F.array_contains(F.col("_gone"), s["h"])), lambda s: s["x"])
+    kept = F.transform(F.filter(hashed, lambda s: ~F.array_contains(F.col(lost), s["h"])), lambda s: s["x"])
     count = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"))) + 1
     was = F.coalesce(count(F.col(text)), F.lit(0))
     # an explode of one struct keeps the lines from being filtered once for each use
-    out = out.withColumn("_kept", F.explode(F.array(F.when(F.col("_gone").isNotNull(), kept))))
-    now = F.when(F.col("_gone").isNotNull(), F.size("_kept")).otherwise(was)
-    out = out.withColumns({"n_lines": was.cast("long"), "n_dropped": (was - now).cast("long"), text: F.when(F.col("_gone").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text))})
+    out = out.withColumn(left, F.explode(F.array(F.when(F.col(lost).isNotNull(), kept))))
+    now = F.when(F.col(lost).isNotNull(), F.size(left)).otherwise(was)
+    out = out.withColumns({"n_lines": was.cast("long"), "n_dropped": (was - now).cast("long"), text: F.when(F.col(lost).isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text))})
     return out.select(*dict.fromkeys([*docs.columns, "n_lines", "n_dropped"]))
 
 
@@ -109,7 +118,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_recurring_lines(docs: DataFrame) -> DataFrame:
     """docs with shortened texts; those that lose all their words go."""
     names = docs.columns
-    own = {c: f"_own_{c}" for c in ("n_lines", "n_dropped") if c in names}  # a corpus' columns of these names stay
+    own = {c: unused(f"own_{c}", docs) for c in ("n_lines", "n_dropped") if c in names}  # a corpus' columns of these names stay
     out = drop_lines(docs.withColumnsRenamed(own))
     out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     if "n_chars" in names:
@@ -125,9 +134,9 @@ rows AS (SELECT doc_id, line, string_split(line, ' ') AS tokens, len(string_spli
 few AS (SELECT * FROM rows WHERE n >= 3),
 distinct_lines AS (SELECT line, any_value(tokens) AS tokens, any_value(n) AS n, count(DISTINCT doc_id) AS docs, min(doc_id) AS first,
     any_value(n)::VARCHAR || ' ' || array_to_string(any_value(tokens)[1:3], ' ') AS leaf FROM few GROUP BY line),
-shared AS (SELECT leaf FROM distinct_lines GROUP BY leaf HAVING count(*) > 1),
-exploded AS (SELECT line, leaf, n, docs, first, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS p FROM distinct_lines WHERE leaf IN (SELECT leaf FROM shared)),
-fixed AS (SELECT leaf, p, token FROM exploded GROUP BY ALL HAVING sum(docs) >= 2),
+shared AS (SELECT leaf, sum(docs) AS leaf_docs FROM distinct_lines GROUP BY leaf HAVING count(*) > 1),
+exploded AS (SELECT line, leaf, n, docs, leaf_docs, first, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS p FROM distinct_lines JOIN shared USING (leaf)),
+fixed AS (SELECT leaf, p, token FROM exploded GROUP BY leaf, p, token HAVING sum(docs) >= 2 AND sum(docs) >= 0.1 * any_value(leaf_docs)),
 template AS (SELECT line, leaf, any_value(n) AS n, any_value(docs) AS docs, any_value(first) AS first, count(*) AS k, string_agg(p::VARCHAR || ':' || token, ' ' ORDER BY p) AS x
     FROM exploded JOIN fixed USING (leaf, p, token) GROUP BY line, leaf),
 usable AS (SELECT * FROM template WHERE k >= 3 AND k >= 0.7 * n),

@@ -7,8 +7,11 @@ budget is found, and only that bucket is summed again in finer buckets. What lie
 the threshold is taken, so no source is sorted and nothing but sums is shuffled.
 
 Edge cases: a null text has size 0 and adds nothing; a null source is a source of its own,
-last in order; an empty table gives an empty result; repeated rows have one hash and are
-taken or left together; a document of size 0 has taken 0.
+last in order; an empty table gives an empty result; repeated rows and rows with one id (or
+none) have one hash and are taken or left together, each by its own size; sources tied for a
+level are filled in order of their names; a document of size 0 has taken 0; very long texts
+are counted whole and are taken only if what is left holds them; columns of other names play
+no part, and those named size, copies or taken are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, bounded, cut, documents
+from .common import SPACE, bounded, cut, documents, unused
 
 BITS, LEVELS, ROUNDS = 12, 3, 3
 
@@ -80,8 +83,8 @@ def threshold(sized: DataFrame, budgets: DataFrame, near: Column, level_one: Dat
     return edge.withColumnRenamed("s", "source")
 
 
-def mix(docs: DataFrame, weights: list[int] = [1, 2, 3], share: float = 1.0, most: float = 3.0, key: str = "doc_id") -> DataFrame:  # noqa: B006
-    """docs' (key, source, size, source_size, target, copies, taken).
+def planned(sized: DataFrame, weights: list[int], share: float, most: float) -> tuple[DataFrame, Column]:
+    """One row per source (of, source_size, target, thresholds), and the copies that a row of sized joined to it is taken.
 
     copies is how often a whole document is taken: the target divided by the source's size
     and rounded down, and one more where the hash is below the source's threshold. The
@@ -89,7 +92,6 @@ def mix(docs: DataFrame, weights: list[int] = [1, 2, 3], share: float = 1.0, mos
     is left goes, by a threshold again, to documents that fit it. In the last round the
     boundary bucket is taken where that comes nearer to the target.
     """
-    sized = cut(docs.select(F.col(key), F.col("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.col(key), F.lit("mix")).alias("h")))
     first = cut(sized.groupBy("source", bucket(0).alias("bucket")).agg(F.sum("size").alias("n")))
     plan = targets(first.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -111,9 +113,39 @@ def mix(docs: DataFrame, weights: list[int] = [1, 2, 3], share: float = 1.0, mos
         plan = cut(plan.withColumns({f"limit{r}": F.coalesce(f"limit{r}", all_fit).cast("long"), f"left{r + 1}": F.coalesce(f"left{r + 1}", F.lit(0.0))}))
         took = free & (prefix(LEVELS - 1) < F.col(f"limit{r}")) & (F.col("size") <= F.col(f"left{r}"))
         extra, free = extra + took.cast("long"), free & ~took
-    out = sized.join(bounded(plan.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")))
-    copies = F.least(F.col("whole") + extra, F.lit(int(most)).cast("long")).alias("copies")
-    out = out.select(key, "source", "size", "source_size", "target", copies)
+    return plan.withColumnRenamed("source", "of"), F.least(F.col("whole") + extra, F.lit(int(most)).cast("long"))
+
+
+def sized_rows(docs: DataFrame, key: str) -> tuple[Column, Column]:
+    """(size, h): words of the text, and the hash that decides."""
+    return word_count(F.col("text")), F.xxhash64(F.col(key), F.lit("mix"))
+
+
+def mix(docs: DataFrame, weights: list[int] = [1, 2, 3], share: float = 1.0, most: float = 3.0, key: str = "doc_id") -> DataFrame:  # noqa: B006
+    """docs' (key, source, size, source_size, target, copies, taken)."""
+    size, h = sized_rows(docs, key)
+    sized = cut(docs.select(F.col(key), F.col("source"), size.alias("size"), h.alias("h")))
+    plan, copies = planned(sized, weights, share, most)
+    out = sized.join(bounded(plan), F.col("source").eqNullSafe(F.col("of")))
+    out = out.select(key, "source", "size", "source_size", "target", copies.alias("copies"))
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixture(docs: DataFrame, weights: list[int] = [1, 2, 3], share: float = 1.0, most: float = 3.0, key: str = "doc_id") -> DataFrame:  # noqa: B006
+    """The rows of docs that the mix takes, with size, copies and taken (which replace columns of these names).
+
+    Whole rows are not shuffled: each row's size and hash are computed again beside the
+    thresholds of its source. Rows that share an id are decided each by its own size.
+    """
+    size, h = sized_rows(docs, key)
+    sized = cut(docs.select(F.col("source"), size.alias("size"), h.alias("h")))
+    plan, copies = planned(sized, weights, share, most)
+    names = {c: unused(c, docs) for c in plan.columns}
+    rest = docs.drop("size", "copies", "taken")
+    own = rest.join(bounded(plan.withColumnsRenamed(names)), F.col("source").eqNullSafe(F.col(names["of"])))
+    whole = F.struct(*(F.col(f"`{c}`") for c in rest.columns)).alias("row")
+    own = own.select(whole, size.alias("size"), h.alias("h"), *(F.col(names[c]).alias(c) for c in plan.columns))
+    out = own.select("row.*", "size", copies.alias("copies")).where("copies > 0")
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 

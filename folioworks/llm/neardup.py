@@ -35,18 +35,15 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, documents, mix, shingles, utf8, word_hashes, word_spans
+from .common import bounded, components, cut, documents, mix, shingles, unused, utf8, word_hashes, word_spans
 
 #: Members of a key that a join compares; more go to blocks of BLOCK.
 FEW, BLOCK = 32, 1024
 #: Shingles of a block in the verification.
 BLOCK_SHINGLES = 1_000_000
-#: Ids that may be broadcast; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
 
 def beyond(n: int, p: float, most: int) -> float:
     """The probability that more than ``most`` of n values differ, each with probability p."""
@@ -257,8 +254,7 @@ def links(docs: DataFrame, sigs: DataFrame, groups: DataFrame, scheme: Scheme, k
     of = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
     wanted = cut(groups.join(of, "component").select(F.col("id").alias("want"), F.col("component").alias("g"), "blocks").distinct())
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    small = wanted.count() <= BROADCAST_IDS
-    chosen = rows.join(F.broadcast(wanted) if small else wanted, F.col("id") == F.col("want")).select("id", "g", "blocks", "text")
+    chosen = rows.join(bounded(wanted), F.col("id") == F.col("want")).select("id", "g", "blocks", "text")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,10 +311,24 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-def drop_near_duplicates(docs: DataFrame, scheme: Scheme = FIVE_WORDS, key: str = "doc_id") -> DataFrame:
-    """docs without those that a smaller id stands for."""
-    gone = near_duplicates(docs, scheme, key).where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+def drop_near_duplicates(docs: DataFrame, scheme: Scheme = FIVE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without those that a smaller id stands for; of rows with one id and text one stays.
+
+    Ids to go, and ids that several rows share, are few against the texts: they are broadcast
+    if their measured size allows, so that texts stay where they are.
+    """
+    found = cut(near_duplicates(docs, scheme, key, text).select(F.col(key).alias("id"), "kept"))
+    gone, many, row = unused("gone", docs), unused("many", docs), unused("row", docs)
+    ids = bounded(cut(found.where("not kept").select(F.col("id").alias(gone)).distinct()))
+    left = docs.join(ids, F.col(key) == F.col(gone), "left_anti")
+    twice = cut(found.where("kept and id is not null").groupBy(F.col("id").alias(many)).count().where("count > 1").select(many))
+    if twice.isEmpty():
+        return left
+    twice = bounded(twice)
+    repeated = left.join(twice, F.col(key) == F.col(many), "left_semi")
+    first = Window.partitionBy(key, F.xxhash64(text)).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    repeated = repeated.withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).drop(row)
+    return left.join(twice, F.col(key) == F.col(many), "left_anti").unionByName(repeated)
 
 
 OP9_SQL = r"""
