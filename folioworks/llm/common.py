@@ -13,7 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java-regex form of one white-space byte.
@@ -72,6 +72,14 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
+def integer_id(table: DataFrame, key: str) -> Column:
+    """The id column as long. Ids of other types are refused: number them first."""
+    kind = table.schema[key].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"column {key} is of type {kind}; ids must be integers")
+    return F.col(key).cast("long")
+
+
 def unused(name: str, *tables: DataFrame) -> str:
     """name, lengthened until no table has a column of it (Spark ignores case)."""
     taken = {c.lower() for t in tables for c in t.columns}

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, documents, mix, unused, utf8, word_hashes
+from .common import bounded, cut, documents, integer_id, mix, unused, utf8, word_hashes
 
 K1, B = 1.2, 0.75
 BLOCK, SHARD = 8, 2048
@@ -199,9 +199,9 @@ class Index:
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overlap: float = 0.8, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, bm25, question_overlap, answer_overlap, overlap), one row for each document and item it leaks."""
-    items = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
+    items = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(integer_id(items, item).alias("i"), F.col(item_text).alias("t")).distinct()
     shards = max(1, -(-items.count() // SHARD))
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = docs.where(F.col(key).isNotNull()).select(integer_id(docs, key).alias("id"), F.col(text).cast("string").alias("text"))
     out = None
     for shard in range(shards):
         index = Index([(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == shard).collect()])

@@ -140,11 +140,12 @@ def mixture(docs: DataFrame, weights: list[int] = [1, 2, 3], share: float = 1.0,
     size, h = sized_rows(docs, key)
     sized = cut(docs.select(F.col("source"), size.alias("size"), h.alias("h")))
     plan, copies = planned(sized, weights, share, most)
-    names = {c: unused(c, docs) for c in plan.columns}
-    rest = docs.drop("size", "copies", "taken")
-    own = rest.join(bounded(plan.withColumnsRenamed(names)), F.col("source").eqNullSafe(F.col(names["of"])))
+    # an explode of one struct keeps words from being counted once for each use
+    rest, counted, names = docs.drop("size", "copies", "taken"), unused("counted", docs), {c: unused(c, docs) for c in plan.columns}
+    own = rest.withColumn(counted, F.explode(F.array(F.struct(size.alias("size"), h.alias("h")))))
+    own = own.join(bounded(plan.withColumnsRenamed(names)), F.col("source").eqNullSafe(F.col(names["of"])))
     whole = F.struct(*(F.col(f"`{c}`") for c in rest.columns)).alias("row")
-    own = own.select(whole, size.alias("size"), h.alias("h"), *(F.col(names[c]).alias(c) for c in plan.columns))
+    own = own.select(whole, F.col(f"{counted}.size"), F.col(f"{counted}.h"), *(F.col(names[c]).alias(c) for c in plan.columns))
     out = own.select("row.*", "size", copies.alias("copies")).where("copies > 0")
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 

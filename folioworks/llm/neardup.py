@@ -22,7 +22,8 @@ threshold less often.
 Edge cases: null and empty texts have no shingles and no links; fewer words than k are one
 shingle; repeated rows and rows that share an id are one node and get one component; rows
 with a null id are never linked (component null, kept); ties go to the smallest id; texts of
-any length are read as a whole; empty tables give empty tables; other columns are ignored.
+any length are read as a whole; empty tables give empty tables; other columns are ignored,
+whatever their names; ids that are no integers are refused with a TypeError.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, components, cut, documents, mix, shingles, unused, utf8, word_hashes, word_spans
+from .common import bounded, components, cut, documents, integer_id, mix, shingles, unused, utf8, word_hashes, word_spans
 
 #: Members of a key that a join compares; more go to blocks of BLOCK.
 FEW, BLOCK = 32, 1024
@@ -140,7 +141,7 @@ def signatures(docs: DataFrame, scheme: Scheme, key: str, text: str) -> DataFram
                     ["id", "n", "f1", "f2", "sig", "keys"],
                 )
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(integer_id(docs, key).alias("id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, n long, f1 long, f2 long, sig binary, keys array<long>")
 
 
@@ -253,7 +254,7 @@ def links(docs: DataFrame, sigs: DataFrame, groups: DataFrame, scheme: Scheme, k
     sized = groups.join(sigs.select("id", "n"), "id")
     of = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
     wanted = cut(groups.join(of, "component").select(F.col("id").alias("want"), F.col("component").alias("g"), "blocks").distinct())
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(integer_id(docs, key).alias("id"), F.col(text).cast("string").alias("text"))
     chosen = rows.join(bounded(wanted), F.col("id") == F.col("want")).select("id", "g", "blocks", "text")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
