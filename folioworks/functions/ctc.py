@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import numpy as np
@@ -86,252 +85,230 @@ def word_bounds(bounds: Sequence[int], first: int, after: int, scale: float, box
 
 
 # -- beam search -------------------------------------------------------------
-
-#: What may follow a node: anything; only a repeat of it; no repeat of it.
+#
+# A hypothesis is a row of the table Rows. Each timestep has two parts. moves() lists, as
+# arrays, how the live hypotheses may go on by the rules of CTC alone: which code, with which
+# certainty, and what may follow. Two readings of the moves make offers: any text, at a
+# discount, and words of the lexicon. Offers are ranked once; each state keeps its BEAM best
+# distinct ones. Nothing is decided before all offers of a timestep are known.
+
+#: What may follow a hypothesis: anything; only a repeat of it; no repeat of it.
 ANY, ONLY_REPEAT, NO_REPEAT = 0, 1, 2
 #: Tiers of codes at a timestep: the two best and the blank, the next three, the others.
 TOP2, TOPN, REST = 0, 1, 2
 
 
-@dataclass(eq=False)
-class Node:
-    code: int
-    char: int
-    permuter: int
-    certainty: float
-    score: float
-    before: Node | None
-    path: int
-    fresh: bool = False  # a lexicon may start here
-    word_start: bool = False
-    word_end: bool = False
-    repeat: bool = False
-    places: tuple | None = None
-
-    @property
-    def same(self) -> tuple:
-        return self.code, self.path, self.permuter, self.fresh
+def tiers(row: np.ndarray, blank: int) -> tuple[np.ndarray, set[int]]:
+    """(tier of every code, the two best codes); the earlier code wins ties."""
+    order = np.lexsort((np.arange(len(row)), -row))[:BEAM]
+    out = np.full(len(row), REST)
+    out[order] = TOPN
+    out[order[:2]] = TOP2
+    out[blank] = TOP2
+    return out, set(order[:2].tolist())
 
-    def real(self) -> Node | None:
-        """The last node that is neither blank nor repeat."""
-        n: Node | None = self
-        while n is not None and (n.char == NO_CHARACTER or n.repeat):
-            n = n.before
-        return n
 
+def certainties(p: np.ndarray) -> np.ndarray:
+    """certainty() of an array, with the offset of scoring."""
+    return np.log(np.maximum(p, math.exp(MIN_CERTAINTY)), where=p > 0, out=np.full(p.shape, MIN_CERTAINTY)) + CERTAINTY_OFFSET
 
-class Heap:
-    """The BEAM best nodes; of nodes with the same history the better."""
 
-    def __init__(self) -> None:
-        self.nodes: list[Node] = []
+class Rows:
+    """All hypotheses a search ever kept, in columns; row 0 is the empty one."""
 
-    def admits(self, value: float) -> bool:
-        return len(self.nodes) < BEAM or value > min(n.score for n in self.nodes)
+    COLUMNS = ("before", "code", "permuter", "certainty", "score", "text", "real", "repeat", "fresh", "ends", "states")
 
-    def push(self, node: Node) -> None:
-        if not self.admits(node.score):
-            return
-        twin = next((i for i, n in enumerate(self.nodes) if n.same == node.same), None)
-        if twin is not None:
-            if node.score > self.nodes[twin].score:
-                self.nodes[twin] = node
-            return
-        self.nodes.append(node)
-        if len(self.nodes) > BEAM:
-            worst = min(range(len(self.nodes)), key=lambda i: self.nodes[i].score)
-            last = self.nodes.pop()
-            if worst < len(self.nodes):
-                self.nodes[worst] = last
+    def __init__(self) -> None:
+        for name, value in zip(self.COLUMNS, (-1, -1, NO_PERM, 0.0, 0.0, 0, -1, False, False, False, None)):
+            setattr(self, name, [value])
+        self.spelled: dict[tuple[int, int], int] = {}
 
+    def add(self, row: tuple) -> int:
+        for name, value in zip(self.COLUMNS, row):
+            getattr(self, name).append(value)
+        return len(self.code) - 1
 
-@dataclass
-class Step:
-    plain: list[Heap] = field(default_factory=lambda: [Heap() for _ in range(3)])
-    words: list[Heap] = field(default_factory=lambda: [Heap() for _ in range(3)])
-    openings: list[Node | None] = field(default_factory=lambda: [None] * 3)
+    def spell(self, text: int, code: int) -> int:
+        """The number of a text (codes without blanks and repeats) that goes on by a code; codes 0 at its begin do not count."""
+        return self.spelled.setdefault((text, code), len(self.spelled) + 1) if text or code else 0
 
 
-def tiers(row: np.ndarray, blank: int) -> tuple[np.ndarray, int, int]:
-    """(tier of every code, best code, second best); the earlier code wins ties."""
-    order = np.lexsort((np.arange(len(row)), -row))[:BEAM]
-    out = np.full(len(row), REST)
-    out[order] = TOPN
-    out[order[:2]] = TOP2
-    out[blank] = TOP2
-    return out, int(order[0]), int(order[1]) if len(order) > 1 else -1
+class Offer(NamedTuple):
+    in_words: bool
+    follow: int
+    before: int
+    code: int
+    permuter: int
+    certainty: float
+    repeat: bool = False
+    fresh: bool = False  # a word of the lexicon may start after it
+    ends: bool = False  # a word may end here
+    states: tuple | None = None
 
 
 class Beam:
     """One line's search. codes lists the codes to try, in order; chars maps codes to characters."""
 
     def __init__(self, blank: int, codes: Sequence[int], chars: dict[int, int], lexicon: Lexicon | None = None, spaced=lambda char: True, code_range: int | None = None):
-        self.blank, self.codes, self.chars, self.lexicon, self.spaced = blank, list(codes), chars, lexicon, spaced
-        self.range = code_range or max(self.codes) + 1
+        self.blank, self.codes, self.chars, self.lexicon, self.spaced = blank, np.array(list(codes)), chars, lexicon, spaced
         self.all_spaced = all(spaced(c) for c in chars.values()) if lexicon else True
 
     def decode(self, probs: np.ndarray) -> list[Symbol]:
-        steps: list[Step] = []
+        rows, live = Rows(), [(words, ANY, 0) for words in ((False, True) if self.lexicon else (False,))]
         for row in probs.astype(float):
-            step = Step()
-            self.row, self.step = row, step
-            self.tier, self.best, self.second = tiers(row, self.blank)
-            if steps:
-                self._advance(steps[-1])
-            else:
-                self._extend(None, False, ANY, TOP2)
-                if self.lexicon:
-                    self._extend(None, True, ANY, TOP2)
-            steps.append(step)
-        return as_symbols(best_path(steps[-1])) if steps else []
-
-    def _advance(self, before: Step) -> None:
-        for tier in (TOP2, TOPN, REST):
-            for in_words, heaps in ((False, before.plain), (True, before.words)):
-                for after, heap in enumerate(heaps):
-                    for node in reversed(heap.nodes):
-                        self._extend(node, in_words, after, tier)
-            if self.step.plain[ANY].nodes or self.step.words[ANY].nodes:
+            live = self.advance(rows, live, row)
+        last = self.ending(rows, live) if len(probs) else 0
+        path = []
+        while last > 0:
+            path.append(last)
+            last = rows.before[last]
+        return self.symbols(rows, path[::-1])
+
+    def advance(self, rows: Rows, live: list[tuple[bool, int, int]], row: np.ndarray) -> list[tuple[bool, int, int]]:
+        """The live hypotheses (in words, what may follow, row) after a timestep."""
+        tier, best = tiers(row, self.blank)
+        offers: list[Offer] = []
+        openings: dict[int, tuple[float, Offer]] = {}
+        first = live[0][2] == 0
+        for level in (TOP2,) if first else (TOP2, TOPN, REST):
+            for words in (False, True):
+                # of twins the one where a new word may start goes first
+                held = [(follow, h) for w, follow, h in reversed(live) if w == words]
+                for move in zip(*self.moves(rows, held, row, tier, level, best)) if held else ():
+                    for offer in (self.as_word if words else self.as_text)(rows, *move):
+                        if not offer.fresh:
+                            offers.append(offer)
+                            continue
+                        # where words may start, each state keeps one
+                        score = rows.score[offer.before] + offer.certainty
+                        if offer.follow not in openings or score > openings[offer.follow][0]:
+                            openings[offer.follow] = score, offer
+            if any(o.follow == ANY for o in offers):
                 break
-        for after, node in enumerate(self.step.openings):
-            if node is not None:
-                self.step.words[after].push(node)
-
-    def _extend(self, node: Node | None, in_words: bool, after: int, tier: int) -> None:
-        """All continuations of a node by the codes of a tier."""
-        row, blank = self.row, self.blank
-        if node is not None:
-            if self.tier[node.code] == tier:
-                if after != NO_REPEAT:
-                    self._repeat(node, in_words, ANY, certainty(row[node.code]) + CERTAINTY_OFFSET)
-                if after == ANY and tier == TOP2 and node.code != blank:
-                    self._repeat(node, in_words, NO_REPEAT, certainty(row[node.code] + row[blank]) + CERTAINTY_OFFSET)
-            if after == ONLY_REPEAT:
-                return
-        for code in self.codes:
-            if self.tier[code] != tier or node is not None and node.code == code:
-                continue
-            c = certainty(row[code]) + CERTAINTY_OFFSET
-            if c < MIN_CERTAINTY and code != blank:
-                continue
-            self._character(node, in_words, code, c, ANY)
-            if tier == TOP2 and code != blank:
-                # a change of class may claim the blank between, and between the two best the other class
-                p = row[code] + row[blank]
-                if node is not None and after == ANY and node.code != blank and {node.code, code} == {self.best, self.second}:
-                    p += row[node.code]
-                self._character(node, in_words, code, certainty(p) + CERTAINTY_OFFSET, ONLY_REPEAT)
-
-    def _node(self, before: Node | None, code: int, permuter: int, c: float, **more) -> Node:
-        path = before.path if before is not None else 0
-        if not more.get("repeat") and code != self.blank:  # hash of what a path collapses to, 64 bits
-            carry = (path >> 32) * self.range >> 32
-            path = path * self.range + carry + code & (1 << 64) - 1
-        char = NO_CHARACTER if code == self.blank else self.chars[code]
-        return Node(code, char, permuter, c, c + (before.score if before is not None else 0.0), before, path, **more)
-
-    def _repeat(self, node: Node, in_words: bool, after: int, c: float) -> None:
-        if in_words:
-            if c > WORST_DICT:
-                self.step.words[after].push(self._node(node, node.code, node.permuter, c, repeat=True))
-        elif (c := c * DICT_RATIO) >= MIN_CERTAINTY or node.code == self.blank:
-            self.step.plain[after].push(self._node(node, node.code, node.permuter, c, repeat=True))
-
-    def _open(self, before: Node | None, code: int, permuter: int, c: float, after: int, start: bool = False, end: bool = False) -> None:
-        """Offers a node after which a word of the lexicon may start; each step keeps the best one."""
-        node = self._node(before, code, permuter, c, fresh=True, word_start=start, word_end=end)
-        node.places = self.lexicon.start()
-        best = self.step.openings[after]
-        if best is None or node.score > best.score:
-            self.step.openings[after] = node
-
-    def _character(self, before: Node | None, in_words: bool, code: int, c: float, after: int) -> None:
-        if in_words:
-            if c > WORST_DICT:
-                self._in_word(before, code, c, after)
+        # a line begins with a word or with text: an opening at its first timestep does not count
+        return self.keep(rows, offers + [openings[f][1] for f in sorted(openings) if not first])
+
+    def moves(self, rows: Rows, held: list[tuple[int, int]], row: np.ndarray, tier: np.ndarray, level: int, best: set[int]) -> tuple[np.ndarray, ...]:
+        """(row before, code, what may follow, certainty, repeats) of all moves by codes of a tier."""
+        follow, at = (np.array(x) for x in zip(*held))
+        code, blank = np.array([rows.code[h] for h in at]), self.blank
+        alone, joined = certainties(row), certainties(row + row[blank])
+        # a hypothesis holds its code, or holds it for the last time and leaves with a blank
+        here = (code >= 0) & (tier[code] == level)
+        stay, leave = here & (follow != NO_REPEAT), here & (follow == ANY) & (code != blank) & (level == TOP2)
+        parts = [(at[stay], code[stay], ANY, alone[code[stay]], True), (at[leave], code[leave], NO_REPEAT, joined[code[leave]], True)]
+        # or changes to another code, which may be the first of several and so claim the blank
+        new = self.codes[(tier[self.codes] == level) & ((alone[self.codes] >= MIN_CERTAINTY) | (self.codes == blank))]
+        free = np.flatnonzero(follow != ONLY_REPEAT)
+        i, j = (x.ravel() for x in np.meshgrid(free, np.arange(len(new)), indexing="ij"))
+        i, j = i[code[i] != new[j]], j[code[i] != new[j]]
+        parts.append((at[i], new[j], ANY, alone[new[j]], False))
+        if level == TOP2:
+            i, j = i[new[j] != blank], j[new[j] != blank]
+            claim = joined[new[j]]
+            # a change between the two best claims the other's share too
+            swap = np.array([follow[a] == ANY and code[a] != blank and {int(code[a]), int(new[b])} == best for a, b in zip(i, j)], bool)
+            claim[swap] = certainties(row[new[j[swap]]] + row[blank] + row[code[i[swap]]])
+            parts.append((at[i], new[j], ONLY_REPEAT, claim, False))
+        sizes = [len(p[0]) for p in parts]
+        columns = [np.concatenate([np.broadcast_to(p[c], n) for p, n in zip(parts, sizes)]).tolist() for c in range(5)]
+        return tuple(columns)
+
+    def as_text(self, rows: Rows, before: int, code: int, follow: int, c: float, repeat: bool):
+        """Any text costs more than a word."""
+        cost = c * DICT_RATIO
+        if repeat:
+            if cost >= MIN_CERTAINTY or code == self.blank:
+                yield Offer(False, follow, before, code, rows.permuter[before], cost, True)
             return
-        self.step.plain[after].push(self._node(before, code, TOP_CHOICE_PERM, c * DICT_RATIO))
-        if self.lexicon is None:
+        yield Offer(False, follow, before, code, TOP_CHOICE_PERM, cost)
+        if self.lexicon is None or code == self.blank:
             return
-        char = NO_CHARACTER if code == self.blank else self.chars[code]
-        if char == SPACE and c > WORST_DICT:  # a space beside a word keeps its certainty
-            self._open(before, code, NO_PERM, c, after)
-        elif char != NO_CHARACTER and not self.spaced(char):
-            self._open(before, code, TOP_CHOICE_PERM, c * DICT_RATIO, after)
-
-    def _in_word(self, before: Node | None, code: int, c: float, after: int) -> None:
-        words, plain = self.step.words[after], self.step.plain[after]
-        if code == self.blank:
-            words.push(self._node(before, code, NO_PERM, c))
+        if self.chars[code] == SPACE:
+            if c > WORST_DICT:  # a space beside a word keeps its certainty
+                yield Offer(True, follow, before, code, NO_PERM, c, fresh=True, states=self.lexicon.start())
+        elif not self.spaced(self.chars[code]):
+            yield Offer(True, follow, before, code, TOP_CHOICE_PERM, cost, fresh=True, states=self.lexicon.start())
+
+    def as_word(self, rows: Rows, before: int, code: int, follow: int, c: float, repeat: bool):
+        """Only what the lexicon accepts, with certain codes."""
+        if c <= WORST_DICT:
             return
-        value = c + (before.score if before is not None else 0.0)
-        if not words.admits(value) and not plain.admits(value):
+        if repeat or code == self.blank:
+            yield Offer(True, follow, before, code, rows.permuter[before] if repeat else NO_PERM, c, repeat)
             return
-        char, last = self.chars[code], before.real() if before is not None else None
+        char, real = self.chars[code], rows.real[before]
         if char == SPACE:
-            if last is not None and last.word_end:
-                self._open(before, code, last.permuter, c, after)
-                plain.push(self._node(before, code, last.permuter, c))
-            return
-        if last is not None and last.fresh and last.char != SPACE and self.spaced(last.char) and self.spaced(char):
+            if real >= 0 and rows.ends[real]:
+                yield Offer(True, follow, before, code, rows.permuter[real], c, fresh=True, states=self.lexicon.start())
+                yield Offer(False, follow, before, code, rows.permuter[real], c)
             return
-        places = self.lexicon.start() if last is None else last.places
-        if places is None:
-            return
-        start = last is None or last.fresh
-        permuter, places, may_end = self.lexicon.step(places, char)
+        states = self.lexicon.start() if real < 0 else rows.states[real]
+        if real >= 0 and rows.fresh[real]:
+            neighbour = self.chars[rows.code[real]]
+            if neighbour != SPACE and self.spaced(neighbour) and self.spaced(char):
+                return  # two words need a space between them
+        permuter, states, ends = self.lexicon.step(states or (), char)
         if permuter == NO_PERM:
             return
-        words.push(self._node(before, code, permuter, c, word_start=start, word_end=may_end, places=places))
-        if may_end and not self.all_spaced:
-            self._open(before, code, permuter, c, after, start, True)
-            plain.push(self._node(before, code, permuter, c, word_start=start, word_end=True))
-
-
-def best_path(last: Step) -> list[Node]:
-    """The best node that may end a line, with all before it."""
-    ends = []
-    for after in (ANY, NO_REPEAT):
-        ends += last.plain[after].nodes
-        for n in last.words[after].nodes:
-            real = n.real()
-            if real is not None and (real.word_end or real.char == SPACE):
-                ends.append(n)
-    best: Node | None = max(ends, key=lambda n: n.score, default=None)
-    out = []
-    while best is not None:
-        out.append(best)
-        best = best.before
-    return out[::-1]
-
-
-def as_symbols(path: Sequence[Node]) -> list[Symbol]:
-    """Characters of a path. Blanks count to the character after them, at the end to the last one."""
-    out: list[Symbol] = []
-
-    def charge(c: float, rating: float) -> None:
-        if out:
-            out[-1] = out[-1]._replace(certainty=min(out[-1].certainty, c), rating=out[-1].rating + rating)
-
-    t = 0
-    while t < len(path):
-        begin = t
-        while t < len(path) and path[t].char == NO_CHARACTER:
-            t += 1
-        blanks = [n.certainty for n in path[begin:t]]
-        c, rating = min([0.0, *blanks]), -sum(blanks)
-        if t == len(path):
-            charge(c, rating)
-            break
-        head, start = path[t], t
-        if head.char == SPACE and out and head.permuter != NO_PERM:
-            charge(c, rating)  # the blanks before such a space are its neighbour's
-            c, rating = 0.0, 0.0
-        t += 1
-        while t < len(path) and path[t].repeat:
-            t += 1
-        for n in path[start:t]:
-            c = n.certainty if head.char == SPACE and n.permuter == NO_PERM else min(c, n.certainty)
-            rating -= n.certainty
-        out.append(Symbol(head.char, start, t, c, rating))
-    return out
+        yield Offer(True, follow, before, code, permuter, c, ends=ends, states=states)
+        if ends and not self.all_spaced:  # scripts without spaces: the next word may start at once
+            yield Offer(True, follow, before, code, permuter, c, fresh=True, ends=True, states=self.lexicon.start())
+            yield Offer(False, follow, before, code, permuter, c, ends=True)
+
+    def keep(self, rows: Rows, offers: list[Offer]) -> list[tuple[bool, int, int]]:
+        """The BEAM best offers of each state; of offers with the same history the best."""
+        score = np.array([rows.score[o.before] + o.certainty for o in offers])
+        out, seen, full = [], set(), {}
+        for k in np.argsort(-score, kind="stable").tolist():
+            o = offers[k]
+            blank = o.code == self.blank
+            text = rows.text[o.before] if o.repeat or blank else rows.spell(rows.text[o.before], o.code)
+            state = (o.in_words, o.follow)
+            same = (state, o.code, text, o.permuter, o.fresh)
+            if same in seen or full.get(state, 0) == BEAM:
+                continue
+            seen.add(same)
+            full[state] = full.get(state, 0) + 1
+            real = rows.real[o.before] if o.repeat or blank else len(rows.code)
+            out.append((*state, rows.add((o.before, o.code, o.permuter, o.certainty, float(score[k]), text, real, o.repeat, o.fresh, o.ends, o.states))))
+        return sorted(out, key=lambda x: x[:2])
+
+    def ending(self, rows: Rows, live: list[tuple[bool, int, int]]) -> int:
+        """The best hypothesis that may end a line: any text, or a whole word or a space in the lexicon."""
+
+        def whole(h: int) -> bool:
+            real = rows.real[h]
+            return real >= 0 and (rows.ends[real] or self.chars[rows.code[real]] == SPACE)
+
+        ends = [h for words, follow, h in live if follow != ONLY_REPEAT and (not words or whole(h))]
+        return max(ends, key=lambda h: rows.score[h], default=0)
+
+    def symbols(self, rows: Rows, path: list[int]) -> list[Symbol]:
+        """Characters of a path. Every timestep is charged to one of them.
+
+        Blanks are charged to the character after them, at the end to the last one; before a
+        space that ends a word, to the word's last character. A space beside unknown text has
+        the certainty of its own last timestep.
+        """
+        code = np.array([rows.code[h] for h in path], int)
+        cost = np.array([rows.certainty[h] for h in path])
+        silent = code == self.blank
+        heads = np.flatnonzero([not s and not rows.repeat[h] for s, h in zip(silent, path)])
+        if not len(heads):
+            return []
+        chars, permuters = [self.chars[code[t]] for t in heads], [rows.permuter[path[t]] for t in heads]
+        ends = np.array([t + 1 + int(np.argmax(np.append(silent[t + 1 :], True) | np.append(np.isin(np.arange(t + 1, len(code)), heads), True))) for t in heads])
+        owner = np.minimum(np.searchsorted(heads, np.arange(len(code)), side="left"), len(heads) - 1)
+        for i, (t, e) in enumerate(zip(heads, ends)):
+            if i and chars[i] == SPACE and permuters[i] != NO_PERM:
+                owner[ends[i - 1] : t] = i - 1
+            owner[t:e] = i
+        out = []
+        for i, (t, e) in enumerate(zip(heads, ends)):
+            mine = owner == i
+            rating = -sum(cost[mine].tolist())
+            if chars[i] == SPACE and permuters[i] == NO_PERM:
+                mine[: e - 1] = False
+            out.append(Symbol(chars[i], int(t), int(e), min([0.0, *cost[mine].tolist()]), rating))
+        return out

@@ -106,79 +106,106 @@ def build_edges(words: Iterable[Sequence[int]]) -> list[tuple[int, int, bool, bo
     return out
 
 
-class Place(NamedTuple):
-    """Where a hypothesis is: in a core graph, in the punctuation around it, or in both."""
+#: Kinds of a state: before the core, inside it, in the punctuation after it.
+LEAD, CORE, TAIL = 0, 1, 2
 
+
+class State(NamedTuple):
+    """Where a hypothesis stands. Edges are NO_EDGE before the first letter, wrap is BARE without punctuation around."""
+
+    kind: int
     core: int = -1
-    core_edge: int = NO_EDGE
-    punc: int = -1
-    punc_edge: int = NO_EDGE
-    closing: bool = False
+    at: int = NO_EDGE
+    wrap: int = NO_EDGE
+
+
+BARE = -2
 
 
 class Lexicon:
-    """Punctuation may lead into words or numbers and follow them again."""
+    """Words and numbers, bare or as the wildcard of a punctuation pattern, as an automaton with a rule table.
+
+    A transition is (state, graph that accepted the letter, may a word end here). What a state
+    does on a letter never changes, so transitions are kept once found.
+    """
 
     def __init__(self, size: int, properties: Callable[[int], int], punc: Graph | None, word: Graph | None, number: Graph | None):
         self.size, self.properties = size, properties
         self.graphs = {k: g for k, g in ((PUNC, punc), (WORD, word), (NUMBER, number)) if g is not None}
+        self.cores = [k for k in (WORD, NUMBER) if k in self.graphs]
+        self.known: dict[tuple[State, int], list[tuple[State, int, bool]]] = {}
 
-    def start(self) -> tuple[Place, ...]:
+    def start(self) -> tuple[State, ...]:
         punc = self.graphs.get(PUNC)
-        through = punc is not None and punc.edge(0, WILDCARD, True) != NO_EDGE
-        own = () if through else tuple(Place(core=k) for k in (WORD, NUMBER) if k in self.graphs)
-        return ((Place(punc=PUNC),) if punc is not None else ()) + own
+        bare = tuple(State(CORE, k, NO_EDGE, BARE) for k in self.cores)
+        if punc is None:
+            return bare
+        # a pattern of the wildcard alone already lets bare words through
+        return (State(LEAD),) if punc.edge(0, WILDCARD, True) != NO_EDGE else (State(LEAD), *bare)
 
-    def _letter(self, kind: int, letter: int) -> int:
+    def _symbol(self, core: int, letter: int) -> int:
         """In the number graph all digits are the wildcard."""
-        return WILDCARD if kind == NUMBER and self.properties(letter) & DIGIT else letter
+        return WILDCARD if core == NUMBER and self.properties(letter) & DIGIT else letter
 
-    def step(self, places: Iterable[Place], letter: int, word_end: bool = False, before: int = NO_PERM) -> tuple[int, tuple[Place, ...], bool]:
-        """(permuter, places after the letter, whether a word may end there); NO_PERM if nothing accepts it."""
-        if letter == WILDCARD or not 0 <= letter < self.size:
+    def _mark(self, wrap: int, letter: int) -> int:
+        """The punctuation edge that a letter takes after an edge."""
+        punc = self.graphs.get(PUNC)
+        return NO_EDGE if punc is None or wrap == BARE else punc.edge(punc.after(wrap), letter)
+
+    def _enter(self, s: State, letter: int):
+        gate = self._mark(s.wrap, WILDCARD)
+        for k in self.cores if gate != NO_EDGE else ():
+            first = self.graphs[k].edge(0, self._symbol(k, letter))
+            if first != NO_EDGE:
+                yield State(CORE, k, first, gate), k, bool(self.graphs[k].ends[first] and self.graphs[PUNC].ends[gate])
+
+    def _lead(self, s: State, letter: int):
+        mark = self._mark(s.wrap, letter)
+        if mark != NO_EDGE:
+            yield State(LEAD, wrap=mark), PUNC, bool(self.graphs[PUNC].ends[mark])
+
+    def _spell(self, s: State, letter: int):
+        core = self.graphs[s.core]
+        following = core.edge(core.after(s.at), self._symbol(s.core, letter))
+        if following != NO_EDGE:
+            yield s._replace(at=following), s.core, bool(core.ends[following] and (s.wrap == BARE or self.graphs[PUNC].ends[s.wrap]))
+
+    def _close(self, s: State, letter: int):
+        if s.at != NO_EDGE and self.graphs[s.core].ends[s.at]:
+            mark = self._mark(s.wrap, letter)
+            if mark != NO_EDGE:
+                yield State(TAIL, s.core, s.at, mark), s.core, bool(self.graphs[PUNC].ends[mark])
+
+    #: What each kind of state may do.
+    RULES = {LEAD: (_enter, _lead), CORE: (_close, _spell), TAIL: (_close,)}
+
+    def transitions(self, s: State, letter: int) -> list[tuple[State, int, bool]]:
+        if (s, letter) not in self.known:
+            self.known[s, letter] = [move for rule in self.RULES[s.kind] for move in rule(self, s, letter)]
+        return self.known[s, letter]
+
+    def step(self, states: Iterable[State], letter: int) -> tuple[int, tuple[State, ...], bool]:
+        """(permuter, states after the letter, whether a word may end there); NO_PERM if nothing accepts it."""
+        if not 0 < letter < self.size:  # the wildcard is no letter
             return NO_PERM, (), False
-        found: dict[Place, None] = {}
-        rank, may_end = NO_PERM, False
-        for new, kind, ends in (x for p in places for x in self._moves(p, letter, word_end)):
-            found.setdefault(new)
-            rank, may_end = max(rank, RANK[kind]), may_end or ends
-        # punctuation after a core keeps the core's permuter
-        kept = before if before != NO_PERM and rank == PUNC_PERM else rank
-        return (kept, tuple(found), may_end) if kept != NO_PERM else (NO_PERM, (), False)
-
-    def _moves(self, p: Place, letter: int, word_end: bool):
-        punc, core = self.graphs.get(p.punc), self.graphs.get(p.core)
-        outer = punc.after(p.punc_edge) if punc else NO_EDGE
-        if core is None:
-            if punc is None:
-                return
-            gate = punc.edge(outer, WILDCARD, word_end)
-            for kind in (WORD, NUMBER) if gate != NO_EDGE else ():
-                if kind in self.graphs and (e := self.graphs[kind].edge(0, self._letter(kind, letter), word_end)) != NO_EDGE:
-                    yield Place(kind, e, p.punc, gate), kind, bool(self.graphs[kind].ends[e] and punc.ends[gate])
-            if (e := punc.edge(outer, letter, word_end)) != NO_EDGE:
-                yield Place(punc=p.punc, punc_edge=e), PUNC, bool(punc.ends[e])
-            return
-        if punc and p.core_edge != NO_EDGE and core.ends[p.core_edge] and (e := punc.edge(outer, letter, word_end)) != NO_EDGE:
-            yield Place(p.core, p.core_edge, p.punc, e, True), p.core, bool(punc.ends[e])
-        if p.closing:
-            return
-        node = core.after(p.core_edge)
-        e = core.edge(node, self._letter(p.core, letter), word_end) if node != NO_EDGE else NO_EDGE
-        satisfied = punc is None or p.punc_edge == NO_EDGE or bool(punc.ends[p.punc_edge])
-        if e == NO_EDGE or word_end and not satisfied:
-            return
-        yield Place(p.core, e, p.punc, p.punc_edge), p.core, bool(core.ends[e]) and satisfied
+        moves = [move for s in states for move in self.transitions(s, letter)]
+        rank = max((RANK[kind] for _, kind, _ in moves), default=NO_PERM)
+        return rank, tuple(dict.fromkeys(s for s, _, _ in moves)), any(ends for _, _, ends in moves)
 
     def classify(self, letters: Sequence[int]) -> tuple[int, bool]:
         """(permuter, whether it may end) of a whole word; (NO_PERM, False) if a letter is refused."""
-        rank, places, ends = NO_PERM, self.start(), False
+        rank, states, ends = NO_PERM, self.start(), False
         for letter in letters:
-            rank, places, ends = self.step(places, letter, before=rank)
-            if rank == NO_PERM:
+            now, states, ends = self.step(states, letter)
+            if now == NO_PERM:
                 return NO_PERM, False
+            # punctuation after a core keeps the core's permuter
+            rank = rank if now == PUNC_PERM and rank != NO_PERM else now
         return rank, ends
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
 
 def spaced(script: str | None) -> bool:
     return script not in UNSPACED
