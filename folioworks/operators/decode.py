@@ -93,11 +93,18 @@ def boundaries(symbols: DataFrame, width: DataFrame) -> DataFrame:
     return inner.unionByName(ends).select("line_id", F.col("k").cast("int").alias("k"), F.col("bound").cast("int").alias("bound"))
 
 
-def texts(symbols: DataFrame, chars: DataFrame) -> DataFrame:
-    """(line_id, text): characters of the codes in order; chars is (code, text)."""
-    named = symbols.join(F.broadcast(chars), "code")  # one row for each code of a model
+def texts(symbols: DataFrame, chars: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line_id, text, error) of lines(line_id): characters of the codes in order; chars is (code, text).
+
+    A line without symbols has an empty text. A code without a character is an error of its line,
+    which then has no text.
+    """
+    named = symbols.join(F.broadcast(chars), "code", "left")  # one row for each code of a model
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda s: s["text"]), "")
-    return named.groupBy("line_id").agg(joined.alias("text"))
+    each = named.groupBy("line_id").agg(joined.alias("text"), F.min(F.when(F.col("text").isNull(), F.col("code"))).alias("bad"))
+    out = lines.select("line_id").join(each, "line_id", "left")
+    error = F.when(F.col("bad").isNotNull(), F.concat(F.lit("code "), F.col("bad").cast("string"), F.lit(" stands for no character")))
+    return out.select("line_id", F.when(F.col("bad").isNull(), F.coalesce("text", F.lit(""))).alias("text"), error.alias("error"))
 
 
 def gaps(symbols: DataFrame, space: int) -> DataFrame:
@@ -129,17 +136,30 @@ def word_boxes(found: DataFrame, bounds: DataFrame, scale: float, box: tuple[int
 
 
 def recognize(probs: DataFrame, chars: DataFrame, blank: int, space: int, scale: float, box: tuple[int, int, int, int]) -> DataFrame:
-    """(line_id, word, text, x0, y0, x1, y1, confidence, line_confidence) by best path."""
+    """(line_id, word, text, x0, y0, x1, y1, confidence, line_confidence) by best path; a word with a code without a character has no text."""
     scored = scores(probs, blank)
     found = word_boxes(words(scored, space), boundaries(scored, widths(probs)), scale, box)
-    letters = gaps(scored, space).where(F.col("code") != space).join(F.broadcast(chars), "code")
+    letters = gaps(scored, space).where(F.col("code") != space).join(F.broadcast(chars), "code", "left")
     each = found.join(letters.select("line_id", "gap", F.col("idx").alias("i"), "text", "certainty"), ["line_id", "gap"])
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda s: s["text"]), "")
     keys = ["line_id", "word", "x0", "y0", "x1", "y1"]
-    out = each.groupBy(*keys).agg(joined.alias("text"), F.least(F.lit(0.0), F.min("certainty"), F.min("space_certainty")).alias("c")).withColumn("confidence", confidence(F.col("c")))
+    out = each.groupBy(*keys).agg(F.when(~F.bool_or(F.col("text").isNull()), joined).alias("text"), F.least(F.lit(0.0), F.min("certainty"), F.min("space_certainty")).alias("c")).withColumn("confidence", confidence(F.col("c")))
     return out.select(*keys, "text", "confidence", F.min("confidence").over(Window.partitionBy("line_id")).alias("line_confidence"))
 
 
+def lines(probs: DataFrame, chars: DataFrame, blank: int, space: int) -> DataFrame:
+    """(line_id, text, n_words, confidence, error) of every line, with its spaces.
+
+    The confidence is that of its worst word; a line without words has 0.
+    """
+    scored, wide = scores(probs, blank), widths(probs)
+    found = words(scored, space).select("line_id", "gap", "space_certainty")
+    worst = gaps(scored, space).where(F.col("code") != space).groupBy("line_id", "gap").agg(F.min("certainty").alias("c")).join(found, ["line_id", "gap"])
+    each = worst.groupBy("line_id").agg(F.count("*").alias("n_words"), F.min(confidence(F.least(F.lit(0.0), F.col("c"), F.col("space_certainty")))).alias("confidence"))
+    out = texts(scored, chars, wide).join(each, "line_id", "left")
+    return out.select("line_id", "text", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "error")
+
+
 def error_rate(got: Column, want: Column) -> Column:
     """Edit distance by characters over the wanted length; an empty want gives 0 or 1."""
     n = F.char_length(want)

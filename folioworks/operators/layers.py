@@ -71,17 +71,17 @@ def tree(layers: DataFrame) -> DataFrame:
 
     A recursive query; a model has a few dozen layers.
     """
-    layers.createOrReplaceTempView("layers_of_tree")
     return layers.sparkSession.sql(
         """
         WITH RECURSIVE t (layer_id, depth, path) AS (
-            SELECT layer_id, 0, lpad(CAST(ord AS STRING), 3, '0') FROM layers_of_tree WHERE parent_id IS NULL
+            SELECT layer_id, 0, lpad(CAST(ord AS STRING), 3, '0') FROM {layers} WHERE parent_id IS NULL
             UNION ALL
-            SELECT l.layer_id, t.depth + 1, concat(t.path, '.', lpad(CAST(l.ord AS STRING), 3, '0')) FROM layers_of_tree l JOIN t ON l.parent_id = t.layer_id)
+            SELECT l.layer_id, t.depth + 1, concat(t.path, '.', lpad(CAST(l.ord AS STRING), 3, '0')) FROM {layers} l JOIN t ON l.parent_id = t.layer_id)
         SELECT a.layer_id, a.depth, a.path, any_value(concat(repeat('  ', a.depth), l.type, ' ', l.name, ' ni=', l.ni, ' no=', l.no, ' weights=', l.num_weights)) AS line, sum(m.own_weights) AS total
         FROM t a JOIN t b ON b.path = a.path OR startswith(b.path, concat(a.path, '.'))
-        JOIN layers_of_tree l ON l.layer_id = a.layer_id JOIN layers_of_tree m ON m.layer_id = b.layer_id
-        GROUP BY a.layer_id, a.depth, a.path"""
+        JOIN {layers} l ON l.layer_id = a.layer_id JOIN {layers} m ON m.layer_id = b.layer_id
+        GROUP BY a.layer_id, a.depth, a.path""",
+        layers=layers,
     )
 
 

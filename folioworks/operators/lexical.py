@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from ..functions import lexicon
 
 
-def parse_charset(lines: DataFrame, value: str = "value", number: str = "line_no") -> DataFrame:
-    """charset from text lines (number, value); line 0 holds the count, lines beyond it are ignored."""
-    count = lines.where(F.col(number) == 0).select(F.trim(value).cast("int").alias("n"))
-    rows = lines.where(F.col(number) > 0).join(F.broadcast(count)).where(F.col(number) <= F.col("n"))  # one row
+def parse_charset(lines: DataFrame, value: str = "value", number: str = "line_no", file: str = "file") -> DataFrame:
+    """charset of each file from text lines (file, number, value); line 0 holds the count, lines beyond it are ignored."""
+    count = lines.where(F.col(number) == 0).select(F.col(file), F.trim(value).cast("int").alias("n"))
+    rows = lines.where(F.col(number) > 0).join(count, file).where(F.col(number) <= F.col("n"))
     f = F.split(F.trim(F.substring_index(value, "\t", 1)), r"\s+")
     at = rows.withColumn("f", f).withColumn("s", F.when(F.element_at("f", 3).contains(","), 4).otherwise(3))
     text = F.when(F.element_at("f", 1) == "NULL", " ").otherwise(F.element_at("f", 1))
     normed = F.when(F.size("f") - F.col("s") == 4, F.element_at("f", -1)).otherwise(text)
-    return at.select((F.col(number) - 1).cast("int").alias("id"), text.alias("text"), normed.alias("normed"), F.get("f", F.col("s") - 1).alias("script"), F.conv(F.element_at("f", 2), 16, 10).cast("int").alias("properties"))
+    return at.select(file, (F.col(number) - 1).cast("int").alias("id"), text.alias("text"), normed.alias("normed"), F.get("f", F.col("s") - 1).alias("script"), F.conv(F.element_at("f", 2), 16, 10).cast("int").alias("properties"))
 
 
 def has(properties: str, bit: int):
@@ -55,10 +55,10 @@ def code_range(recoder: DataFrame) -> DataFrame:
 
 
 def edge_fields(records: DataFrame, size: int) -> DataFrame:
-    """records(edge, record) as (edge, unichar_id, last, eow, next)."""
+    """records(..., edge, record) as (..., edge, unichar_id, last, eow, next)."""
     s = lexicon.flag_shift(size)
     flag = lambda bit: F.shiftrightunsigned("record", s).bitwiseAND(F.lit(bit)) != 0
-    return records.select("edge", F.col("record").bitwiseAND(F.lit((1 << s) - 1)).cast("int").alias("unichar_id"), flag(lexicon.LAST).alias("last"), flag(lexicon.WORD_END).alias("eow"), F.shiftrightunsigned("record", s + lexicon.FLAG_BITS).alias("next"))
+    return records.select(*(c for c in records.columns if c != "record"), F.col("record").bitwiseAND(F.lit((1 << s) - 1)).cast("int").alias("unichar_id"), flag(lexicon.LAST).alias("last"), flag(lexicon.WORD_END).alias("eow"), F.shiftrightunsigned("record", s + lexicon.FLAG_BITS).alias("next"))
 
 
 def prefix_edges(words: DataFrame) -> DataFrame:
@@ -85,22 +85,30 @@ def lookup(words: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("word", F.coalesce("eow", F.lit(False)).alias("contains"), (F.col("next").isNotNull() | (F.col("word") == "")).alias("prefix"))
 
 
-def classify(words: DataFrame, graph_words: list[str], letters: list[str], punctuation: list[str] | None = None) -> DataFrame:
+#: Words that a lexicon may have: a graph of them is built on the driver and sent to all.
+MAX_WORDS = 2_000_000
+
+
+def classify(words: DataFrame, graph_words: DataFrame, letters: list[str], punctuation: list[str] | None = None, numbers: list[str] | None = None) -> DataFrame:
     """words(word) with permuter and valid_end from the automaton; letters number from 1.
 
-    graph_words come from a model, so they are bounded by it and broadcast with the kernel.
+    graph_words(word) is a lexicon, bounded like that of a model: more than MAX_WORDS are an
+    error. "\\0" in punctuation patterns stands for the word, digits in numbers for any digit.
     """
+    known = [r.word for r in graph_words.select("word").distinct().limit(MAX_WORDS + 1).collect()]
+    if len(known) > MAX_WORDS:
+        raise ValueError(f"a lexicon of more than {MAX_WORDS} words")
     number = {c: i + 1 for i, c in enumerate(letters)}
-    build = lambda ws: lexicon.Graph(*zip(*lexicon.build_edges(ws)))
-    code = lambda w: [number.get(c, lexicon.WILDCARD) for c in w]
-    punc = build([code(w) for w in punctuation]) if punctuation else None
     digit = {number[c] for c in letters if c.isdigit()}
-    lex = lexicon.Lexicon(len(letters) + 1, lambda i: lexicon.DIGIT if i in digit else 0, punc, build([code(w) for w in graph_words]), None)
-    shared = words.sparkSession.sparkContext.broadcast((lex.graphs[lexicon.WORD], lex.graphs.get(lexicon.PUNC), number, digit))
+    code = lambda w: [number.get(c, lexicon.WILDCARD) for c in w]
+    any_digit = lambda w: [lexicon.WILDCARD if c.isdigit() else number[c] for c in w]
+    build = lambda ws: lexicon.Graph(*zip(*lexicon.build_edges(ws))) if ws else None
+    graphs = build([code(w) for w in punctuation or ()]), build([code(w) for w in sorted(known)]), build([any_digit(w) for w in numbers or ()])
+    shared = words.sparkSession.sparkContext.broadcast((graphs, number, digit))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        word_graph, punc_graph, number, digit = shared.value
-        own = lexicon.Lexicon(len(number) + 1, lambda i: lexicon.DIGIT if i in digit else 0, punc_graph, word_graph, None)
+        graphs, number, digit = shared.value
+        own = lexicon.Lexicon(len(number) + 1, lambda i: lexicon.DIGIT if i in digit else 0, *graphs)
         for pdf in batches:
             got = [own.classify([number.get(c, lexicon.WILDCARD) for c in w]) for w in pdf["word"]]
             yield pd.DataFrame({"word": pdf["word"], "permuter": [g[0] for g in got], "valid_end": [g[1] for g in got]})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon
 from ..operators import decode
 from ..sources import model as files
+from .session import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,13 +37,13 @@ SIZES = "sizes AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM pixels
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 1000")
+    li = table(spark, sf_dir, "lineitem")
     x0, y0 = F.col("l_partkey") * 7 % 1000, F.col("l_orderkey") * 3 % 1400
     return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity").cast("long")).alias("x1"), (y0 + F.col("l_linenumber") * 5).alias("y1"))
 
 
 BOXES = """boxes AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, l_partkey * 7 % 1000 AS x0, l_orderkey * 3 % 1400 AS y0,
-    l_partkey * 7 % 1000 + floor(l_quantity)::BIGINT AS x1, l_orderkey * 3 % 1400 + l_linenumber * 5 AS y1 FROM lineitem WHERE l_orderkey < 1000)"""
+    l_partkey * 7 % 1000 + floor(l_quantity)::BIGINT AS x1, l_orderkey * 3 % 1400 + l_linenumber * 5 AS y1 FROM lineitem)"""
 
 
 def query_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +56,17 @@ QUERY_BOXES = """query_boxes AS (SELECT s_suppkey AS q, s_suppkey * 37 % 1000 AS
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A label's vectors in order are the timesteps of a line; 64 codes, 63 is blank, 0 the space."""
-    t = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("int")
-    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("line_id"), t.alias("t"), "embedding")
+    """A label's vectors among 200 neighbours are the timesteps of a line, so lines are short and their number grows.
+
+    64 codes, 63 is blank, 0 the space.
+    """
+    line = (F.expr("vec_id div 200") * 1000 + F.col("label")).cast("long").alias("line_id")
+    rows = table(spark, sf_dir, "embeddings").select(line, "vec_id", "embedding")
+    t = (F.row_number().over(Window.partitionBy("line_id").orderBy("vec_id")) - 1).cast("int")
+    return rows.select("line_id", t.alias("t"), "embedding")
 
 
-LOGITS = "logits AS (SELECT label AS line_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS t, embedding FROM embeddings)"
+LOGITS = "logits AS (SELECT line_id, (row_number() OVER (PARTITION BY line_id ORDER BY vec_id) - 1)::INT AS t, embedding FROM (SELECT (vec_id // 200 * 1000 + label)::BIGINT AS line_id, vec_id, embedding FROM embeddings))"
 
 
 def probs64(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,21 +158,28 @@ def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.where(F.col("word").rlike("^[A-Za-z]+$")).distinct()
 
 
+def document_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct runs of digits of the documents."""
+    return table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), 0))).alias("word")).distinct()
+
+
 WORDS = r"words AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(text, '[ \n.,]+')) AS word FROM documents) WHERE regexp_full_match(word, '[A-Za-z]+'))"
 EDGES = f"""{LEXICON}, positions AS (SELECT word, unnest(range(1, length(word) + 1)) AS n FROM lexicon),
     edges AS (SELECT substring(word, 1, n - 1) AS node, substring(word, n, 1) AS letter, bool_or(n = length(word)) AS eow FROM positions GROUP BY ALL)"""
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring turns, the first 80 characters, ASCII only."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 80).alias("text"))
-    ascii_ = c.where(F.col("text").rlike(r"^[\x00-\x7F]+$"))
-    want = ascii_.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("want"))
-    return ascii_.select("conv_id", "turn", F.col("text").alias("got")).join(want, ["conv_id", "turn"])
+    """Neighbouring turns with their whole texts."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    want = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("want"))
+    return c.select("conv_id", "turn", F.col("text").alias("got")).join(want, ["conv_id", "turn"])
 
 
-PAIRS = r"""c AS (SELECT conv_id, turn, substring(text, 1, 80) AS text FROM conversations), a AS (SELECT * FROM c WHERE regexp_full_match(text, '[\x00-\x7F]+', 's')),
-    pairs AS (SELECT g.conv_id, g.turn, g.text AS got, w.text AS want FROM a g JOIN a w ON g.conv_id = w.conv_id AND w.turn = g.turn + 1)"""
+#: DuckDB's levenshtein compares bytes, so the table's few other letters become control characters, one to one.
+PAIRS = r"""wide AS (SELECT c, row_number() OVER (ORDER BY c) + 13 AS k FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM conversations) WHERE c <> '' AND unicode(c) > 127),
+    map AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS a, coalesce(string_agg(chr(k::INT), '' ORDER BY c), '') AS b FROM wide),
+    c AS (SELECT conv_id, turn, translate(text, map.a, map.b) AS text FROM conversations, map),
+    pairs AS (SELECT g.conv_id, g.turn, g.text AS got, w.text AS want FROM c g JOIN c w ON g.conv_id = w.conv_id AND w.turn = g.turn + 1)"""
 
 #: The published topology of an English line model: (id, parent, position, type, name, inputs, outputs, weights, own weights).
 ENGLISH = [
@@ -191,6 +206,10 @@ def layers(spark: SparkSession) -> DataFrame:
 LAYERS = "layers AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in ENGLISH) + ") AS v(layer_id, parent_id, ord, type, name, ni, no, num_weights, own_weights))"
 
 
+#: The lexicon and the charset's size of the tiny model.
+TINY_WORDS, TINY_SIZE = ("ab", "bad", "cab", "dead", "face", "feed"), 9
+
+
 def tiny_model() -> files.Model:
     """A small network of every kind of layer on the recognition path, with seeded weights, and its lexicon."""
     rnd = np.random.RandomState(11)
@@ -216,7 +235,7 @@ def tiny_model() -> files.Model:
     chars += [files.Character(c, c, "Latin", lexicon.ALPHA | lexicon.LOWER) for c in letters]
     codes = [[0], [7], [7], *([i + 1] for i in range(len(letters)))]
     number = {c: i + 3 for i, c in enumerate(letters)}
-    words = lexicon.build_edges([[number[c] for c in x] for x in ("ab", "bad", "cab", "dead", "face", "feed")])
+    words = lexicon.build_edges([[number[c] for c in x] for x in TINY_WORDS])
     punc = lexicon.build_edges([[lexicon.WILDCARD]])
     graphs = {files.PUNC_GRAPH: (len(chars), lexicon.pack_edges(len(chars), punc)), files.WORD_GRAPH: (len(chars), lexicon.pack_edges(len(chars), words))}
     network = files.Network(root, "[1,12,0,1 Ct1,1,4 Mp3,3 Lfys6 Lfx6 Lrx6 O1c8]", files.COMPRESSED, 100, 100, 7, (0.999, 0.001, 0.5))
@@ -228,9 +247,31 @@ def charset_text(m: files.Model) -> bytes:
     return "\n".join([str(len(rows)), *rows]).encode() + b"\n"
 
 
-def model_bytes(m: files.Model, swap: bool = False) -> bytes:
+def model_entries(m: files.Model, swap: bool = False) -> dict[int, bytes]:
     entries = {files.LSTM: files.build_network(m.network, swap), files.CHARSET: charset_text(m), files.RECODER: files.build_recoder(m.codes, swap), files.VERSION: m.version.encode() + b"\0"}
     for k, (size, records) in m.graphs.items():
         g = lexicon.unpack_edges(size, records)
         entries[k] = files.build_graph(size, list(zip(map(int, g.letters), map(int, g.following), map(bool, g.ends), map(bool, g.last))), swap)
-    return files.build_container(entries, swap)
+    return entries
+
+
+def model_bytes(m: files.Model, swap: bool = False) -> bytes:
+    return files.build_container(model_entries(m, swap), swap)
+
+
+#: The files of model_files: the same model in both byte orders.
+MODEL_FILES = ("tiny.native", "tiny.swapped")
+
+
+def model_files(spark: SparkSession) -> str:
+    """A folder with the tiny model's files, written anew for the queries that read model files."""
+    folder = f"{shared_folder(spark)}/folioworks-models/{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name, swap in zip(MODEL_FILES, (False, True)):
+        at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = at.getFileSystem(conf).create(at)
+        out.write(bytearray(model_bytes(tiny_model(), swap)))
+        out.close()
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(conf).deleteOnExit(at)
+    return folder

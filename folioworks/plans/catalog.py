@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable
 
@@ -34,6 +35,23 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def values(rows, columns: str) -> str:
+    """SQL of constant rows, the same for each model file; columns are those of Spark's schema, in DuckDB's types."""
+    kinds = [c.rsplit(" ", 1) for c in columns.split(", ")]
+
+    def literal(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, (list, tuple)):
+            return "[" + ", ".join(map(literal, v)) + "]"
+        return str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
+
+    each = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    names = ", ".join(f"c{i}" for i in range(len(kinds)))
+    typed = ", ".join(f"CAST(c{i} AS {k}) AS {n}" for i, (n, k) in enumerate(kinds))
+    return f"SELECT file, {typed} FROM (VALUES {each}) AS v({names}), (SELECT unnest({literal(A.MODEL_FILES)}) AS file)"
+
+
 INK, THIN = 120, 110
 PIX = f"WITH {A.PIXELS}"
 INKED = f"WITH {A.PIXELS}, {A.ink(INK)}"
@@ -470,7 +488,12 @@ def _(s, d):
     return layers.matrix_stats(w).withColumn("mean", F.round("mean", 9))
 
 
-@query("nn_rand")
+@query(
+    "nn_rand",
+    """WITH RECURSIVE g(seed, i, state) AS (SELECT s_suppkey, -1, (s_suppkey::HUGEINT * 6364136223846793005 + 1442695040888963407) % 18446744073709551616 FROM supplier
+    UNION ALL SELECT seed, i + 1, (state * 6364136223846793005 + 1442695040888963407) % 18446744073709551616 FROM g WHERE i < 7)
+    SELECT seed::BIGINT AS seed, i::INT AS i, (2.0::DOUBLE * (state // 8589934592)::DOUBLE / 2147483647.0::DOUBLE - 1)::FLOAT::DOUBLE AS value FROM g WHERE i >= 0""",
+)
 def _(s, d):
     """The generator's first draws for each supplier's key as seed."""
 
@@ -481,14 +504,17 @@ def _(s, d):
     return A.table(s, d, "supplier").select("s_suppkey").mapInPandas(run, "seed long, i int, value double")
 
 
-@query("nn_build")
-def _(s, d):
-    """What the layers of a file become: kind, sizes and how much each narrows its input."""
-    rows = []
-    for path, x in A.tiny_model().network.root.walk():
-        r = files.runnable(x)
-        rows.append((".".join(map(str, path)) or "root", r.kind, r.inputs, r.outputs, tensor.x_scale(r)))
-    return s.createDataFrame(rows, "path string, kind string, inputs int, outputs int, x_scale int")
+def model_table(name: str, table: str, sql: str | None) -> None:
+    """Registers a table of the model files, read where the files are read."""
+    query(name, sql)(lambda s, d: files.read_table(s, A.model_files(s), table))
+
+
+#: What each layer of the tiny model becomes, as its description says.
+BUILT = [
+    ("root", "Series", 1, 8, 3), ("0", "Input", 1, 1, 1), ("1", "Series", 1, 4, 1), ("1.0", "Convolve", 1, 9, 1), ("1.1", "FullyConnected", 9, 4, 1), ("2", "Maxpool", 4, 4, 3),
+    ("3", "XYTranspose", 4, 6, 1), ("3.0", "LSTM", 4, 6, 1), ("4", "LSTM", 6, 6, 1), ("5", "XReversed", 6, 6, 1), ("5.0", "LSTM", 6, 6, 1), ("6", "FullyConnected", 6, 8, 1),
+]
+model_table("nn_build", "built", values(BUILT, "path VARCHAR, kind VARCHAR, inputs INT, outputs INT, x_scale INT"))
 
 
 # -- charset, recoder, word graphs -------------------------------------------
@@ -510,12 +536,15 @@ def _looked_up(s, d) -> DataFrame:
     return last.select(F.explode(F.sequence(F.lit(0), F.col("last"))).alias("id"))
 
 
-@query("lex_charset", f"WITH {A.CHARSET} SELECT i::INT AS id, coalesce(c.text, '') AS text, coalesce(c.text, '') AS normed FROM range(0, 150) AS r(i) LEFT JOIN charset c ON c.id = i")
+_IDS = "SELECT unnest(range(0, (SELECT greatest(150, coalesce(max(id), 2) + 2) FROM charset))) AS i"
+
+
+@query("lex_charset", f"WITH {A.CHARSET} SELECT i::INT AS id, coalesce(c.text, '') AS text, coalesce(c.text, '') AS normed FROM ({_IDS}) LEFT JOIN charset c ON c.id = i")
 def _(s, d):
     return lexical.characters(_looked_up(s, d), A.charset(s, d))
 
 
-@query("lex_encode", f"WITH {A.RECODER} SELECT i::INT AS id, r.code::VARCHAR AS code FROM range(0, 150) AS q(i) LEFT JOIN recoder r ON r.unichar_id = i")
+@query("lex_encode", f"WITH {A.RECODER} SELECT i::INT AS id, r.code::VARCHAR AS code FROM ({_IDS}) LEFT JOIN recoder r ON r.unichar_id = i")
 def _(s, d):
     return lexical.encode(_looked_up(s, d), A.recoder(s, d)).select("id", F.array_join(F.col("code").cast("array<string>"), ",").alias("code"))
 
@@ -530,11 +559,15 @@ def _(s, d):
     return lexical.code_range(A.recoder(s, d))
 
 
-@query("lex_edge")
+#: The prefix tree of the tiny model's words, node by node: (letter's id, next node, word end, last of its node).
+TINY_EDGES = lexicon.build_edges([[ord(c) - ord("a") + 3 for c in w] for w in A.TINY_WORDS])
+
+
+@query("lex_edge", values([(i, c, last, end, after) for i, (c, after, end, last) in enumerate(TINY_EDGES)], "edge BIGINT, unichar_id INT, last BOOLEAN, eow BOOLEAN, next BIGINT"))
 def _(s, d):
-    """Packed records of the tiny model's word graph, taken apart."""
-    size, records = A.tiny_model().graphs[files.WORD_GRAPH]
-    return lexical.edge_fields(s.createDataFrame(list(enumerate(records)), "edge long, record long"), size)
+    """Packed records of the model files' word graph, taken apart."""
+    records = files.read_table(s, A.model_files(s), "records").where(F.col("dawg") == files.type_name(files.WORD_GRAPH))
+    return lexical.edge_fields(records.select("file", "edge", "record"), A.TINY_SIZE)
 
 
 @query("lex_edgechar", f"""WITH {A.EDGES}, {A.WORDS}, wanted AS (SELECT DISTINCT substring(word, 1, 2) AS node, substring(word, 3, 1) AS letter FROM words WHERE length(word) >= 3) SELECT node, letter, CASE WHEN eow IS NULL THEN NULL ELSE node || letter END AS next, eow FROM wanted LEFT JOIN edges USING (node, letter)""")
@@ -544,6 +577,7 @@ def _(s, d):
     return lexical.edge_char(wanted, lexical.prefix_edges(A.lexicon_words(s, d)))
 
 
+LETTERS = [chr(c) for c in (*range(65, 91), *range(97, 123))]
 _LOOKUP = f"""WITH {A.LEXICON}, {A.WORDS}, prefixes AS (SELECT DISTINCT substring(word, 1, n) AS word FROM (SELECT word, unnest(range(1, length(word) + 1)) AS n FROM lexicon))
 SELECT word, word IN (SELECT word FROM lexicon) AS contains, word IN (SELECT word FROM prefixes) AS prefix FROM words"""
 
@@ -559,25 +593,31 @@ QUERIES["lex_prefix"], ORACLE_SQL["lex_prefix"] = QUERIES["lex_contains"], ORACL
 @query("lex_classify", _LOOKUP.replace("SELECT word, word IN (SELECT word FROM lexicon) AS contains, word IN (SELECT word FROM prefixes) AS prefix FROM words", "SELECT word, CASE WHEN word IN (SELECT word FROM prefixes) THEN 8 ELSE 0 END::INT AS permuter, word IN (SELECT word FROM lexicon) AS valid_end FROM words"))
 def _(s, d):
     """The automaton over a word graph of the lexicon, without punctuation: 8 is its rank."""
-    known = sorted(r.word for r in A.lexicon_words(s, d).collect())
-    letters = [chr(c) for c in (*range(65, 91), *range(97, 123))]
-    return lexical.classify(A.document_words(s, d), known, letters)
+    return lexical.classify(A.document_words(s, d), A.lexicon_words(s, d), LETTERS)
 
 
-@query("lex_letter")
+@query(
+    "lex_letter",
+    _LOOKUP[: _LOOKUP.rindex("SELECT word,")]
+    + """, digits AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9]+')) AS word FROM documents),
+    bare AS (SELECT word, word IN (SELECT word FROM prefixes) AS prefix, word IN (SELECT word FROM lexicon) AS known FROM words)
+    SELECT word, CASE WHEN prefix THEN 8 ELSE 0 END::INT AS permuter, known AS valid_end FROM bare
+    UNION ALL SELECT unnest(['(' || word || ')', word || '.']), CASE WHEN known THEN 8 ELSE 0 END::INT, known FROM bare
+    UNION ALL SELECT unnest([word, '(' || word || ')']), CASE WHEN length(word) <= 4 THEN 6 ELSE 0 END::INT, length(word) <= 4 FROM digits""",
+)
 def _(s, d):
-    """Words in punctuation: the lexicon's words, bare or in brackets."""
-    known = sorted(r.word for r in A.lexicon_words(s, d).collect())
-    letters = [chr(c) for c in (*range(65, 91), *range(97, 123))] + list("().,")
-    words = A.document_words(s, d).select(F.explode(F.array("word", F.concat(F.lit("("), "word", F.lit(")")), F.concat("word", F.lit(".")))).alias("word"))
+    """Words in punctuation: the documents' words, bare, in brackets or before a stop; and numbers of one to four digits."""
+    words, numbers = A.document_words(s, d), A.document_numbers(s, d)
+    around = lambda *forms: F.explode(F.array(*forms)).alias("word")
+    bracketed = F.concat(F.lit("("), "word", F.lit(")"))
+    words = words.select(around("word", bracketed, F.concat("word", F.lit(".")))).unionByName(numbers.select(around("word", bracketed)))
     wild = "\0"  # no letter: the wildcard of the punctuation patterns
-    return lexical.classify(words, known, letters, [wild, f"({wild})", f"{wild}.", f"{wild},"])
+    letters = LETTERS + list("().,0123456789")
+    return lexical.classify(words, A.lexicon_words(s, d), letters, [wild, f"({wild})", f"{wild}.", f"{wild},"], ["0", "00", "000", "0000"])
 
 
-@query("lex_start")
-def _(s, d):
-    lex = A.tiny_model().lexicon()
-    return s.createDataFrame([tuple(map(int, p[:4])) + (p.closing,) for p in lex.start()], "core int, core_edge int, punc int, punc_edge int, closing boolean")
+# before its first letter a hypothesis is in the punctuation, which lets a bare word through
+model_table("lex_start", "start", values([(lexicon.LEAD, -1, lexicon.NO_EDGE, lexicon.NO_EDGE)], "kind INT, core INT, at INT, wrap INT"))
 
 
 # -- decoding ----------------------------------------------------------------
@@ -620,9 +660,10 @@ def _(s, d):
     return decode.boundaries(decode.greedy(p, BLANK8), decode.widths(p))
 
 
-@query("dec_text", f"WITH {A.PROBS8}, {A.greedy_sql(BLANK8)} SELECT line_id, string_agg(substr('{A.TEXTS8}', code + 1, 1), '' ORDER BY idx) AS text FROM symbols GROUP BY line_id")
+@query("dec_text", f"WITH {A.PROBS8}, {A.greedy_sql(BLANK8)}, lines AS (SELECT DISTINCT line_id FROM logits) SELECT line_id, coalesce(string_agg(substr('{A.TEXTS8}', code + 1, 1), '' ORDER BY idx), '') AS text, NULL::VARCHAR AS error FROM lines LEFT JOIN symbols USING (line_id) GROUP BY line_id")
 def _(s, d):
-    return decode.texts(decode.greedy(A.probs8(s, d), BLANK8), A.chars8(s))
+    p = A.probs8(s, d)
+    return decode.texts(decode.greedy(p, BLANK8), A.chars8(s), decode.widths(p))
 
 
 def _symbols(run) -> Query:
@@ -633,7 +674,7 @@ def _symbols(run) -> Query:
         rows = [(pdf["line_id"].iloc[0], i, *x) for i, x in enumerate(run(np.stack(pdf["features"])))]
         return pd.DataFrame(rows, columns=["line_id", "idx", "char", "start", "end", "certainty", "rating"])
 
-    return lambda s, d: A.probs8(s, d).groupBy("line_id").applyInPandas(kernel, "line_id int, idx int, char int, start int, end int, certainty double, rating double")
+    return lambda s, d: A.probs8(s, d).groupBy("line_id").applyInPandas(kernel, "line_id long, idx int, char int, start int, end int, certainty double, rating double")
 
 
 def _plain_beam(probs: np.ndarray) -> list[ctc.Symbol]:
@@ -647,7 +688,12 @@ def _word_beam(probs: np.ndarray) -> list[ctc.Symbol]:
 
 query("dec_beam")(_symbols(_word_beam))
 query("dec_bestpath")(_symbols(_plain_beam))
-query("dec_pathscore")(_symbols(lambda p: ctc.score(p, ctc.greedy(p, BLANK8, {i: i for i in range(7)}))))
+
+
+@query("dec_pathscore", f'WITH {A.PROBS8}, {A.scored_sql(BLANK8)} SELECT line_id, idx, code AS char, start, "end", round(certainty, 6) AS certainty, round(rating, 6) AS rating FROM scored')
+def _(s, d):
+    scored = _symbols(lambda p: ctc.score(p, ctc.greedy(p, BLANK8, {i: i for i in range(7)})))(s, d)
+    return scored.withColumns({c: F.round(c, 6) for c in ("certainty", "rating")})
 
 
 # -- words and lines ---------------------------------------------------------
@@ -691,6 +737,16 @@ def _(s, d):
     return out.withColumns({c: F.round(c, 5) for c in ("confidence", "line_confidence")})
 
 
+@query(
+    "out_lines",
+    f"""WITH {A.PROBS8}, {A.scored_sql(BLANK8)}, {WORDS}, worst AS (SELECT line_id, count(*) AS n_words, min(greatest(0, least(100, 100 + 35 * least(0, c, space_certainty)))) AS confidence FROM found GROUP BY line_id),
+    texts AS (SELECT line_id, coalesce(string_agg(substr('{A.TEXTS8}', code + 1, 1), '' ORDER BY idx), '') AS text FROM widths LEFT JOIN scored USING (line_id) GROUP BY line_id)
+    SELECT line_id, text, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(confidence, 0.0), 5) AS confidence, NULL::VARCHAR AS error FROM texts LEFT JOIN worst USING (line_id)""",
+)
+def _(s, d):
+    return decode.lines(A.probs8(s, d), A.chars8(s), BLANK8, SPACE).withColumn("confidence", F.round("confidence", 5))
+
+
 @query("out_cer", f"WITH {A.PAIRS} SELECT conv_id, turn, round(CASE WHEN length(want) > 0 THEN levenshtein(got, want) / length(want) ELSE (length(got) > 0)::INT::DOUBLE END, 6) AS cer FROM pairs")
 def _(s, d):
     return A.text_pairs(s, d).select("conv_id", "turn", F.round(decode.error_rate(F.col("got"), F.col("want")), 6).alias("cer"))
@@ -706,24 +762,49 @@ def _(s, d):
 # -- model files, whole recognition -------------------------------------------
 
 
-def _components(s: SparkSession) -> DataFrame:
-    c = files.parse_container(A.model_bytes(A.tiny_model()))
-    return s.createDataFrame([(t, files.type_name(t), len(v), bytearray(v)) for t, v in sorted(c.entries.items())], "type int, name string, size long, bytes binary")
+def _entries() -> list[tuple]:
+    """(type, name, size, digest) of the tiny model's components, before they are packed into one file."""
+    made = [A.model_entries(A.tiny_model(), swap) for swap in (False, True)]
+    return [[(t, files.type_name(t), len(v), hashlib.sha256(v).hexdigest()) for t, v in sorted(m.items())] for m in made]
 
 
-query("src_container")(lambda s, d: _components(s))
-query("src_container_meta")(lambda s, d: _components(s).select("type", "name", "size").orderBy("type"))
+_META = " UNION ALL ".join(f"({values(rows, 'type INT, name VARCHAR, size BIGINT, sha256 VARCHAR')} WHERE file = '{f}')" for f, rows in zip(A.MODEL_FILES, _entries()))
 
 
-@query("src_reader")
+@query("src_container", _META)
 def _(s, d):
-    """The first items of every component, in both byte orders."""
+    """The components of every file."""
+    found = files.read_components(s, A.model_files(s))
+    return found.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "type", "name", "size", F.sha2("bytes", 256).alias("sha256"))
 
-    def run(batches):
+
+@query("src_container_meta", "WITH c AS (" + _META + ") SELECT file, count(*)::BIGINT AS components, sum(size)::BIGINT AS bytes, string_agg(name, ',' ORDER BY type) AS names, file = 'tiny.swapped' AS swapped, 'tiny:1' AS version FROM c GROUP BY file")
+def _(s, d):
+    """What the header of every file says."""
+    return files.rows_of_files(s, A.model_files(s), "components long, bytes long, names string, swapped boolean, version string", files.header_rows)
+
+
+@query(
+    "src_reader",
+    """SELECT s_suppkey AS key, swapped, (s_suppkey % 256 - 128)::INT AS i8, (s_suppkey % 256)::INT AS u8, (s_suppkey % 65536 - 32768)::INT AS i16, (-s_suppkey)::INT AS i32, (4294967295 - s_suppkey)::BIGINT AS u32,
+    (-s_suppkey * 1000000007)::BIGINT AS i64, (18446744073709551615::HUGEINT - s_suppkey)::VARCHAR AS u64, (s_suppkey / 4)::DOUBLE AS f32, (s_suppkey / 8)::DOUBLE AS f64, 'supplier ' || s_suppkey AS text, s_suppkey % 3 AS n_reals,
+    CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey / 2 END::DOUBLE AS first_real, 0 AS "left" FROM supplier, (SELECT unnest([false, true]) AS swapped)""",
+)
+def _(s, d):
+    """Items of every type, packed from each supplier's key in both byte orders, and read back."""
+
+    def pack(batches):
         for pdf in batches:
-            yield pd.DataFrame([(n, order, int(files.Reader(b, order == "swapped").one("I"))) for n, b in zip(pdf["name"], pdf["bytes"]) if len(b) >= 4 for order in ("native", "swapped")], columns=["name", "byte_order", "value"])
+            rows = []
+            for k in pdf["s_suppkey"].tolist():
+                v = dict(i8=k % 256 - 128, u8=k % 256, i16=k % 65536 - 32768, i32=-k, u32=2**32 - 1 - k, i64=-k * 1000000007, u64=2**64 - 1 - k, f32=k / 4, f64=k / 8, text=f"supplier {k}", reals=[k / 2] * (k % 3))
+                rows += [(k * 2 + swap, files.write_values(v, swap), swap) for swap in (False, True)]
+            yield pd.DataFrame(rows, columns=["row", "bytes", "swapped"])
 
-    return _components(s).mapInPandas(run, "name string, byte_order string, value long")
+    packed = A.table(s, d, "supplier").select("s_suppkey").mapInPandas(pack, "row long, bytes binary, swapped boolean")
+    out = files.read_values(packed, "row", "bytes", "swapped")
+    numbers = out.withColumns({"swapped": F.col("key") % 2 == 1, "key": F.expr("key div 2"), "n_reals": F.size("reals").cast("long"), "first_real": F.get("reals", F.lit(0))})
+    return numbers.select("key", "swapped", *files.VALUE_CODES, "u64", "text", "n_reals", "first_real", "left")
 
 
 @query("src_bitreverse", "SELECT s_suppkey, (((s_suppkey & 255) << 24) | (((s_suppkey >> 8) & 255) << 16) | (((s_suppkey >> 16) & 255) << 8) | ((s_suppkey >> 24) & 255))::BIGINT AS reversed FROM supplier")
@@ -733,18 +814,50 @@ def _(s, d):
     return A.table(s, d, "supplier").select("s_suppkey", out.cast("long").alias("reversed"))
 
 
-@query("src_unicharset")
+_TINY_CHARS = [(0, " ", " ", "Common", 0), (1, "Joined", "Joined", "Common", 0), (2, "|Broken|0|1", "Broken", "Common", 0), *((i + 3, c, c, "Latin", 3) for i, c in enumerate(A.TEXTS8[1:]))]
+
+
+@query("src_unicharset", values(_TINY_CHARS, "id INT, text VARCHAR, normed VARCHAR, script VARCHAR, properties INT"))
 def _(s, d):
-    lines = A.charset_text(A.tiny_model()).decode().split("\n")
-    return lexical.parse_charset(s.createDataFrame(list(enumerate(lines)), "line_no int, value string"))
+    """The charset component of every file, line by line."""
+    found = files.read_components(s, A.model_files(s)).where(F.col("type") == files.CHARSET)
+    lines = found.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.posexplode(F.split(F.decode("bytes", "utf-8"), "\n")).alias("line_no", "value"))
+    return lexical.parse_charset(lines)
 
 
-def _model_table(name: str) -> Query:
-    return lambda s, d: files.model_tables(s, files.load_model(A.model_bytes(A.tiny_model())))[name]
+@query("src_recoder", values([(i, str(c)) for i, c in enumerate([0, 7, 7, 1, 2, 3, 4, 5, 6])], "unichar_id INT, code VARCHAR"))
+def _(s, d):
+    codes = files.read_table(s, A.model_files(s), "recoder")
+    return codes.withColumn("code", F.array_join(F.col("code").cast("array<string>"), ","))
+
+
+def _tiny_graph_rows() -> list[tuple]:
+    rows = [("lstm-punc-dawg", 0, 0, 0, 0, True, True)]
+    node = 0
+    for e, (letter, after, end, last) in enumerate(TINY_EDGES):
+        rows.append(("lstm-word-dawg", node, e, letter, after, end, last))
+        node = e + 1 if last else node
+    return rows
+
+
+model_table("src_dawg", "dawg_edges", values(_tiny_graph_rows(), "dawg VARCHAR, node BIGINT, edge BIGINT, unichar_id INT, next BIGINT, eow BOOLEAN, last BOOLEAN"))
+_TINY_LAYERS = files.layer_rows(A.tiny_model().network.root)
+
+
+@query("src_network", values([(i, -1 if p is None else p, *more) for i, p, *more in _TINY_LAYERS], "layer_id INT, parent_id INT, ord INT, type VARCHAR, name VARCHAR, ni INT, no INT, num_weights BIGINT, own_weights BIGINT"))
+def _(s, d):
+    """The layers of every file; the root's parent is -1."""
+    return files.read_table(s, A.model_files(s), "layers").fillna(-1, ["parent_id"])
+
+
+@query("src_matrix", values([(i, k, r, len(row), round(float(row.sum()), 6), round(float(row[-1]), 6)) for i, (_, x) in enumerate(A.tiny_model().network.root.walk()) for k, m in enumerate(x.matrices) for r, row in enumerate(m)], "layer_id INT, gate INT, row INT, n INT, total DOUBLE, bias DOUBLE"))
+def _(s, d):
+    w = files.read_table(s, A.model_files(s), "weights")
+    total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
+    return w.select("file", "layer_id", "gate", "row", F.size("values").alias("n"), F.round(total, 6).alias("total"), F.round(F.element_at("values", -1), 6).alias("bias"))
 
 
-for _name, _table in (("src_recoder", "recoder"), ("src_dawg", "dawg_edges"), ("src_network", "layers"), ("src_matrix", "weights"), ("src_model", "model_check")):
-    query(_name)(_model_table(_table))
+model_table("src_model", "model_check", values([(k, True) for k in ("recoder size", "one softmax", "softmax outputs", "root outputs", "blank is last", "graph sizes")], "invariant VARCHAR, ok BOOLEAN"))
 
 
 @query("src_tables", "SELECT i::INT AS i, round(tanh(i / 256), 9) AS tanh, round(1 / (1 + exp(-i / 256)), 9) AS logistic FROM range(0, 4096) AS r(i)")
@@ -760,7 +873,7 @@ def _(s, d):
 
 @query("snk_dump")
 def _(s, d):
-    return s.createDataFrame(list(enumerate(files.describe(files.load_model(A.model_bytes(A.tiny_model()))).split("\n"))), "line int, text string")
+    return files.rows_of_files(s, A.model_files(s), "line int, text string", lambda data: enumerate(files.describe(data)))
 
 
 def _line_images(s, d) -> DataFrame:

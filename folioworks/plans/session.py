@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -22,6 +23,20 @@ def local_session(cpus: int | str = "*", memory: str = "20g", partitions: int =
     return spark
 
 
+#: Folders of local applications that name none, by application.
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see: spark.checkpoint.dir. Only on one machine one of our own may stand in."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="folioworks-"))
+    return base
+
+
 def reachable(spark: SparkSession) -> SparkSession:
     """Makes this package importable for Python workers that run where the driver does.
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +28,23 @@ def read_gray(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("origin").alias("path"), "width", "height", luma("data", "nChannels", "height", "width").alias("pix"))
 
 
+#: Pixels of a batch that explode_pixels hands on.
+BATCH = 1 << 18
+
+
 def explode_pixels(images: DataFrame, key: str = "image_id") -> DataFrame:
-    """(image_id, y, x, v) of images(key, width, height, pix)."""
-    at = F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1))
-    hexed = images.select(F.col(key).alias("image_id"), "width", F.hex("pix").alias("hex"), at.alias("i"))
-    return hexed.select("image_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), F.conv(F.expr("substring(hex, 2 * i + 1, 2)"), 16, 10).cast("int").alias("v"))
+    """(image_id, y, x, v) of images(key, width, height, pix), in batches of whole arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for image, w, pix in zip(b.column(0), b.column(1).to_pylist(), b.column(2)):
+                v = np.frombuffer(pix.as_buffer(), np.uint8) if pix.is_valid else np.zeros(0, np.uint8)
+                for i in range(0, len(v), BATCH):
+                    y, x = np.divmod(np.arange(i, min(i + BATCH, len(v)), dtype=np.int32), np.int32(w))
+                    yield pa.RecordBatch.from_arrays([pa.repeat(image, len(y)), pa.array(y), pa.array(x), pa.array(v[i : i + BATCH].astype(np.int32))], ["image_id", "y", "x", "v"])
+
+    rows = images.select(F.col(key).alias("image_id"), F.col("width").cast("int"), "pix")
+    return rows.mapInArrow(run, f"image_id {rows.schema['image_id'].dataType.simpleString()}, y int, x int, v int")
 
 
 def dense_images(pixels: DataFrame) -> DataFrame:

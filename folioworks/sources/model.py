@@ -7,12 +7,14 @@ DataFrame source reads files with Spark's binaryFile reader and parses in Arrow
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import lexicon, tensor
 
@@ -426,29 +428,110 @@ def layer_rows(root: LayerFile) -> list[tuple]:
 LAYER_SCHEMA = "layer_id int, parent_id int, ord int, type string, name string, ni int, no int, num_weights long, own_weights long"
 
 
-def model_tables(spark: SparkSession, model: Model) -> dict[str, DataFrame]:
-    """The tables of a loaded model; all are as small as the model file."""
-    graph_rows = []
+def graph_rows(model: Model) -> Iterator[tuple]:
+    """(dawg, node, edge, unichar_id, next, eow, last) of all word graphs."""
     for kind, (size, records) in model.graphs.items():
         g, node = lexicon.unpack_edges(size, records), 0
         for e in range(len(records)):
-            graph_rows.append((type_name(kind), node, e, int(g.letters[e]), int(g.following[e]), bool(g.ends[e]), bool(g.last[e])))
+            yield type_name(kind), node, e, int(g.letters[e]), int(g.following[e]), bool(g.ends[e]), bool(g.last[e])
             node = e + 1 if g.last[e] else node
-    weights = [(i, k, r, row.tolist()) for i, (_, x) in enumerate(model.network.root.walk()) for k, m in enumerate(x.matrices) for r, row in enumerate(m)]
-    return {
-        "layers": spark.createDataFrame(layer_rows(model.network.root), LAYER_SCHEMA),
-        "weights": spark.createDataFrame(weights, "layer_id int, gate int, row int, values array<double>"),
-        "charset": spark.createDataFrame([(i, c.text, c.normed, c.script, c.properties) for i, c in enumerate(model.charset)], "id int, text string, normed string, script string, properties int"),
-        "recoder": spark.createDataFrame(list(enumerate(model.codes)), "unichar_id int, code array<int>"),
-        "dawg_edges": spark.createDataFrame(graph_rows, "dawg string, node long, edge long, unichar_id int, next long, eow boolean, last boolean"),
-        "model_check": spark.createDataFrame(list(model.checks().items()), "invariant string, ok boolean"),
-    }
-
-
-def describe(model: Model) -> str:
-    """Text report: header, tree with matrix statistics."""
+
+
+def start_rows(model: Model) -> Iterator[tuple]:
+    lex = model.lexicon()
+    yield from (tuple(map(int, s)) for s in (lex.start() if lex else ()))
+
+
+def built_rows(model: Model) -> Iterator[tuple]:
+    """What the layers become: kind, sizes and how much each narrows its input."""
+    for path, x in model.network.root.walk():
+        r = runnable(x)
+        yield ".".join(map(str, path)) or "root", r.kind, r.inputs, r.outputs, tensor.x_scale(r)
+
+
+#: The tables of a model file: their columns, and their rows from a loaded model.
+TABLES = {
+    "layers": (LAYER_SCHEMA, lambda m: layer_rows(m.network.root)),
+    "weights": ("layer_id int, gate int, row int, values array<double>", lambda m: ((i, k, r, row.tolist()) for i, (_, x) in enumerate(m.network.root.walk()) for k, w in enumerate(x.matrices) for r, row in enumerate(w))),
+    "charset": ("id int, text string, normed string, script string, properties int", lambda m: ((i, c.text, c.normed, c.script, c.properties) for i, c in enumerate(m.charset))),
+    "recoder": ("unichar_id int, code array<int>", lambda m: enumerate(m.codes)),
+    "dawg_edges": ("dawg string, node long, edge long, unichar_id int, next long, eow boolean, last boolean", graph_rows),
+    "records": ("dawg string, size int, edge long, record long", lambda m: ((type_name(k), size, i, r) for k, (size, records) in m.graphs.items() for i, r in enumerate(records))),
+    "model_check": ("invariant string, ok boolean", lambda m: m.checks().items()),
+    "start": ("kind int, core int, at int, wrap int", start_rows),
+    "built": ("path string, kind string, inputs int, outputs int, x_scale int", built_rows),
+}
+
+
+def rows_of_files(spark: SparkSession, path: str, schema: str, rows: Callable[[bytes], Iterable[tuple]]) -> DataFrame:
+    """(file, ...) from the model files under a path: rows are made where a file is read."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for file, data in zip(b["file"], b["content"]):
+                found = list(rows(bytes(data)))
+                for i in range(0, len(found), 10_000):
+                    part = pd.DataFrame(found[i : i + 10_000], columns=names)
+                    part.insert(0, "file", file)
+                    yield part
+
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content")
+    return files.mapInPandas(run, f"file string, {schema}")
+
+
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One of TABLES, with the file, of all model files under a path; a file that does not parse is an error."""
+    schema, rows = TABLES[name]
+    return rows_of_files(spark, path, schema, lambda data: rows(load_model(data)))
+
+
+def header_rows(data: bytes) -> Iterator[tuple]:
+    """(components, bytes, names, swapped, version) of a container."""
+    c = parse_container(data)
+    yield len(c.present), sum(map(len, c.entries.values())), ",".join(map(type_name, c.present)), c.swapped, c.version
+
+
+#: What read_values reads in turn: struct codes of whole and real numbers.
+VALUE_CODES = dict(i8="b", u8="B", i16="h", i32="i", u32="I", i64="q", f32="f", f64="d")
+
+
+def read_values(packed: DataFrame, key: str, bytes_: str, swap: str) -> DataFrame:
+    """(key, i8, u8, i16, i32, u32, i64, u64, f32, f64, text, reals, left) read in this order from each row's bytes.
+
+    reals is a counted run of float64; u64 is text, as Spark has no such type; left counts unread bytes.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, data, swapped in b.itertuples(index=False):
+                r = Reader(bytes(data), bool(swapped))
+                got = {n: r.one(c) for n, c in VALUE_CODES.items()}
+                out.append({"key": k, **got, "u64": str(r.one("Q")), "text": r.string(), "reals": r.array("f8", r.one("I")).tolist(), "left": r.left})
+            yield pd.DataFrame(out, columns=["key", *VALUE_CODES, "u64", "text", "reals", "left"])
+
+    rows = packed.select(F.col(key).cast("long"), bytes_, swap)
+    return rows.mapInPandas(run, "key long, i8 int, u8 int, i16 int, i32 int, u32 long, i64 long, f32 double, f64 double, u64 string, text string, reals array<double>, left int")
+
+
+def write_values(values: dict, swap: bool) -> bytes:
+    """What read_values reads."""
+    o, text = ">" if swap else "<", values["text"].encode()
+    head = b"".join(struct.pack(o + c, values[n]) for n, c in VALUE_CODES.items())
+    return head + struct.pack(f"{o}QI{len(text)}s", int(values["u64"]), len(text), text) + struct.pack(f"{o}I{len(values['reals'])}d", len(values["reals"]), *values["reals"])
+
+
+def describe(data: bytes) -> list[str]:
+    """Text report of a model file: components; for a model with a network its header, layer tree with matrix statistics, charset, codes and graphs."""
+    c = parse_container(data)
+    out = [f"version {c.version}", f"bytes swapped {c.swapped}", f"components {len(c.present)}"]
+    out += [f"  {type_name(t)} {len(c.entries[t])}" for t in c.present]
+    if LSTM not in c.entries:
+        return [*out, "no network"]
+    model = load_model(data)
     n = model.network
-    out = [f"version {model.version}", f"spec {n.spec}", f"flags {n.training_flags} iteration {n.training_iteration} sample {n.sample_iteration} blank {n.null_char}"]
+    out += [f"spec {n.spec}", f"flags {n.training_flags} iteration {n.training_iteration} sample {n.sample_iteration} blank {n.null_char}", "rates " + " ".join(f"{x:.9g}" for x in n.rates)]
     for path, x in n.root.walk():
         pad = "  " * len(path)
         extra = f" na={x.na}" if x.na else f" pair={x.pair}" if any(x.pair) else f" shape={x.shape}" if x.shape else ""
@@ -457,4 +540,11 @@ def describe(model: Model) -> str:
             low, high, mean = tensor.stats(m.ravel())
             label = GATES[i] if x.type in RECURRENT else str(i)
             out.append(f"{pad}    {label} {m.shape[0]}x{m.shape[1]} min={low:.9g} max={high:.9g} mean={mean:.9g}")
-    return "\n".join(out)
+    out.append(f"charset {len(model.charset)}")
+    out += [f"  {i} {c.text!r} {c.properties:x} {c.script}" + (f" normed {c.normed!r}" if c.normed != c.text else "") for i, c in enumerate(model.charset)]
+    out.append(f"recoder {len(model.codes)} range {model.code_range} longest {max(map(len, model.codes), default=0)}")
+    out += [f"  {i} {code}" + (" BLANK" if code == [n.null_char] else "") for i, code in enumerate(model.codes)]
+    out.append("graphs")
+    for kind in (PUNC_GRAPH, WORD_GRAPH, NUMBER_GRAPH):
+        out.append(f"  {type_name(kind)} " + (f"{len(model.graphs[kind][1])} edges of {model.graphs[kind][0]} characters" if kind in model.graphs else "absent"))
+    return out

@@ -6,10 +6,12 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from folioworks.functions import ctc, raster
-from folioworks.operators import decode, pixels, spatial
+from folioworks.operators import decode, lexical, pixels, spatial
 from folioworks.plans import adapters, catalog
+from folioworks.sources import images
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -102,6 +104,49 @@ def test_charset_lookups_hold_all_ids(spark, tmp_path):
     assert got == {0: "0", 1: "201", 2: "201", 203: None} | {i: str(i - 2) for i in range(3, 203)}
 
 
+def test_lines_without_words_and_codes_without_characters(spark):
+    """Line 1 is all blank, line 2 has a code that stands for nothing, line 3 a word, a space and a word."""
+    one = lambda *codes: [[0.97 if c == k else 0.01 for k in range(4)] for c in codes]
+    rows = [(line, t, p) for line, codes in ((1, (3, 3)), (2, (2, 3, 1)), (3, (1, 0, 1))) for t, p in enumerate(one(*codes))]
+    probs = spark.createDataFrame(rows, "line_id long, t int, features array<double>")
+    chars = spark.createDataFrame([(0, " "), (1, "a")], "code int, text string")
+    got = {r.line_id: (r.text, r.n_words, r.confidence > 0, r.error) for r in decode.lines(probs, chars, 3, 0).collect()}
+    assert got == {1: ("", 0, False, None), 2: (None, 1, True, "code 2 stands for no character"), 3: ("a a", 2, True, None)}
+    words = {(r.line_id, r.word): r.text for r in decode.recognize(probs, chars, 3, 0, 1.0, (0, 0, 9, 9)).collect()}
+    assert words == {(2, 0): None, (3, 0): "a", (3, 1): "a"}
+
+
+def test_error_rate_of_whole_texts(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    texts = ["", "a", "é", "naïve Zoë", "naive Zoe", "x" * 300 + "y", "y" + "x" * 300]
+    pairs = [(a, b) for a in texts for b in texts]
+    got = spark.createDataFrame(pairs, "got string, want string").select("got", "want", decode.error_rate(F.col("got"), F.col("want")).alias("e")).collect()
+    assert all(r.e == (distance(r.got, r.want) / len(r.want) if r.want else float(bool(r.got))) for r in got)
+
+
+def test_pages_become_pixels(spark):
+    """A page of 1000 x 1400 in seconds, null and empty images without rows."""
+    page = np.random.RandomState(3).randint(0, 256, (1400, 1000)).astype(np.uint8)
+    rows = [(1, 1000, 1400, bytearray(page.tobytes())), (2, 0, 0, bytearray()), (3, 5, 5, None)]
+    out = images.explode_pixels(spark.createDataFrame(rows, "image_id long, width int, height int, pix binary"))
+    got = out.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("v") * (F.col("x") + 1000 * F.col("y"))).alias("s")).collect()
+    assert [(r.image_id, r.n, r.s) for r in got] == [(1, page.size, int((page.ravel().astype(np.int64) * np.arange(page.size)).sum()))]
+
+
+def test_a_lexicon_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "MAX_WORDS", 2)
+    words = spark.createDataFrame([("a",), ("b",), ("c",)], "word string")
+    with pytest.raises(ValueError):
+        lexical.classify(words, words, ["a", "b", "c"])
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

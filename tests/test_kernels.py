@@ -189,6 +189,71 @@ def test_beam_without_lexicon_follows_sharp_scores(seed):
     assert [s.char for s in ctc.Beam(5, range(6), chars).decode(p)] == [s.char for s in ctc.greedy(p, 5, chars)]
 
 
+def every_text(p, blank):
+    """The best score of every text by all ways to spell it: no beam, no ranking, straight from the rules.
+
+    A character's run holds its code; before it leaves, or when it begins, it may count the
+    blank's share as its own, which the code at its other end must then keep to.
+    """
+    cost = lambda x: (ctc.certainty(x) + ctc.CERTAINTY_OFFSET) * ctc.DICT_RATIO
+    found: dict = {}
+
+    def go(t, code, follow, text, total):
+        if t == len(p):
+            if follow != ctc.ONLY_REPEAT:
+                found[text] = max(found.get(text, -1e9), total)
+            return
+        row = p[t]
+        best = sorted(range(len(row)), key=lambda c: (-row[c], c))[:2]
+        top = {*best, blank}
+        if code in top:
+            if follow != ctc.NO_REPEAT:
+                go(t + 1, code, ctc.ANY, text, total + cost(row[code]))
+            if follow == ctc.ANY and code != blank:
+                go(t + 1, code, ctc.NO_REPEAT, text, total + cost(row[code] + row[blank]))
+        if follow == ctc.ONLY_REPEAT:
+            return
+        for c in top - {code}:
+            more = text if c == blank else (*text, c)
+            go(t + 1, c, ctc.ANY, more, total + cost(row[c]))
+            if c != blank:
+                swap = row[code] if code not in (None, blank) and follow == ctc.ANY and {code, c} == set(best) else 0.0
+                go(t + 1, c, ctc.ONLY_REPEAT, more, total + cost(row[c] + row[blank] + swap))
+
+    go(0, None, ctc.ANY, (), 0.0)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_beam_finds_the_best_text_of_short_lines(seed):
+    rnd = np.random.RandomState(seed)
+    p = rnd.dirichlet(np.full(4, 0.5), rnd.randint(1, 5))
+    want = every_text(p, 3)
+    text = max(want, key=want.get)
+    out = ctc.Beam(3, range(4), {0: 0, 1: 1, 2: 2}).decode(p)
+    assert tuple(s.char for s in out) == text
+    if out:
+        assert -sum(s.rating for s in out) == pytest.approx(want[text])
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_automaton_by_enumeration(seed):
+    """All words of up to five letters, against patterns with words put in for the wildcard."""
+    from itertools import product
+
+    rnd = np.random.RandomState(seed)
+    words = {tuple(rnd.randint(1, 4, rnd.randint(1, 4)).tolist()) for _ in range(4)}
+    patterns = [(4, None, 5), (None, 4), (5, 5, None)] + [(None,)] * (seed % 2)
+    graph = lambda ws: lexicon.Graph(*zip(*lexicon.build_edges(ws)))
+    lex = lexicon.Lexicon(6, lambda i: 0, graph([[lexicon.WILDCARD if x is None else x for x in w] for w in patterns]), graph(words), None)
+    whole = {tuple(y for x in w for y in (core if x is None else (x,))) for w in patterns for core in words} | words
+    begun = {w[:i] for w in whole for i in range(1, len(w) + 1)}
+    for n in range(1, 6):
+        for w in product(range(1, 6), repeat=n):
+            permuter, end = lex.classify(w)
+            assert ((permuter != lexicon.NO_PERM), end and permuter != lexicon.PUNC_PERM) == (w in begun, w in whole), w
+
+
 def test_graphs():
     g = lexicon.Graph([1, 9, 2], [2, 0, 0], [False, False, True], [True, True, True])
     assert g.contains([1, 2]) and not g.contains([1]) and g.has_prefix([1]) and g.has_prefix([]) and not g.contains([]) and not g.contains([1, 2, 2])
