@@ -175,8 +175,8 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.col("text").alias("got")).join(want, ["conv_id", "turn"])
 
 
-#: DuckDB's levenshtein compares bytes, so the table's few other letters become control characters, one to one.
-PAIRS = r"""wide AS (SELECT c, row_number() OVER (ORDER BY c) + 13 AS k FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM conversations) WHERE c <> '' AND unicode(c) > 127),
+#: DuckDB's levenshtein compares bytes, so the table's few other letters become control characters, one to one (26 at most; none of tab, line feeds and returns).
+PAIRS = r"""wide AS (SELECT c, row_number() OVER (ORDER BY c) AS r, CASE WHEN r <= 8 THEN r ELSE r + 5 END AS k FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM conversations) WHERE c <> '' AND unicode(c) > 127),
     map AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS a, coalesce(string_agg(chr(k::INT), '' ORDER BY c), '') AS b FROM wide),
     c AS (SELECT conv_id, turn, translate(text, map.a, map.b) AS text FROM conversations, map),
     pairs AS (SELECT g.conv_id, g.turn, g.text AS got, w.text AS want FROM c g JOIN c w ON g.conv_id = w.conv_id AND w.turn = g.turn + 1)"""
