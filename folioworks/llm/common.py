@@ -102,8 +102,8 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _WORD = np.ones(256, bool)
 _WORD[[0x20, 9, 10, 11, 12, 13]] = False
 
@@ -159,7 +159,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: i
         hi = int(ends[j - 1])
         if hi - lo > len(p) - 1:  # one word longer than a block
             p, q = _tables(hi - lo + 1)
-        part = _BYTE[_LOWER[data[lo:hi]]] * p[: hi - lo]
+        part = _BYTE[LOWER[data[lo:hi]]] * p[: hi - lo]
         run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)))
         s, e = starts[i:j] - lo, ends[i:j] - lo
         out[i:j] = mix((run[e] - run[s]) * q[s] + (e - s).astype(np.uint64))

@@ -2,9 +2,11 @@
 
 The items of the benchmark are the index, the passages of all training texts the queries.
 Tokens are runs of letters and digits, A-Z lowered. An item's BM25 weights are divided by
-its score against itself, so a score is the share of the item's weight that a passage has.
-Passages are windows of two halves; a half is as long as the longest item, so that any
-item lies in a window as a whole.
+the least weight that a leak of it can have: each shingle that a passage lacks can take one
+token's weight, so a leak lacks at most the weight of as many of the heaviest tokens as it may
+lack shingles. A score of 1 is thus reached by every leak, and none is lost to the search.
+Passages are windows of two halves; a half is as long as the longest item of a shard, so that
+any item lies in a window as a whole; shards hold items of similar length.
 
 Postings are in blocks of ``BLOCK`` items with the block's maximum for each term. Sums of
 block maxima over a half's terms, as array operations over a batch of texts, bound each
@@ -13,11 +15,15 @@ WAND, which returns every item above the threshold. Each hit is verified: the sh
 the 5-word shingles of the item's question, of its answer (its last sentence) and of the
 whole that the passage has. A leak has 0.8 of the whole, or of both parts.
 
-The index is built and broadcast in shards of at most ``SHARD`` items, one pass each.
+The index is built in shards of at most ``SHARD`` items; as many shards as fit in
+``INDEX_BYTES`` are broadcast and searched together, in one pass over the texts.
 
 Edge cases: null or empty texts and items give no row; items with fewer words than a
-shingle are compared as one sequence; equal items are all reported; repeated rows are
-reported once; rows without an id play no part; empty tables give an empty table.
+shingle are compared as one sequence; equal items are all reported; repeated rows, and rows
+that share an id, are reported once, with the best overlap; rows without an id play no part;
+empty tables give an empty table; other columns play no part, whatever their names; very long
+texts are searched window by window, as a whole; ids that are no integers are refused with a
+TypeError.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import bounded, cut, documents, integer_id, mix, unused, utf8, word_hashes
 
 K1, B = 1.2, 0.75
-BLOCK, SHARD = 8, 2048
+BLOCK, SHARD, INDEX_BYTES = 8, 2048, 256 << 20
 SHINGLE = 5
 
 _TOKEN = np.zeros(256, bool)
@@ -83,8 +89,24 @@ def question_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, text)
 
 
+def least_share(weight: dict[int, float], tokens: np.ndarray, lacked: list[tuple[slice, int]]) -> float:
+    """The least share of an item's weight that a passage has if it lacks at most so many shingles of each slice of its tokens.
+
+    Tokens count where they occur first: to lose one, a passage must lack all shingles with it,
+    of which each belongs to at most one lost token.
+    """
+    first = np.zeros(len(tokens))
+    seen: set[int] = set()
+    for i, t in enumerate(tokens.tolist()):
+        if t not in seen:
+            seen.add(t)
+            first[i] = weight[t]
+    gone = sum(np.sort(first[part])[::-1][:n].sum() for part, n in lacked)
+    return max(0.05, 1 - gone / sum(weight.values()))
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], overlap: float = 0.8):
         items = [(i, t) for i, t in items if t]
         tokens = [(i, t, hashes_of(t)) for i, t in items]
         tokens = sorted(((i, t, h) for i, t, h in tokens if len(h)), key=lambda x: x[0])
@@ -96,13 +118,19 @@ class Index:
         n, mean = len(tokens), sum(len(h) for _, _, h in tokens) / max(1, len(tokens))
         df = Counter(t for _, _, h in tokens for t in np.searchsorted(self.terms, np.unique(h)).tolist())
         self.postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for at, (_, _, h) in enumerate(tokens):
-            own = {}
-            for t, tf in Counter(np.searchsorted(self.terms, h).tolist()).items():
+        self.least = np.ones(n)
+        may_lack = lambda part: len(part.grams) - math.ceil(overlap * len(part.grams) - 1e-9)
+        for at, (_, text, h) in enumerate(tokens):
+            own, numbers = {}, np.searchsorted(self.terms, h)
+            for t, tf in Counter(numbers.tolist()).items():
                 own[t] = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / mean))
             total = sum(own.values())
+            question, answer = self.sides[at]
+            asked = len(hashes_of(question_answer(text)[0]))
+            both = [(slice(0, asked), may_lack(question)), (slice(asked, None), may_lack(answer))]
+            self.least[at] = min(least_share(own, numbers, [(slice(None), may_lack(self.whole[at]))]), least_share(own, numbers, both))
             for t, w in own.items():
-                self.postings[t].append((at, w / total))
+                self.postings[t].append((at, w / total / self.least[at]))
         self.blocks = -(-n // BLOCK)
         self.block_max = np.zeros((len(self.terms), self.blocks), np.float32)
         for t, p in self.postings.items():
@@ -112,6 +140,19 @@ class Index:
         self.known = np.zeros(1 << 20, bool)
         self.known[self.terms >> np.uint64(44)] = True
 
+    @property
+    def bytes(self) -> int:
+        """About what it takes in memory."""
+        return self.block_max.nbytes + self.known.nbytes + 100 * sum(map(len, self.postings.values())) + sum(p.grams.nbytes for p in self.whole) * 2
+
+    def hits(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, np.ndarray]]:
+        """(text, item, its share of BM25 weight, the passage's tokens) of all windows and items that may be leaks."""
+        term = self.lookup(h)
+        for d, lo, hi in self.windows(first, term, 1.0):
+            seen = np.unique(term[lo:hi])
+            for at, score in self.search(seen[seen >= 0].tolist(), 1.0):
+                yield d, at, score * self.least[at], h[lo:hi]
+
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Term numbers of hashes, -1 for what no item has."""
         out = np.full(len(h), -1, np.int64)
@@ -197,28 +238,40 @@ class Index:
             yield d, first, int(min(off[d + 1], first + 2 * self.half))
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overlap: float = 0.8, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def shards(items: list[tuple[int, str]], overlap: float) -> list[list[Index]]:
+    """Indexes of items of similar length, in groups that are searched in one pass."""
+    sized = sorted(((len(hashes_of(t)), i, t) for i, t in items if t), key=lambda x: x[:2])
+    parts: list[list] = []
+    for n, i, t in sized:
+        # a shard's windows are as long as its longest item: twice the length begins another
+        if not parts or len(parts[-1]) == SHARD or n > max(64, 2 * parts[-1][0][0]):
+            parts.append([])
+        parts[-1].append((n, i, t))
+    groups: list[list[Index]] = [[]]
+    for part in parts:
+        index = Index([(i, t) for _, i, t in part], overlap)
+        if groups[-1] and sum(x.bytes for x in groups[-1]) + index.bytes > INDEX_BYTES:
+            groups.append([])
+        groups[-1].append(index)
+    return groups
+
+
+def leaks(docs: DataFrame, items: DataFrame, overlap: float = 0.8, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, bm25, question_overlap, answer_overlap, overlap), one row for each document and item it leaks."""
     items = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(integer_id(items, item).alias("i"), F.col(item_text).alias("t")).distinct()
-    shards = max(1, -(-items.count() // SHARD))
     rows = docs.where(F.col(key).isNotNull()).select(integer_id(docs, key).alias("id"), F.col(text).cast("string").alias("text"))
     out = None
-    for shard in range(shards):
-        index = Index([(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == shard).collect()])
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for group in shards([(r.i, r.t) for r in items.collect()], overlap):
+        shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches if index.items else ():
+            for batch in batches if shared.value else ():
                 for i in range(0, batch.num_rows, 512):
                     b = batch.slice(i, 512)
-                    data, off = utf8(b.column(1))
-                    h, first = token_hashes(data, off)
-                    term, ids, found = index.lookup(h), b.column(0).to_pylist(), {}
-                    for d, lo, hi in index.windows(first, term, threshold):
-                        seen = np.unique(term[lo:hi])
-                        for at, score in index.search(seen[seen >= 0].tolist(), threshold):
-                            passage = h[lo:hi]
+                    h, first = token_hashes(*utf8(b.column(1)))
+                    ids, found = b.column(0).to_pylist(), {}
+                    for index in shared.value:
+                        for d, at, score, passage in index.hits(h, first):
                             whole = index.whole[at].share(passage)
                             q, a = (p.share(passage) for p in index.sides[at])
                             if whole >= overlap or q >= overlap and a >= overlap:

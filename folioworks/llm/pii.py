@@ -13,14 +13,18 @@ expands to the left and right, and a validator keeps or drops what it found. Kin
 account and url are dropped where they overlap a base span, url where it overlaps an account.
 
 Edge cases: null and empty texts have no span; rows are independent, so repeated rows
-repeat their result; texts of any length are read as a whole; offsets count code points, the
-end is exclusive; an empty table gives an empty table; other columns play no part.
+repeat their result; texts of any length are read as a whole, in time that grows with their
+length; offsets count code points, the end is exclusive; of spans that begin together all base
+kinds stay, of added ones the earlier kind; an empty table gives an empty table; other columns
+play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -96,7 +100,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         return []
     base: list[tuple[int, int, int]] = []
     more: list[tuple[int, int, int]] = []
-    email = ip = card = phone = 0  # where each kind's last match ended
+    email = ip = card = phone = run = end = 0  # where each kind's last match ended
     low = folded(text)
     for last, (kind, length) in automaton().iter(low):
         at = last - length + 1
@@ -124,12 +128,18 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                     base.append((at, 3, phone))
         elif kind == ":":
             start = at
-            while start > 0 and at - start < 16 and text[start - 1] in _SCHEME:
+            while start > 0 and text[start - 1] in _SCHEME:
                 start -= 1
-            if start < at and text[start].isalpha() and (m := _ADDRESS.match(text, last + 1)):
-                address = m.group().rstrip(".,;:!?")
-                if _HOST.match(address):
-                    more.append((start, 5, last + 1 + len(address)))
+            while start < at and not text[start].isalpha():
+                start += 1
+            if start < at:
+                if last + 1 >= run:  # addresses that begin in one run of characters end with it
+                    run = m.end() if (m := _ADDRESS.match(text, last + 1)) else last + 1
+                    end = run
+                    while end > last + 1 and text[end - 1] in ".,;:!?":
+                        end -= 1
+                if last + 1 < end and _HOST.match(text, last + 1, end):
+                    more.append((start, 5, end))
         elif not (at and (text[at - 1].isalnum() or text[at - 1] == "_")):
             cue = low[at : last + 1]
             if cue == "iban" and (m := _IBAN.match(text, last + 1)):
@@ -137,13 +147,22 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                     more.append((m.start(1), 4, m.end(1)))
             elif (m := _VALUE.match(text, last + 1)) and m.start(1) > last + 1 and len(v := m.group(1)) >= 6 and any(c in _DIGITS for c in v):
                 more.append((m.start(1), 4, m.end(1)))
-    base.sort()
-    more.sort(key=lambda x: (x[1], x[0]))
-    kept: list[tuple[int, int, int]] = []
-    for s, k, e in more:
-        if not any(s < y and x < e for x, _, y in base) and not any(s < y and x < e for x, _, y in kept):
-            kept.append((s, k, e))
-    return [(KINDS[k], s, e) for s, k, e in sorted(base + kept)]
+    kept = sorted(base)
+    for kind in (4, 5):
+        free, after = untouched(kept), 0
+        for s, k, e in sorted(x for x in more if x[1] == kind):
+            if s >= after and free(s, e):
+                base.append((s, k, e))
+                after = e
+        kept = sorted(base)
+    return [(KINDS[k], s, e) for s, k, e in kept]
+
+
+def untouched(spans: list[tuple[int, int, int]]) -> Callable[[int, int], bool]:
+    """Whether an interval overlaps none of the spans, which are sorted by start: those that begin before its end must end before its start."""
+    starts = [s for s, _, _ in spans]
+    ends = [0, *accumulate((e for _, _, e in spans), max)]
+    return lambda s, e: ends[bisect_left(starts, e)] <= s
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))

@@ -9,11 +9,14 @@ rate, a path's towards its host's; sparse sites stay near their parent. A docume
 odds are its evidence's odds times the odds of its path's rate without itself, over the global.
 
 The classifier is fitted on at most ``sample`` labelled rows (parameter, 20,000), drawn by
-hash of the id; labels of two classes weigh alike only by their numbers.
+hash of the id; labels of two classes weigh alike only by their numbers. Labels of documents
+held out are never learned from.
 
 Edge cases: null and empty texts have the evidence of an empty text; null hosts and paths are
 sites of their own; without labels, or with one class only, all evidence is 0.5 and all is
-kept; repeated rows count each; an empty table gives an empty table; texts are read whole.
+kept; of several labels of an id the highest counts; a posterior tied with ``least`` is kept;
+repeated rows count each; an empty table gives an empty table; very long texts are read whole;
+columns of other names play no part.
 """
 
 from __future__ import annotations
@@ -149,16 +152,22 @@ def posteriors(rows: DataFrame) -> DataFrame:
     return out.select(*rows.columns, "host_rate", "path_rate", "posterior")
 
 
-def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = 20_000, least: float = 0.5) -> DataFrame:
-    """(key, evidence, host_rate, path_rate, posterior, kept) of every row."""
-    known = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("label"))
+def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = 20_000, least: float = 0.5, learn: Column | None = None) -> DataFrame:
+    """(key, host, path, evidence, host_rate, path_rate, posterior, kept) of every row; learn chooses the labels to learn from."""
+    known = labels.where(F.col(key).isNotNull() if learn is None else F.col(key).isNotNull() & learn).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("label"))
     rows = docs.select(F.col(key), host.alias("host"), path.alias("path"), F.col(text))
     model = train(rows.join(known, F.col(key) == F.col("id")), "label", text, key, sample)
     out = posteriors(cut(evidence(rows, model, text)))
-    return out.select(key, (1 / (1 + F.exp(-F.col("logit")))).alias("evidence"), "host_rate", "path_rate", "posterior", (F.col("posterior") >= least).alias("kept"))
+    return out.select(key, "host", "path", (1 / (1 + F.exp(-F.col("logit")))).alias("evidence"), "host_rate", "path_rate", "posterior", (F.col("posterior") >= least).alias("kept"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts are the sources, paths their languages' sections."""
+    """documents have no sites: hosts are a source's thousands of ids, their paths the languages.
+
+    So there are ever more hosts, of a few dozen documents each, and sparse paths below them.
+    Documents whose crc32(doc_id as text) mod 4 is 2 are held out of the fit.
+    """
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality(docs, labels, F.col("source"), F.col("lang"))
+    host = F.concat(F.coalesce("source", F.lit("none")), F.lit("."), F.coalesce(F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("none")))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return quality(docs, labels, host, F.col("lang"), learn=~held).withColumn("held_out", held)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, h long, size string, score string, gone string, doc string, n_lines string, own string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, h long, size string, score string, gone string, doc string, n_lines string, own string, of string, taken string, lost string, left string, row string, many string, counted string, license string, host string, evidence string"
 
 
 def sentence(rnd, n):
@@ -19,7 +19,7 @@ def corpus(spark):
     rows += [(23, None, "xx", "s1", 0), (24, "", "xx", "s1", 0), (25, " \t\n\n ", "yy", None, 5), (26, "123 !!", "yy", "s2", 6), (27, "da", "xx", "s2", 2)]
     rows += [(None, base[2], "xx", "s0", 1), (None, None, None, None, None), rows[3], rows[3]]
     rows += [(30, sentence(rnd, 30_000), "xx", "s1", 9)]
-    return spark.createDataFrame([(*r, "a", 1, "b", "c", "d", "e", "f", "g") for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, "a", 1, "b", "c", "d", "e", "f", "g", *"hijklmnopq") for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")
