@@ -6,7 +6,7 @@ from .hmm import op1_lm_score
 from .language import op8_language
 from .licenses import op4_licenses
 from .lines import OP10_SQL, op10_lines
-from .mixing import op7_mixing
+from .mixing import OP7_SQL, op7_mixing
 from .neardup import OP9_SQL, op9_neardup
 from .pii import op2_pii
 from .quality import op5_quality
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_neardup": op9_neardup,
     "op10_lines": op10_lines,
 }
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op9_neardup": OP9_SQL, "op10_lines": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op7_mixing": OP7_SQL, "op9_neardup": OP9_SQL, "op10_lines": OP10_SQL}

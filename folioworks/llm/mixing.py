@@ -52,12 +52,12 @@ def targets(sums: DataFrame, weights: list[int], share: float, most: float) -> D
 
 def bucket(level: int) -> Column:
     """Bucket of the hash ``h`` at a level: its next BITS bits from the top."""
-    return F.shiftrightunsigned(F.col("h"), 64 - BITS * (level + 1)).bitwiseAND(F.lit((1 << BITS) - 1))
+    return prefix(level).bitwiseAND(F.lit((1 << BITS) - 1))
 
 
 def prefix(level: int) -> Column:
     """The leading bits of ``h`` up to and with a level."""
-    return F.shiftrightunsigned(F.col("h"), 64 - BITS * (level + 1))
+    return F.shiftright("h", BITS * (LEVELS - level - 1))
 
 
 def threshold(sized: DataFrame, budgets: DataFrame, near: Column, level_one: DataFrame | None = None) -> DataFrame:
@@ -117,8 +117,9 @@ def planned(sized: DataFrame, weights: list[int], share: float, most: float) ->
 
 
 def sized_rows(docs: DataFrame, key: str) -> tuple[Column, Column]:
-    """(size, h): words of the text, and the hash that decides."""
-    return word_count(F.col("text")), F.xxhash64(F.col(key), F.lit("mix"))
+    """(size, h): words of the text, and the hash that decides: BITS * LEVELS bits, which any engine has."""
+    digits = F.substring(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":mix"))), 1, BITS * LEVELS // 4)
+    return word_count(F.col("text")), F.conv(digits, 16, 10).cast("long")
 
 
 def mix(docs: DataFrame, weights: list[int] = [1, 2, 3], share: float = 1.0, most: float = 3.0, key: str = "doc_id") -> DataFrame:  # noqa: B006
@@ -152,3 +153,33 @@ def mixture(docs: DataFrame, weights: list[int] = [1, 2, 3], share: float = 1.0,
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def _rounds_sql() -> str:
+    """The rounds of the mix over single hashes: a threshold by nested histograms is the one that a running sum crosses."""
+    steps, free, extra = [], "true", "0"
+    for r in range(ROUNDS):
+        of = f"plan{r}"
+        rows = f"SELECT d.source, d.h, sum(d.size) AS n FROM sized d JOIN {of} p ON d.source IS NOT DISTINCT FROM p.source WHERE p.left{r} > 0 AND {free} AND {'true' if r == 0 else f'd.size <= p.left{r}'} GROUP BY d.source, d.h"
+        run = f"SELECT *, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM ({rows})"
+        nearer = f" + (2 * (p.left{r} - (c.upto - c.n)) > c.n)::INT" if r == ROUNDS - 1 else ""
+        steps.append(f"""plan{r + 1} AS (SELECT p.*, CASE WHEN c.h IS NOT NULL THEN c.h{nearer} WHEN p.left{r} > 0 THEN {1 << BITS * LEVELS} ELSE 0 END AS limit{r},
+    CASE WHEN c.h IS NOT NULL THEN p.left{r} - (c.upto - c.n) ELSE 0 END AS left{r + 1} FROM {of} p LEFT JOIN ({run}) c ON c.source IS NOT DISTINCT FROM p.source AND c.upto > p.left{r} AND c.upto - c.n <= p.left{r} AND p.left{r} > 0)""")
+        took = f"({free} AND d.h < p.limit{r} AND d.size <= p.left{r})"
+        free, extra = f"({free} AND NOT {took})", f"{extra} + {took}::INT"
+    return ",\n".join(steps) + f"""
+SELECT doc_id, size, p.source_size, p.target, least(p.whole + {extra}, 3)::BIGINT * size AS taken, d.source, least(p.whole + {extra}, 3)::BIGINT AS copies
+FROM sized d JOIN plan{ROUNDS} p ON d.source IS NOT DISTINCT FROM p.source"""
+
+
+OP7_SQL = rf"""
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, {BITS * LEVELS // 4}))::BIGINT AS h FROM documents),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+ranked AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w, 3.0::DOUBLE * source_size AS cap, sum(source_size) OVER ()::DOUBLE AS total FROM sums),
+levels AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ranked),
+found AS (SELECT *, (SELECT level FROM levels WHERE level * w <= cap ORDER BY cap / w, level LIMIT 1) AS fill FROM levels),
+aimed AS (SELECT source, source_size, least(cap, coalesce(fill * w, cap)) AS target FROM found),
+wholes AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM aimed),
+plan0 AS (SELECT *, greatest(0.0, target - whole * source_size) AS left0 FROM wholes),
+{_rounds_sql()}
+"""

@@ -675,6 +675,7 @@ def test_near_duplicates_by_brute_force(spark, scheme, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     monkeypatch.setattr(neardup, "FEW", 6)
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 4000)
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 30)
     rnd = random.Random(7)
     vocab = [f"v{i}" for i in range(4000)]
     texts = []
@@ -797,6 +798,15 @@ def test_lines_query_equals_sql(spark, sf):
     assert sorted(tuple(r[c] for c in cols) for r in llm.QUERIES["op10_lines"](spark, sf).collect()) == want
 
 
+def test_mixing_query_equals_sql(spark, sf):
+    con = duckdb.connect()
+    for where in ("true", "doc_id % 3 > 0", "doc_id < 40"):
+        con.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet' WHERE {where}")
+        want = sorted(con.sql(llm.ORACLE_SQL["op7_mixing"]).fetchall())
+        got = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet").where(where)).collect()
+        assert sorted((r.doc_id, r["size"], r.source_size, r.target, r.taken, r.source, r.copies) for r in got) == want
+
+
 def test_near_duplicate_query_equals_sql(spark, sf):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
