@@ -43,8 +43,8 @@ from .common import bounded, components, cut, documents, integer_id, mix, shingl
 
 #: Members of a key that a join compares; more go to blocks of BLOCK.
 FEW, BLOCK = 32, 1024
-#: Shingles of a block in the verification.
-BLOCK_SHINGLES = 1_000_000
+#: Shingles and members of a block in the verification.
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1_000_000, 4096
 
 def beyond(n: int, p: float, most: int) -> float:
     """The probability that more than ``most`` of n values differ, each with probability p."""
@@ -252,7 +252,7 @@ def exact_forest(sets: list[np.ndarray], side: np.ndarray | None, percent: int)
 def links(docs: DataFrame, sigs: DataFrame, groups: DataFrame, scheme: Scheme, key: str, text: str) -> DataFrame:
     """(a, b): a spanning forest of the exact links within the groups."""
     sized = groups.join(sigs.select("id", "n"), "id")
-    of = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    of = sized.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).alias("blocks"))
     wanted = cut(groups.join(of, "component").select(F.col("id").alias("want"), F.col("component").alias("g"), "blocks").distinct())
     rows = docs.select(integer_id(docs, key).alias("id"), F.col(text).cast("string").alias("text"))
     chosen = rows.join(bounded(wanted), F.col("id") == F.col("want")).select("id", "g", "blocks", "text")
