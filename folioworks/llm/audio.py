@@ -9,13 +9,14 @@ recordings do not reach it by chance: at least ``z`` standard deviations below w
 have (``UNRELATED``; the deviation falls with the root of the overlap).
 
 Equal fingerprints are one class. The search (``alignments``, the registered query) takes a
-stated set of recordings as queries against all. Multi-index: every integer of a recording
-gives four keys, each without one of its bytes, so that errors within a byte do not hide it.
+stated set of recordings as queries against all. Multi-index: every position of a recording
+gives six keys, its integer and the one ``REACH`` further without two of their four bytes, so
+that errors within two bytes do not hide it and 32 bits remain to tell recordings apart.
 Keys are joined; hits of a pair at each offset are its histogram. Offsets with ``min_votes``
 or more are tested for bit errors, and of those that pass the one with the most votes is the
-pair's alignment. A position that repeats the integer before it has no keys of its own, so
-silence and sustained tones do not multiply hits. The index is approximate; the README has
-its recall against all pairs at all offsets.
+pair's alignment. A position that repeats the one before has no keys of its own, so silence
+and sustained tones do not multiply hits. The index is approximate; the README has its
+recall against all pairs at all offsets.
 
 ``recordings_aligned`` groups recordings into components: with ``every`` it tests all pairs
 at all offsets in pairs of blocks (exact, quadratic), without it pairs with an equal integer.
@@ -31,6 +32,7 @@ refused with a TypeError.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -309,12 +311,18 @@ def recordings_aligned(recordings: DataFrame, key: str, samples: str, rate: int
     return out.select(F.col("id").alias(key), F.size("codes").cast("long").alias("n_codes"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component_id"))
 
 
+#: Positions from the first integer of a key to its second, and the ways to leave out two of the four bytes.
+REACH, LEFT_OUT = 6, [(0xFF << 8 * a) | (0xFF << 8 * b) for a, b in combinations(range(4), 2)]
+
+
 def keys(codes: DataFrame) -> DataFrame:
-    """(key, id, t): every integer without each of its bytes; an integer that repeats the one before has none."""
-    at = codes.select("id", F.posexplode(F.transform("codes", lambda c, i: F.struct(c.alias("c"), F.when(i > 0, F.get("codes", i - 1)).alias("before")))).alias("t", "x"))
-    at = at.where(~F.col("x.c").eqNullSafe(F.col("x.before")))
-    masked = F.array(*(F.col("x.c").bitwiseAND(F.lit(0xFFFFFFFF ^ (0xFF << 8 * b))).bitwiseOR(F.lit((b + 1) << 32)) for b in range(4)))
-    return at.select(F.explode(masked).alias("key"), "id", "t")
+    """(key, id, t): the integers at t and REACH further without two of their bytes; what repeats the position before has none."""
+    pair = lambda i: F.struct(F.get("codes", i).alias("p"), F.get("codes", i + REACH).alias("q"))
+    at = codes.select("id", F.posexplode(F.transform("codes", lambda _, i: F.struct(pair(i).alias("now"), F.when(i > 0, pair(i - 1)).alias("before")))).alias("t", "x"))
+    at = at.where(F.col("x.now.q").isNotNull() & ~F.col("x.now").eqNullSafe(F.col("x.before")))
+    without = lambda c, gone: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF ^ gone))
+    each = F.array(*(F.xxhash64(F.lit(k), without("x.now.p", gone), without("x.now.q", gone)) for k, gone in enumerate(LEFT_OUT)))
+    return at.select(F.explode(each).alias("key"), "id", "t")
 
 
 def alignments(recordings: DataFrame, key: str, samples: str, queries: Column, rate: int | None = None, max_error: float = 0.15, min_overlap: int = 13, z: float = 5.5, min_votes: int = 2) -> tuple[DataFrame, DataFrame]:
