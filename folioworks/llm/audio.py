@@ -56,11 +56,11 @@ BLOCK_CODES, CELLS = 1 << 16, 1 << 14
 
 
 def chroma_of_bins(signal: np.ndarray, frame: int = 24) -> np.ndarray:
-    """(frames, 12) from a short signal: the magnitudes of a frame's 12 frequency bins, every sample a frame."""
-    if len(signal) < frame:
-        return np.zeros((0, PITCHES))
-    view = np.lib.stride_tricks.sliding_window_view(signal, frame) * np.hanning(frame)
-    return np.abs(np.fft.rfft(view, axis=1))[:, 1 : PITCHES + 1]
+    """(..., frames, 12) from short signals (..., samples): the magnitudes of a frame's 12 frequency bins, every sample a frame."""
+    if signal.shape[-1] < frame:
+        return np.zeros((*signal.shape[:-1], 0, PITCHES))
+    view = np.lib.stride_tricks.sliding_window_view(signal, frame, axis=-1) * np.hanning(frame)
+    return np.abs(np.fft.rfft(view, axis=-1))[..., 1 : PITCHES + 1]
 
 
 def chroma_of_pcm(samples: np.ndarray, rate: int, frame: int = 4096, hop: int = 1365, low: float = 55.0, high: float = 3520.0) -> np.ndarray:
@@ -79,20 +79,20 @@ def chroma_of_pcm(samples: np.ndarray, rate: int, frame: int = 4096, hop: int =
 
 
 def fingerprint(chroma: np.ndarray) -> np.ndarray:
-    """Packed integers (uint32), one for each position of SPAN frames."""
-    n = len(chroma) - SPAN + 1
+    """Packed integers (uint32), one for each position of SPAN frames; of one recording or of several of one length."""
+    n = chroma.shape[-2] - SPAN + 1
     if n < 1:
-        return np.zeros(0, np.uint32)
-    norm = np.linalg.norm(chroma, axis=1, keepdims=True)
+        return np.zeros((*chroma.shape[:-2], 0), np.uint32)
+    norm = np.linalg.norm(chroma, axis=-1, keepdims=True)
     x = np.log1p(np.where(norm > 1e-9, chroma / np.maximum(norm, 1e-9), 0.0))
-    total = np.zeros((len(x) + 1, PITCHES + 1))
-    total[1:, 1:] = x.cumsum(0).cumsum(1)
-    t = np.arange(n)
+    total = np.zeros((*x.shape[:-2], x.shape[-2] + 1, PITCHES + 1))
+    total[..., 1:, 1:] = x.cumsum(-2).cumsum(-1)
 
     def area(t0: int, t1: int, y0: int, y1: int) -> np.ndarray:
-        return total[t + t1, y1] - total[t + t0, y1] - total[t + t1, y0] + total[t + t0, y0]
+        late, early = total[..., t1 : t1 + n, :], total[..., t0 : t0 + n, :]
+        return late[..., y1] - early[..., y1] - late[..., y0] + early[..., y0]
 
-    out = np.zeros(n, np.uint32)
+    out = np.zeros((*x.shape[:-2], n), np.uint32)
     for w, y, h, kind in RULE:
         whole = area(0, w, y, y + h)
         m, v = w // 2, h // 2
@@ -109,6 +109,10 @@ def fingerprint(chroma: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Samples that a task turns into fingerprints at once; a longer recording is taken alone.
+SAMPLES = 1 << 17
+
+
 def fingerprints(recordings: DataFrame, key: str, samples: str, rate: int | None = None) -> DataFrame:
     """(id, codes array<long>) of rows with arrays of samples; without a rate they are short signals."""
 
@@ -116,10 +120,18 @@ def fingerprints(recordings: DataFrame, key: str, samples: str, rate: int | None
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 b = batch.slice(i, 1000)
-                out = []
-                for x in b.column(1).to_pylist():
-                    s = np.nan_to_num(np.array([0.0 if v is None else v for v in x or ()], float))
-                    out.append(fingerprint(chroma_of_bins(s) if rate is None else chroma_of_pcm(s, rate)).astype(np.int64))
+                signals = b.column(1).fill_null([])
+                off, flat = signals.offsets.to_numpy(), np.nan_to_num(signals.values.fill_null(0.0).to_numpy(zero_copy_only=False))
+                sizes, out = np.diff(off), [None] * len(b)
+                for size in np.unique(sizes):
+                    rows = np.flatnonzero(sizes == size)  # recordings of one length go together
+                    step = max(1, SAMPLES // max(1, int(size))) if rate is None else 1
+                    for k in range(0, len(rows), step):
+                        part = rows[k : k + step]
+                        x = np.stack([flat[off[r] : off[r + 1]] for r in part])
+                        codes = fingerprint(chroma_of_bins(x)) if rate is None else fingerprint(chroma_of_pcm(x[0], rate))[None]
+                        for r, c in zip(part, codes.astype(np.int64)):
+                            out[r] = c
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "codes"])
 
     rows = recordings.select(integer_id(recordings, key).alias("id"), F.col(samples).cast("array<double>"))
