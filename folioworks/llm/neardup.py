@@ -41,8 +41,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded, components, cut, documents, integer_id, mix, shingles, unused, utf8, word_hashes, word_spans
 
-#: Members of a key that a join compares; more go to blocks of BLOCK.
-FEW, BLOCK = 32, 1024
+#: Members of a key that a join compares; more go to blocks of BLOCK, of which every pair is a group.
+#: A member's row (a signature) is repeated once for each block of its key, so blocks are large.
+FEW, BLOCK = 32, 4096
 #: Shingles and members of a block in the verification.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 1_000_000, 4096
 
