@@ -149,13 +149,17 @@ def _(s, d):
 UNSHARP = (2, 0.4)
 
 
-@query(
-    "img_unsharp",
-    f"""{PIX}, {A.SIZES}, sums AS (SELECT *, sum(v) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS r FROM pixels),
-    boxes AS (SELECT *, sum(r) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS c FROM sums),
-    sharp AS (SELECT *, (v::FLOAT + 0.4::FLOAT * (v::FLOAT - {float(np.float32(1) / np.float32(25))!r}::FLOAT * c::FLOAT))::DOUBLE + 0.5 AS f FROM boxes)
-    SELECT image_id, y, x, (CASE WHEN x >= 2 AND x < w - 2 AND y >= 2 AND y < h - 2 THEN least(255, greatest(0, trunc(f))) ELSE v END)::INT AS v FROM sharp JOIN sizes USING (image_id)""",
-)
+def _sharp_sql(source: str, half: int, fraction: float) -> str:
+    """SQL that sharpens source (image_id, y, x, v)."""
+    around, low = f"ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING", float(np.float32(1) / np.float32((2 * half + 1) ** 2))
+    return f"""extent AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM {source} GROUP BY image_id),
+    sums AS (SELECT *, sum(v) OVER (PARTITION BY image_id, y ORDER BY x {around}) AS r FROM {source}),
+    boxes AS (SELECT *, sum(r) OVER (PARTITION BY image_id, x ORDER BY y {around}) AS c FROM sums),
+    sharp AS (SELECT *, (v::FLOAT + {fraction}::FLOAT * (v::FLOAT - {low!r}::FLOAT * c::FLOAT))::DOUBLE + 0.5 AS f FROM boxes)
+    SELECT image_id, y, x, (CASE WHEN x >= {half} AND x < w - {half} AND y >= {half} AND y < h - {half} THEN least(255, greatest(0, trunc(f))) ELSE v END)::INT AS v FROM sharp JOIN extent USING (image_id)"""
+
+
+@query("img_unsharp", f"{PIX}, {_sharp_sql('pixels', *UNSHARP)}")
 def _(s, d):
     return pixels.unsharp(A.pixels(s, d), *UNSHARP)
 
@@ -240,8 +244,45 @@ def _(s, d):
     return pixels.by_image(inked(s, d), lambda a: {"degrees": [round(math.degrees(raster.skew_angle(a)), 6)]}, "degrees double")
 
 
+def _taps_sql(taps: str) -> str:
+    """CTE taps (image_id, axis, i, src, k, first, last): source positions and weights of each position of a scaled axis.
+
+    ``taps`` makes them of axes (image_id, axis, n, m): n source positions, m scaled ones.
+    """
+    return f"""{A.SIZES}, axes AS (SELECT image_id, axis, n::INT AS n, m::INT AS m FROM (SELECT image_id, 'x' AS axis, w AS n, trunc(({{scale}} * w::FLOAT)::DOUBLE + 0.5) AS m FROM sizes UNION ALL SELECT image_id, 'y', h, trunc(({{scale}} * h::FLOAT)::DOUBLE + 0.5) FROM sizes)),
+    places AS (SELECT *, unnest(range(m))::INT AS i FROM axes), taps AS ({taps}),
+    spread AS (SELECT p.image_id, b.i AS y, a.i AS x, sum(p.v * a.k * b.k)::BIGINT AS total, sum(a.k * b.k)::BIGINT AS area, bool_or(a.far OR b.far) AS far, any_value(p.v) FILTER (a.first AND b.first) AS corner
+    FROM taps a JOIN taps b ON b.image_id = a.image_id AND a.axis = 'x' AND b.axis = 'y' JOIN pixels p ON p.image_id = a.image_id AND p.x = a.src AND p.y = b.src GROUP BY ALL)"""
+
+
+#: Two neighbours in sixteenths; two neighbours in parts of a whole factor; all that a scaled pixel covers, in sixteenths.
+_LINEAR = """SELECT image_id, axis, i, (pos // 16)::INT AS src, (16 - pos % 16)::INT AS k, false AS first, false AS far FROM pos
+    UNION ALL SELECT image_id, axis, i, least(pos // 16 + 1, n - 1)::INT, (pos % 16)::INT, false, false FROM pos"""
+_WHOLE = """SELECT image_id, axis, i, i // {times} AS src, {times} - i % {times} AS k, false AS first, false AS far FROM places
+    UNION ALL SELECT image_id, axis, i, least(i // {times} + 1, n - 1), i % {times}, false, false FROM places"""
+_AREA = """SELECT image_id, axis, i, src, least(greatest(least(hi, src * 16 + 16) - greatest(pos, src * 16), 0), 16)::INT AS k, src = pos // 16 AS first, hi // 16 > n - 2 AS far
+    FROM (SELECT *, unnest(range(n))::INT AS src FROM pos) WHERE src = pos // 16 OR (src * 16 < hi AND src * 16 + 16 > pos)"""
+_POS = """SELECT *, trunc((16 * n)::FLOAT / m::FLOAT * i::FLOAT)::BIGINT AS pos, trunc(((16 * n)::FLOAT / m::FLOAT)::DOUBLE * (i + 1.0::DOUBLE))::BIGINT AS hi FROM places"""
+
+
+def _scale_sql(factor: float) -> str:
+    """The scaling of tiles of 64 x 64 pixels at most; factors below 0.02 find no tile as large as their box."""
+    if factor < 0.02:
+        return f"{PIX}, {A.SIZES} SELECT image_id, 0 AS y, 0 AS x, v FROM pixels JOIN sizes USING (image_id) WHERE y = h // 2 AND x = w // 2"
+    if factor in (2.0, 4.0):
+        taps, value = _WHOLE.format(times=int(factor)), f"total // {int(factor) ** 2}"
+    elif factor < 0.7:
+        taps, value = f"WITH pos AS ({_POS}) {_AREA}", "CASE WHEN far THEN corner ELSE (total + 128) // greatest(area, 1) END"
+    else:
+        taps, value = f"WITH pos AS ({_POS}) {_LINEAR}", "(total + 128) // 256"
+    made = f"{PIX}, {_taps_sql(taps).format(scale=f'{float(np.float32(factor))!r}::FLOAT')}, scaled AS (SELECT image_id, y, x, ({value})::INT AS v FROM spread)"
+    if 0.2 < factor < 0.7:
+        return f"{made}, {_sharp_sql('scaled', 1, 0.2)}"
+    return f"{made}, {_sharp_sql('scaled', 2, 0.4)}" if 0.7 <= factor < 1.4 else f"{made} SELECT image_id, y, x, v FROM scaled"
+
+
 def _scales(name: str, factor: float) -> None:
-    query(name)(lambda s, d: pixels.map_images(A.pixels(s, d), lambda a: raster.scale_gray(a, factor)))
+    query(name, _scale_sql(factor))(lambda s, d: pixels.map_images(A.pixels(s, d), lambda a: raster.scale_gray(a, factor)))
 
 
 for _name, _factor in (("img_scale_li", 1.3), ("img_scale_2x", 2.0), ("img_scale_4x", 4.0), ("img_scale_area", 0.4), ("img_scale_smooth", 0.01), ("img_scale", 36 / 64)):
@@ -425,7 +466,15 @@ def _gates(n: int, size: int) -> list[np.ndarray]:
     return [rnd.uniform(-1, 1, (size, n + size + 1)) for _ in range(4)]
 
 
-query("nn_convolve")(_tensor_rows(lambda x: tensor.convolve(x, 1, 1, tensor.Fill(1))))
+query(
+    "nn_convolve",
+    f"""{PIX.replace("WITH ", "WITH RECURSIVE ", 1)}, {A.SIZES}, around AS (SELECT image_id, y, x, w, h, dx, dy FROM pixels JOIN sizes USING (image_id), range(-1, 2) AS a(dx), range(-1, 2) AS b(dy)),
+    beyond AS (SELECT image_id, y, x, dx, dy, row_number() OVER (PARTITION BY image_id ORDER BY y, x, dx, dy) AS draw FROM around WHERE y + dy < 0 OR y + dy >= h OR x + dx < 0 OR x + dx >= w),
+    fill(draw, state) AS (SELECT 0, (1::HUGEINT * 6364136223846793005 + 1442695040888963407) % 18446744073709551616
+    UNION ALL SELECT draw + 1, (state * 6364136223846793005 + 1442695040888963407) % 18446744073709551616 FROM fill WHERE draw < (SELECT max(draw) FROM beyond))
+    SELECT a.image_id, a.y, a.x, ((a.dx + 1) * 3 + a.dy + 1)::INT AS feature, (p.v::FLOAT / 127.5::FLOAT - 1::FLOAT)::DOUBLE AS value FROM around a JOIN pixels p ON p.image_id = a.image_id AND p.y = a.y + a.dy AND p.x = a.x + a.dx
+    UNION ALL SELECT image_id, y, x, ((dx + 1) * 3 + dy + 1)::INT, (2.0::DOUBLE * (state // 8589934592)::DOUBLE / 2147483647.0::DOUBLE - 1)::FLOAT::DOUBLE FROM beyond JOIN fill USING (draw)""",
+)(_tensor_rows(lambda x: tensor.convolve(x, 1, 1, tensor.Fill(1))))
 query("nn_lstm")(_tensor_rows(lambda x: tensor.lstm(x, _gates(1, 4))))
 query("nn_lstm_summary")(_tensor_rows(lambda x: tensor.lstm(x, _gates(1, 4), True)))
 

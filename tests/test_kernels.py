@@ -105,6 +105,15 @@ def test_scaling():
         raster.scale_gray(a, 0)
 
 
+def test_small_scales_are_means_of_boxes():
+    a = np.random.RandomState(1).randint(0, 256, (230, 310)).astype(np.uint8)
+    got = raster.scale_gray(a, 0.0125)  # boxes of 80 pixels, 4 x 3 of them
+    assert got.shape == (3, 4)
+    for (y, x), v in np.ndenumerate(got):
+        top, left = min(230 * y // 3, 230 - 80), min(310 * x // 4, 310 - 80)
+        assert v == int(np.float32(a[top : top + 80, left : left + 80].sum(dtype=np.int64)) * (np.float32(1) / np.float32(6400)))
+
+
 def test_area_average_by_hand():
     a = np.arange(100, dtype=np.uint8).reshape(10, 10)
     out = raster.area_average(a, 4, 4)  # 40 sixteenths each: two whole pixels and a half
