@@ -13,7 +13,9 @@ landmarks. All rows are scored, as whole texts.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; without any
 labelled row every row is ``und``; ties go to the label that sorts first; repeated rows
-repeat their result; a null label is not learned from; an empty table gives an empty table.
+repeat their result; a null label is not learned from; an empty table gives an empty table;
+texts of any length are read whole, ``batch`` texts at a time; other columns play no part
+and stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, cut, documents
+from .common import bounded, cut, documents, unused
 
 PLACES_BITS = 15
 PLACES = 1 << PLACES_BITS
@@ -123,20 +125,21 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shared.value
-        for b in batches:
-            texts = b.column(at).to_pylist()
-            pred, score = ["und"] * len(texts), np.zeros(len(texts))
-            for i in range(0, len(texts) if names else 0, batch):
-                part = texts[i : i + batch]
-                seen = np.zeros((len(part), PLACES), bool)
-                ok = [j for j, t in enumerate(part) if presence(t, seen[j])]
-                x = seen[ok].astype(np.float32)
-                f = (x @ matrix) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-                p = np.exp(sharp * (f - f.max(1, keepdims=True)) if len(ok) else f)
-                p /= p.sum(1, keepdims=True)
-                for j, k, v in zip(ok, p.argmax(1), p.max(1)):
-                    pred[i + j], score[i + j] = names[k], v
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score)], [*b.schema.names, *into])
+        for whole in batches:
+            for i in range(0, whole.num_rows, batch):  # few texts are held as strings at a time
+                b = whole.slice(i, batch)
+                texts = b.column(at).to_pylist()
+                pred, score = ["und"] * len(texts), np.zeros(len(texts))
+                if names:
+                    seen = np.zeros((len(texts), PLACES), bool)
+                    ok = [j for j, t in enumerate(texts) if presence(t, seen[j])]
+                    x = seen[ok].astype(np.float32)
+                    f = (x @ matrix) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+                    p = np.exp(sharp * (f - f.max(1, keepdims=True)) if len(ok) else f)
+                    p /= p.sum(1, keepdims=True)
+                    for j, k, v in zip(ok, p.argmax(1), p.max(1)):
+                        pred[j], score[j] = names[k], v
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score)], [*b.schema.names, *into])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())])
     return docs.mapInArrow(run, schema)
@@ -157,5 +160,6 @@ def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
     model = train(docs)
     if not model[0]:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    out = predict(docs, model, into=("_lang_pred", "_score"))
-    return out.where((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).drop("_lang_pred", "_score")
+    pred, score = unused("pred", docs), unused("score", docs)
+    out = predict(docs, model, into=(pred, score))
+    return out.where((F.col(pred) != "und") & (F.col(score) >= least)).drop(pred, score)
