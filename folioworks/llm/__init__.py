@@ -1,6 +1,7 @@
 """Operators for training-data pipelines. Nothing outside this package imports it."""
 
 from .audio import op6_fingerprints
+from .centroids import OP11_SQL, op11_centroids
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .hmm import op1_lm_score
 from .language import op8_language
@@ -10,6 +11,7 @@ from .mixing import OP7_SQL, op7_mixing
 from .neardup import OP9_SQL, op9_neardup
 from .pii import op2_pii
 from .quality import op5_quality
+from .warc import OP12_SQL, op12_revisits
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
@@ -22,5 +24,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_neardup": op9_neardup,
     "op10_lines": op10_lines,
+    "op11_centroids": op11_centroids,
+    "op12_revisits": op12_revisits,
 }
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op7_mixing": OP7_SQL, "op9_neardup": OP9_SQL, "op10_lines": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op7_mixing": OP7_SQL, "op9_neardup": OP9_SQL, "op10_lines": OP10_SQL, "op11_centroids": OP11_SQL, "op12_revisits": OP12_SQL}

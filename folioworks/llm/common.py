@@ -28,16 +28,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OWN: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet in the cluster's shared checkpoint folder and read from there.
+def shared_path(spark: SparkSession) -> str:
+    """A path for a new table in the cluster's shared checkpoint folder.
 
-    Unlike checkpoint(), whose result keeps the constraints and statistics of the plan before
-    it, the result is a plain table, so plans of many rounds stay small. The folder is
-    ``spark.checkpoint.dir``. Where the session names none, a folder of our own serves on one
-    machine (local mode); a cluster without a shared folder is an error. Tables are deleted
-    when the application ends.
+    The folder is ``spark.checkpoint.dir``. Where the session names none, a folder of our own
+    serves on one machine (local mode); a cluster without a shared folder is an error.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -46,12 +42,26 @@ def cut(df: DataFrame) -> DataFrame:
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="folioworks-")
         base = _OWN[app]
-    path = f"{base}/folioworks/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    return f"{base}/folioworks/{uuid.uuid4().hex}"
+
+
+def discard_at_exit(spark: SparkSession, path: str) -> None:
+    """Has what lies at a shared_path, and is written already, deleted when the application ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written once as Parquet at a shared_path and read from there.
+
+    Unlike checkpoint(), whose result keeps the constraints and statistics of the plan before
+    it, the result is a plain table, so plans of many rounds stay small. Tables are deleted
+    when the application ends.
+    """
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    discard_at_exit(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Bytes of rows that may be broadcast; beyond it a join is a shuffle. Read at each call, so tests can lower it.
@@ -72,6 +82,26 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
+#: A group is hot if it holds more than one in HOT_SHARE of all rows, so at most HOT_SHARE groups are; its rows are dealt to SALTS tasks.
+HOT_SHARE, SALTS = 1000, 64
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined to the one row of groups with their key, so that no group of rows fills a task.
+
+    groups is written already and holds each key once, with how many of rows have it in the
+    column count. Keys of hot groups are broadcast, HOT_SHARE of them at most; their rows are
+    dealt out by a salt, and the rows of groups that they meet are repeated for each salt.
+    Keys are not null. rows come from a written table, as the salt is drawn by position.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    hot = groups.where(F.col(count) > max(SALTS, total // HOT_SHARE)).select(F.col(key).alias("_hot"))
+    salted = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    salted = salted.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.floor(F.rand(7) * SALTS)).cast("int")).drop("_hot")
+    each = F.when(F.col(count) > max(SALTS, total // HOT_SHARE), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(groups.withColumn("_salt", F.explode(each)), [key, "_salt"]).drop("_salt")
+
+
 def integer_id(table: DataFrame, key: str) -> Column:
     """The id column as long. Ids of other types are refused: number them first."""
     kind = table.schema[key].dataType.typeName()
