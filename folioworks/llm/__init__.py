@@ -11,6 +11,7 @@ from .mixing import OP7_SQL, op7_mixing
 from .neardup import OP9_SQL, op9_neardup
 from .pii import op2_pii
 from .quality import op5_quality
+from .trie import OP13_SQL, op13_trie
 from .warc import OP12_SQL, op12_revisits
 
 QUERIES = {
@@ -26,5 +27,6 @@ QUERIES = {
     "op10_lines": op10_lines,
     "op11_centroids": op11_centroids,
     "op12_revisits": op12_revisits,
+    "op13_trie": op13_trie,
 }
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op7_mixing": OP7_SQL, "op9_neardup": OP9_SQL, "op10_lines": OP10_SQL, "op11_centroids": OP11_SQL, "op12_revisits": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op7_mixing": OP7_SQL, "op9_neardup": OP9_SQL, "op10_lines": OP10_SQL, "op11_centroids": OP11_SQL, "op12_revisits": OP12_SQL, "op13_trie": OP13_SQL}
