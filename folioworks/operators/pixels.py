@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import raster
+from . import runs
 
 ROW, COLUMN = ("image_id", "y"), ("image_id", "x")
 
@@ -204,31 +205,18 @@ def map_images(pixels: DataFrame, kernel) -> DataFrame:
 
 def components(bits: DataFrame, connectivity: int) -> DataFrame:
     """(image_id, comp, x0, y0, x1, y1, pixels) in raster order of the first pixels."""
-
-    def kernel(a: np.ndarray) -> dict:
-        rows = raster.components(a, connectivity)
-        cols = list(zip(*rows)) or [()] * 5
-        return {"comp": np.arange(len(rows), dtype="int32"), **{n: np.array(c, "int32") for n, c in zip(("x0", "y0", "x1", "y1", "pixels"), cols)}}
-
-    return by_image(bits, kernel, "comp int, x0 int, y0 int, x1 int, y1 int, pixels int")
+    comp = (F.row_number().over(Window.partitionBy("image_id").orderBy("root")) - 1).cast("int")
+    return runs.components(bits, connectivity).select("image_id", comp.alias("comp"), "x0", "y0", "x1", "y1", "pixels")
 
 
 def seed_fill(seeds: DataFrame, mask: DataFrame, connectivity: int) -> DataFrame:
     """(image_id, y, x) of the mask's components that hold a seed."""
-    both = mask.join(seeds.select("image_id", "y", "x", F.col("v").alias("seed")), ["image_id", "y", "x"], "left").fillna(0, ["seed"])
-
-    def kernel(m: np.ndarray, s: np.ndarray) -> dict:
-        filled = raster.seed_fill(s, m, connectivity)
-        out = as_rows(filled, where=filled)
-        out.pop("v")
-        return out
-
-    return by_image(both, kernel, "y int, x int", ("v", "seed"))
+    return runs.seed_fill(seeds, mask, connectivity)
 
 
 def distance(bits: DataFrame) -> DataFrame:
     """(image_id, y, x, d) of ink: city-block distance to paper or the outside, at most 255."""
-    return by_image(bits, lambda a: as_rows(raster.city_block(a), "d", a), "y int, x int, d int")
+    return runs.distance(bits)
 
 
 # -- skew --------------------------------------------------------------------
