@@ -112,20 +112,25 @@ def raster_op(dst: DataFrame, rect: tuple[int, int, int, int], op: str, src: Dat
     return both.select("image_id", "y", "x", v.alias("v"))
 
 
-def rotate(bits: DataFrame, radians: float) -> DataFrame:
-    """Nearest source pixel by truncation about the centre; what turns in from outside is paper."""
-    angle = np.float32(radians)
-    s, c = float(np.float32(math.sin(float(angle)))), float(np.float32(math.cos(float(angle))))
+def turned(bits: DataFrame, radians: Column) -> DataFrame:
+    """Nearest source pixel by truncation about the centre, by each image's angle; what turns in from outside is paper."""
+    single = lambda e: e.cast("float").cast("double")
+    s, c = single(F.sin(single(radians))), single(F.cos(single(radians)))
     grid = bits.join(sizes(bits), "image_id").withColumn("cx", F.floor(F.col("w") / 2)).withColumn("cy", F.floor(F.col("h") / 2))
     dx, dy = F.col("cx") - F.col("x"), F.col("cy") - F.col("y")
     cut = lambda e: F.when(e < 0, F.ceil(e)).otherwise(F.floor(e))
-    sx = F.col("cx") + cut((-dx * F.lit(c) - dy * F.lit(s)).cast("float"))
-    sy = F.col("cy") + cut((-dy * F.lit(c) + dx * F.lit(s)).cast("float"))
+    sx = F.col("cx") + cut((-dx * c - dy * s).cast("float"))
+    sy = F.col("cy") + cut((-dy * c + dx * s).cast("float"))
     want = grid.select("image_id", "y", "x", sx.cast("int").alias("sx"), sy.cast("int").alias("sy"))
     source = bits.select("image_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "v")
     return want.join(source, ["image_id", "sx", "sy"], "left").select("image_id", "y", "x", F.coalesce("v", F.lit(0)).alias("v"))
 
 
+def rotate(bits: DataFrame, radians: float) -> DataFrame:
+    """All images turned by one angle."""
+    return turned(bits, F.lit(radians))
+
+
 # -- scaling, sharpening -----------------------------------------------------
 
 
