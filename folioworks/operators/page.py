@@ -75,15 +75,20 @@ def valley_cuts(rows: DataFrame, least: int = LEAST_CORE) -> DataFrame:
     return valley.select(*key, F.col("low.y").alias("cut"))
 
 
-def text_lines(bits: DataFrame, gaps: tuple[int, int, int] = GAPS, least: int = LEAST_CORE) -> DataFrame:
-    """(image_id, block, line, x0, y0, x1, y1, ink): half-open boxes of the ink of each line, lines of a block from 0 on."""
+def lined(bits: DataFrame, gaps: tuple[int, int, int] = GAPS, least: int = LEAST_CORE) -> tuple[DataFrame, DataFrame]:
+    """(ink with its block, (image_id, block, y, line) of the rows of every block): lines of a block from 0 on."""
     ink = cut(blocks(bits, gaps))
     rows = cut(profile(ink))
     cuts = valley_cuts(rows, least).groupBy("image_id", "block").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
     # a block's cuts are fewer than its rows
     line = F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("y"))), F.lit(0))
-    named = rows.select("image_id", "block", "y").join(cuts, ["image_id", "block"], "left").select("image_id", "block", "y", line.alias("line"))
-    each = ink.join(named, ["image_id", "block", "y"]).groupBy("image_id", "block", "line")
+    return ink, rows.select("image_id", "block", "y").join(cuts, ["image_id", "block"], "left").select("image_id", "block", "y", line.alias("line"))
+
+
+def text_lines(bits: DataFrame, gaps: tuple[int, int, int] = GAPS, least: int = LEAST_CORE) -> DataFrame:
+    """(image_id, block, line, x0, y0, x1, y1, ink): half-open boxes of the ink of each line."""
+    ink, rows = lined(bits, gaps, least)
+    each = ink.join(rows, ["image_id", "block", "y"]).groupBy("image_id", "block", "line")
     return each.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"), F.count("*").alias("ink"))
 
 
@@ -123,3 +128,69 @@ def find_lines(gray: DataFrame, gaps: tuple[int, int, int] = GAPS, least: int =
     Boxes are those of the upright page; images whose skew is 0 keep their coordinates.
     """
     return numbered(text_lines(cut(deskewed(cut(pixels.otsu(gray)))), gaps, least))
+
+
+# -- baselines and words -------------------------------------------------------
+
+#: Points at each end of a line that candidates of its baseline go through.
+ENDS = 3
+LINE = ["image_id", "block", "line"]
+
+
+def line_components(bits: DataFrame, gaps: tuple[int, int, int] = GAPS, least: int = LEAST_CORE) -> DataFrame:
+    """(image_id, block, line, root, x0, y0, x1, y1) of the components of ink: a component is of the line that has its middle row."""
+    ink, rows = lined(bits, gaps, least)
+    found = runs.components(bits, 8)
+    at = ink.select("image_id", "block", runs.run_name(F.col("y"), F.col("x")).alias("root"))
+    middle = F.floor((F.col("y0") + F.col("y1") - 1) / 2).cast("int")
+    return found.join(at, ["image_id", "root"]).withColumn("y", middle).join(rows, ["image_id", "block", "y"]).select(*LINE, "root", "x0", "y0", "x1", "y1")
+
+
+def baselines(boxes: DataFrame) -> DataFrame:
+    """(image_id, block, line, slope, offset, error, n) of the components' feet: y = offset + slope * x by least median of squares.
+
+    Candidates go through one of the first and one of the last ENDS feet of a line, so a line has
+    nine at most; that with the least median of squared vertical distances wins, of equals the
+    first. Outliers (commas, stems, specks) under half of the feet do not move it. A line with
+    feet at one x only is level, at the first of them.
+    """
+    line = Window.partitionBy(*LINE)
+    order = line.orderBy("x", "y", "root")
+    feet = boxes.select(*LINE, "root", ((F.col("x0") + F.col("x1")) / 2).alias("x"), F.col("y1").cast("double").alias("y"))
+    feet = feet.withColumn("k", F.row_number().over(order)).withColumn("n", F.count("*").over(line))
+    ends = feet.where((F.col("k") <= ENDS) | (F.col("k") > F.col("n") - ENDS))
+    at = lambda side: ends.select(*LINE, *(F.col(c).alias(f"{c}{side}") for c in ("k", "x", "y")), *(["n"] if side == "a" else []))
+    pairs = at("a").join(at("b"), LINE).where((F.col("ka") <= ENDS) & (F.col("kb") > F.col("n") - ENDS) & (F.col("xa") < F.col("xb")))
+    slope = (F.col("yb") - F.col("ya")) / (F.col("xb") - F.col("xa"))
+    lines = pairs.select(*LINE, "ka", "kb", slope.alias("slope"), (F.col("ya") - slope * F.col("xa")).alias("offset"))
+    level = feet.where("k = 1").select(*LINE, F.lit(0).alias("ka"), F.lit(0).alias("kb"), F.lit(0.0).alias("slope"), F.col("y").alias("offset"))
+    level = level.join(lines.select(*LINE).distinct(), LINE, "left_anti")
+    off = F.col("y") - F.col("offset") - F.col("slope") * F.col("x")
+    each = lines.unionByName(level).join(feet.select(*LINE, "x", "y", "n"), LINE).withColumn("r", F.round(off * off, 6))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy(*LINE, "ka", "kb").orderBy("r"))).where(F.col("rank") == F.floor(F.col("n") / 2) + 1)
+    best = ranked.groupBy(*LINE, "n").agg(F.min(F.struct("r", "ka", "kb", "slope", "offset")).alias("b"))
+    return best.select(*LINE, F.col("b.slope").alias("slope"), F.col("b.offset").alias("offset"), F.col("b.r").alias("error"), "n")
+
+
+def word_gaps(boxes: DataFrame) -> DataFrame:
+    """boxes with gap, the columns of paper before a component in its line (null for the first), and space, the largest gap within a word of the line.
+
+    space splits the histogram of a line's gaps where the classes on both sides differ most (as
+    Otsu's threshold does for gray levels); of lines with gaps of one size it is that size.
+    """
+    order = Window.partitionBy(*LINE).orderBy("x0", "y0", "root")
+    reached = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    each = boxes.withColumn("gap", F.when(reached.isNotNull(), F.greatest(F.col("x0") - reached, F.lit(0))))
+    known = each.where("gap is not null").select(F.struct(*LINE).alias("image_id"), F.col("gap").alias("v"))
+    split = pixels.otsu_thresholds(known).select(*(F.col(f"image_id.{c}").alias(c) for c in LINE), F.col("threshold").alias("cut"))
+    widest = known.groupBy("image_id").agg(F.max("v").alias("most"), F.min("v").alias("least"))
+    widest = widest.select(*(F.col(f"image_id.{c}").alias(c) for c in LINE), "most", "least")
+    both = each.join(split, LINE, "left").join(widest, LINE, "left")
+    return both.withColumn("space", F.when(F.col("most") == F.col("least"), F.col("most")).otherwise(F.col("cut"))).drop("cut", "most", "least")
+
+
+def word_boxes(boxes: DataFrame) -> DataFrame:
+    """(image_id, block, line, word, x0, y0, x1, y1, n): tight boxes of the components between a line's wide gaps."""
+    order = Window.partitionBy(*LINE).orderBy("x0", "y0", "root")
+    words = word_gaps(boxes).withColumn("word", F.sum(F.coalesce((F.col("gap") > F.col("space")).cast("int"), F.lit(0))).over(order).cast("int"))
+    return words.groupBy(*LINE, "word").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import page
+from ..operators import columns, page
 from . import adapters as A
 from .catalog import PIX, query
 
@@ -59,3 +59,79 @@ def _(s, d):
 def _(s, d):
     lines = page.numbered(page.text_lines(page_bits(s, d), PAGE_GAPS, PAGE_CORE))
     return page.line_images(A.pixels(s, d), lines, 1).withColumn("pix", F.hex("pix"))
+
+
+#: Components of ink by closure over runs that touch, each in the line that has its middle row.
+COMPONENTS = f"""{LINES}, strokes AS (SELECT image_id, y, min(x) AS x0, max(x) + 1 AS x1, y * 4294967296 + min(x) AS run FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS island FROM ink WHERE v = 1) GROUP BY image_id, y, island),
+    touch AS MATERIALIZED (SELECT a.image_id, a.run AS a, b.run AS b FROM strokes a JOIN strokes b ON a.image_id = b.image_id AND abs(a.y - b.y) = 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1),
+    spread(image_id, run, root) AS (SELECT image_id, run, run FROM strokes UNION SELECT r.image_id, n.b, r.root FROM spread r JOIN touch n ON n.image_id = r.image_id AND n.a = r.run),
+    parts AS (SELECT image_id, run, min(root) AS root FROM spread GROUP BY ALL),
+    comps AS (SELECT s.image_id, p.root, min(s.x0) AS x0, min(s.y) AS y0, max(s.x1) AS x1, max(s.y) + 1 AS y1 FROM strokes s JOIN parts p USING (image_id, run) GROUP BY s.image_id, p.root),
+    boxes AS MATERIALIZED (SELECT c.image_id, d.block, (SELECT count(*) FROM cuts k WHERE k.image_id = c.image_id AND k.block = d.block AND k.cut <= (c.y0 + c.y1 - 1) // 2) AS line, c.root, c.x0, c.y0, c.x1, c.y1
+        FROM comps c JOIN dots d ON d.image_id = c.image_id AND d.y * 4294967296 + d.x = c.root)"""
+
+_FITS = """feet AS (SELECT image_id, block, line, (x0 + x1) / 2 AS x, y1::DOUBLE AS y, row_number() OVER (PARTITION BY image_id, block, line ORDER BY x0 + x1, y1, root) AS k, count(*) OVER (PARTITION BY image_id, block, line) AS n FROM boxes),
+    pairs AS (SELECT a.image_id, a.block, a.line, a.k AS ka, b.k AS kb, (b.y - a.y) / (b.x - a.x) AS slope, a.y - (b.y - a.y) / (b.x - a.x) * a.x AS off FROM feet a JOIN feet b USING (image_id, block, line) WHERE a.k <= 3 AND b.k > b.n - 3 AND a.x < b.x),
+    tried AS (SELECT * FROM pairs UNION ALL SELECT image_id, block, line, 0, 0, 0.0, y FROM feet f WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.image_id = f.image_id AND p.block = f.block AND p.line = f.line)),
+    errors AS (SELECT t.*, f.n, round(pow(f.y - t.off - t.slope * f.x, 2), 6) AS r FROM tried t JOIN feet f USING (image_id, block, line)),
+    medians AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, block, line, ka, kb ORDER BY r) AS rank FROM errors) WHERE rank = n // 2 + 1),
+    fits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, block, line ORDER BY r, ka, kb) AS place FROM medians) WHERE place = 1)"""
+
+
+@query("page_baselines", f"WITH RECURSIVE {COMPONENTS}, {_FITS} SELECT image_id, block::BIGINT AS block, line::INT AS line, round(slope, 6) + 0.0 AS slope, round(off, 6) + 0.0 AS off, r AS error, n FROM fits")
+def _(s, d):
+    found = page.baselines(page.line_components(page_bits(s, d), PAGE_GAPS, PAGE_CORE))
+    return found.select("image_id", "block", "line", (F.round("slope", 6) + F.lit(0.0)).alias("slope"), (F.round("offset", 6) + F.lit(0.0)).alias("off"), "error", "n")
+
+
+_WORDS = """spaced AS (SELECT *, greatest(x0 - max(x1) OVER (PARTITION BY image_id, block, line ORDER BY x0, y0, root ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap, x0 > min(x0) OVER (PARTITION BY image_id, block, line) AS later FROM boxes),
+    marked_ AS (SELECT *, row_number() OVER (PARTITION BY image_id, block, line ORDER BY x0, y0, root) AS k FROM spaced),
+    gaps AS (SELECT image_id, block, line, gap FROM marked_ WHERE k > 1),
+    levels AS (SELECT DISTINCT image_id, block, line, gap AS level FROM gaps),
+    splits AS (SELECT l.image_id, l.block, l.line, l.level, count(*) FILTER (WHERE gap <= level) AS a, count(*) FILTER (WHERE gap > level) AS b, avg(gap) FILTER (WHERE gap <= level) AS ma, avg(gap) FILTER (WHERE gap > level) AS mb FROM levels l JOIN gaps g USING (image_id, block, line) GROUP BY ALL),
+    chosen AS (SELECT image_id, block, line, CASE WHEN count(*) = 1 THEN min(level) ELSE arg_min(level, (-coalesce(round(a::DOUBLE * b * (ma - mb) * (ma - mb), 9), 0), level)) END AS space FROM splits GROUP BY ALL),
+    worded AS (SELECT m.*, sum(CASE WHEN k > 1 AND gap > space THEN 1 ELSE 0 END) OVER (PARTITION BY m.image_id, m.block, m.line ORDER BY k) AS word FROM marked_ m LEFT JOIN chosen c USING (image_id, block, line))"""
+
+
+@query("page_words", f"WITH RECURSIVE {COMPONENTS}, {_WORDS} SELECT image_id, block::BIGINT AS block, line::INT AS line, word::INT AS word, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM worded GROUP BY image_id, block, line, word")
+def _(s, d):
+    return page.word_boxes(page.line_components(page_bits(s, d), PAGE_GAPS, PAGE_CORE))
+
+
+# -- columns -------------------------------------------------------------------
+
+
+def column_boxes(s, d):
+    """Order lines as boxes in three columns of a supplier's page; seventh lines span them all."""
+    li = A.table(s, d, "lineitem")
+    span, at = F.col("l_linenumber") == 7, (F.col("l_linenumber") % 3) * 330 + F.col("l_partkey") % 3
+    x0 = F.when(span, F.lit(0)).otherwise(at)
+    y0 = F.col("l_orderkey") * 37 % 4000
+    rows = li.select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), x0.alias("x0"), y0.alias("y0"), F.when(span, 980).otherwise(x0 + 20 + F.floor(F.col("l_quantity") * 5)).alias("x1"), (y0 + 9).alias("y1"))
+    return rows.distinct()
+
+
+COLUMN_BOXES = """boxes AS (SELECT DISTINCT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber = 7 THEN 0 ELSE l_linenumber % 3 * 330 + l_partkey % 3 END AS x0, l_orderkey * 37 % 4000 AS y0,
+    CASE WHEN l_linenumber = 7 THEN 980 ELSE l_linenumber % 3 * 330 + l_partkey % 3 + 20 + floor(l_quantity * 5)::BIGINT END AS x1, l_orderkey * 37 % 4000 + 9 AS y1 FROM lineitem)"""
+STOPS = f"""{COLUMN_BOXES}, edges AS (SELECT page, 'left' AS side, x0 AS x FROM boxes UNION ALL SELECT page, 'right', x1 FROM boxes), hist AS (SELECT page, side, x, count(*) AS n FROM edges GROUP BY ALL),
+    held AS (SELECT a.page, a.side, a.x, sum(b.n)::BIGINT AS support, (SELECT sum(n) FROM hist h WHERE h.page = a.page AND h.side = a.side) AS total FROM hist a JOIN hist b ON b.page = a.page AND b.side = a.side AND abs(a.x - b.x) <= 4 GROUP BY a.page, a.side, a.x),
+    stops AS (SELECT page, side, x, support FROM held a WHERE support >= 0.1 * total AND NOT EXISTS (SELECT 1 FROM held b WHERE b.page = a.page AND b.side = a.side AND abs(a.x - b.x) <= 40 AND (b.support > a.support OR (b.support = a.support AND b.x < a.x))))"""
+ORDERED = f"""{STOPS}, placed AS (SELECT b.*, greatest((SELECT count(*) FROM stops s WHERE s.page = b.page AND side = 'left' AND s.x <= b.x0 + 4) - 1, 0) AS col, EXISTS (SELECT 1 FROM stops s WHERE s.page = b.page AND side = 'left' AND s.x > b.x0 + 4 AND s.x < b.x1 - 4) AS spans FROM boxes b),
+    banded AS (SELECT *, sum(spans::INT) OVER (PARTITION BY page ORDER BY y0, spans DESC, x0, id, x1, y1) AS band, CASE WHEN spans THEN -1 ELSE col END AS c FROM placed),
+    begun AS (SELECT *, coalesce((y0 - max(y1) OVER (PARTITION BY page, band, c ORDER BY y0, x0, id, x1, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 24)::INT, 1) AS starts FROM banded),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY band, c, y0, x0, id, x1, y1) - 1 AS ord, sum(starts) OVER (PARTITION BY page ORDER BY band, c, y0, x0, id, x1, y1) - 1 AS block FROM begun)"""
+
+
+@query("page_tabs", f"WITH {STOPS} SELECT page, side, x, support FROM stops")
+def _(s, d):
+    return columns.tab_stops(column_boxes(s, d))
+
+
+@query("page_order", f"WITH {ORDERED} SELECT page, id, x0, y0, x1, y1, col::INT AS col, spans, band::INT AS band, block::INT AS block, ord::INT AS ord FROM ordered")
+def _(s, d):
+    return columns.reading_order(column_boxes(s, d))
+
+
+@query("page_blocks", f"WITH {ORDERED} SELECT page, block::INT AS block, band::INT AS band, col::INT AS col, spans, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM ordered GROUP BY page, block, band, col, spans")
+def _(s, d):
+    return columns.blocks(columns.reading_order(column_boxes(s, d)))
