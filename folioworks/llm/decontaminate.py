@@ -5,6 +5,9 @@ Tokens are runs of letters and digits, A-Z lowered. An item's BM25 weights are d
 the least weight that a leak of it can have: each shingle that a passage lacks can take one
 token's weight, so a leak lacks at most the weight of as many of the heaviest tokens as it may
 lack shingles. A score of 1 is thus reached by every leak, and none is lost to the search.
+An item whose leaks may have next to none of its weight (one of many that differ in a rare word
+alone) is found by shingles instead: a leak lacks so few that it has one of any few more, so
+the rarest of them are its keys, and every passage with a key is verified.
 Passages are windows of two halves; a half is as long as the longest item of a shard, so that
 any item lies in a window as a whole; shards hold items of similar length.
 
@@ -43,6 +46,8 @@ from .common import bounded, cut, documents, integer_id, mix, unused, utf8, word
 K1, B = 1.2, 0.75
 BLOCK, SHARD, INDEX_BYTES = 8, 2048, 256 << 20
 SHINGLE = 5
+#: Items whose leaks may have a lower share of their weight than this are found by their rarest shingles.
+SURE = 0.05
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -102,7 +107,7 @@ def least_share(weight: dict[int, float], tokens: np.ndarray, lacked: list[tuple
             seen.add(t)
             first[i] = weight[t]
     gone = sum(np.sort(first[part])[::-1][:n].sum() for part, n in lacked)
-    return max(0.05, 1 - gone / sum(weight.values()))
+    return 1 - gone / sum(weight.values())
 
 
 class Index:
@@ -119,6 +124,7 @@ class Index:
         df = Counter(t for _, _, h in tokens for t in np.searchsorted(self.terms, np.unique(h)).tolist())
         self.postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         self.least = np.ones(n)
+        loose: dict[int, dict[int, float]] = {}
         may_lack = lambda part: len(part.grams) - math.ceil(overlap * len(part.grams) - 1e-9)
         for at, (_, text, h) in enumerate(tokens):
             own, numbers = {}, np.searchsorted(self.terms, h)
@@ -129,8 +135,13 @@ class Index:
             asked = len(hashes_of(question_answer(text)[0]))
             both = [(slice(0, asked), may_lack(question)), (slice(asked, None), may_lack(answer))]
             self.least[at] = min(least_share(own, numbers, [(slice(None), may_lack(self.whole[at]))]), least_share(own, numbers, both))
+            if self.least[at] < SURE:
+                loose[at] = {int(self.terms[t]): w / total for t, w in own.items()}
+                continue
             for t, w in own.items():
                 self.postings[t].append((at, w / total / self.least[at]))
+        self.loose = loose
+        self.keys = self.rarest(may_lack)
         self.blocks = -(-n // BLOCK)
         self.block_max = np.zeros((len(self.terms), self.blocks), np.float32)
         for t, p in self.postings.items():
@@ -140,10 +151,43 @@ class Index:
         self.known = np.zeros(1 << 20, bool)
         self.known[self.terms >> np.uint64(44)] = True
 
+    def rarest(self, may_lack) -> dict[int, dict[int, list[int]]]:
+        """By length of shingle: key shingles and their loose items. A leak has a key of the whole, or one of the question (the answer's, if nothing is asked)."""
+        parts = {at: (self.whole[at], next((x for x in self.sides[at] if len(x.grams)), self.whole[at])) for at in self.loose}
+        held: dict[int, Counter] = defaultdict(Counter)
+        for at in self.loose:
+            for part in parts[at]:
+                held[part.k].update(part.grams.tolist())
+        keys: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for at in self.loose:
+            for part in parts[at]:
+                for g in sorted(part.grams.tolist(), key=lambda g: (held[part.k][g], g))[: may_lack(part) + 1]:
+                    if at not in keys[part.k][g][-1:]:
+                        keys[part.k][g].append(at)
+        return {k: dict(v) for k, v in keys.items()}
+
+    def keyed(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, np.ndarray]]:
+        """hits of the loose items: all windows that hold a key, verified by the caller."""
+        found = set()
+        for k, table in self.keys.items():
+            known = np.sort(np.array(list(table), np.uint64))
+            rolled = grams(h, k)
+            at = np.flatnonzero(known[np.minimum(np.searchsorted(known, rolled), len(known) - 1)] == rolled)
+            text = np.searchsorted(first, at, side="right") - 1
+            whole = at + k <= first[text + 1]
+            for p, d in zip(at[whole].tolist(), text[whole].tolist()):
+                w = (p - int(first[d])) // self.half
+                found.update((d, v, i) for i in table[int(rolled[p])] for v in (w, w - 1) if v >= 0)
+        for d, w, i in sorted(found):
+            lo = int(first[d]) + w * self.half
+            passage = h[lo : min(int(first[d + 1]), lo + 2 * self.half)]
+            has = set(passage.tolist())
+            yield d, i, sum(v for t, v in self.loose[i].items() if t in has), passage
+
     @property
     def bytes(self) -> int:
         """About what it takes in memory."""
-        return self.block_max.nbytes + self.known.nbytes + 100 * sum(map(len, self.postings.values())) + sum(p.grams.nbytes for p in self.whole) * 2
+        return self.block_max.nbytes + self.known.nbytes + 100 * sum(map(len, self.postings.values())) + 100 * sum(len(x) for t in self.keys.values() for x in t.values()) + sum(p.grams.nbytes for p in self.whole) * 2
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, np.ndarray]]:
         """(text, item, its share of BM25 weight, the passage's tokens) of all windows and items that may be leaks."""
@@ -152,6 +196,7 @@ class Index:
             seen = np.unique(term[lo:hi])
             for at, score in self.search(seen[seen >= 0].tolist(), 1.0):
                 yield d, at, score * self.least[at], h[lo:hi]
+        yield from self.keyed(h, first)
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Term numbers of hashes, -1 for what no item has."""
@@ -165,7 +210,7 @@ class Index:
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Block-max WAND: all items whose score for the distinct terms reaches the threshold."""
-        lists = [[self.postings[t], 0, t] for t in terms]
+        lists = [[self.postings[t], 0, t] for t in terms if t in self.postings]
         found = []
         while lists:
             lists.sort(key=lambda x: x[0][x[1]][0])

@@ -218,6 +218,38 @@ def test_leaks_by_brute_force(spark, sf):
     assert got == want and want
 
 
+def shingle_leaks(items, texts):
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    tok = lambda t: re.findall("[0-9a-z]+", t.lower())
+    want = set()
+    for d, t in enumerate(texts):
+        for i, x in items:
+            parts = []
+            for part in (x, *decontaminate.question_answer(x)):
+                w = tok(part)
+                g = grams(w, min(5, len(w)))
+                parts.append(len(g & grams(tok(t), min(5, len(w)))) / len(g) if g else 1.0)
+            if parts[0] >= 0.8 or parts[1] >= 0.8 and parts[2] >= 0.8:
+                want.add((d, i))
+    return want
+
+
+def test_items_of_one_template_are_found(spark, monkeypatch):
+    """Items that differ in one rare word share nearly all shingles: a text with another word leaks all of them."""
+    items = [(i, f"what is the exact boiling point of the element x{i}q") for i in range(400)]
+    items += [(500 + i, f"Which city is the capital of the land n{i}? City c{i} is the capital of it.") for i in range(60)]
+    items += [(600, "?! what is this thing called here now"), (601, "one two three four five six seven")]
+    texts = ["so: what is the exact boiling point of the element unknown, really", "what is the exact boiling point of tea", "boiling point of the element x7q and no more", items[3][1].upper()]
+    texts += ["filler " * 90 + "Which city is the capital of the land n3? City c9 is the capital of it. more", "pad " * 200 + items[17][1] + " pad" * 200, "what is this thing called here now", "", "x9q"]
+    table_ = spark.createDataFrame(items, "item_id long, text string")
+    want = shingle_leaks(items, texts)
+    assert len([x for x in want if x[0] == 0]) == 400
+    for shard in (decontaminate.SHARD, 50):
+        monkeypatch.setattr(decontaminate, "SHARD", shard)
+        got = decontaminate.leaks(table(spark, texts), table_)
+        assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_no_leak_is_lost_to_the_search(spark, monkeypatch):
     """Passages with just enough of an item's shingles, its rarest words missing; small shards, one pass or several."""
     rnd = random.Random(12)
@@ -227,24 +259,14 @@ def test_no_leak_is_lost_to_the_search(spark, monkeypatch):
         body = [rnd.choice(common_) if rnd.random() < 0.7 else f"rare{i}x{j}" for j in range(rnd.randint(4, 60))]
         body.insert(len(body) * 2 // 3, "end.")
         items.append((i, " ".join(body)))
-    texts, want = [], set()
+    texts = []
     for d in range(240):
         i, t = items[d % 120]
         w, keep = t.split(), 0.78 + 0.1 * rnd.random()
         cut_ = round(len(w) * keep)
         at = rnd.choice((0, len(w) - cut_, rnd.randint(0, len(w) - cut_)))
         texts.append(" ".join([rnd.choice(common_) for _ in range(30)] + w[at : at + cut_] + [rnd.choice(common_) for _ in range(30)]))
-    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
-    tok = lambda t: re.findall("[0-9a-z]+", t)
-    for d, t in enumerate(texts):
-        for i, x in items:
-            parts = []
-            for part in (x, *decontaminate.question_answer(x)):
-                w = tok(part)
-                g = grams(w, min(5, len(w)))
-                parts.append(len(g & grams(tok(t), min(5, len(w)))) / len(g))
-            if parts[0] >= 0.8 or parts[1] >= 0.8 and parts[2] >= 0.8:
-                want.add((d, i))
+    want = shingle_leaks(items, texts)
     table_ = spark.createDataFrame(items, "item_id long, text string")
     for shard, size in ((decontaminate.SHARD, decontaminate.INDEX_BYTES), (16, decontaminate.INDEX_BYTES), (16, 0)):
         monkeypatch.setattr(decontaminate, "SHARD", shard)
