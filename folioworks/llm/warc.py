@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard_at_exit, join_groups, shared_path
+from ..plans.session import cut, discard_at_exit, shared_path
+from .common import join_groups
 
 #: Fixed values of the WARC format: the profile of revisits with identical payloads, the end of a record, base32.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
