@@ -735,7 +735,16 @@ def _word_beam(probs: np.ndarray) -> list[ctc.Symbol]:
     return r.beam(probs)
 
 
+#: Characters of one to three codes, over the 7 codes beside the blank.
+SEVERAL = {(0,): 0, (1,): 1, (2, 3): 2, (2, 4): 3, (3, 2): 4, (4, 5, 6): 5, (5, 1): 6, (6,): 7}
+
+
+def _several_beam(probs: np.ndarray) -> list[ctc.Symbol]:
+    return ctc.Beam(BLANK8, range(8), SEVERAL).decode(probs)
+
+
 query("dec_beam")(_symbols(_word_beam))
+query("dec_multicode")(_symbols(_several_beam))
 query("dec_bestpath")(_symbols(_plain_beam))
 
 

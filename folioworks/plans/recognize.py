@@ -35,7 +35,7 @@ class Recognizer:
     texts: list[str]
     scripts: list[str]
     codes: list[int]
-    chars: dict[int, int]
+    chars: dict[tuple[int, ...], int]
     code_range: int
     lexicon: lexicon.Lexicon | None = None
 
@@ -44,12 +44,11 @@ class Recognizer:
         shape = files.input_shape(m.network.root)
         if shape is None or shape[1] <= 0 or shape[2] != 0 or shape[3] != 1:
             raise ValueError(f"input shape {shape} is not one gray channel of fixed height and free width")
-        if any(len(c) != 1 for c in m.codes):
-            raise ValueError("a character has more or less than one code")
-        decoder = {c[0]: i for c, i in m.decoder.items()}
-        codes = list(dict.fromkeys(c[0] for c in m.codes))
+        if not all(m.codes):
+            raise ValueError("a character has no code")
+        codes = list(dict.fromkeys(x for c in m.codes for x in c))
         blank = m.network.null_char
-        chars = {c: i for c, i in decoder.items() if c != blank}
+        chars = {tuple(c): i for c, i in m.decoder.items() if tuple(c) != (blank,)}
         lex = m.lexicon() if use_lexicon else None
         if lex is not None:
             lex.properties = dict(enumerate(c.properties for c in m.charset)).get
@@ -71,7 +70,8 @@ class Recognizer:
         return ctc.Beam(self.blank, self.codes, self.chars, self.lexicon, spaced, self.code_range).decode(probs)
 
     def greedy_text(self, image: np.ndarray) -> str:
-        return "".join(self.texts[s.char] for s in ctc.greedy(self.forward(image)[0], self.blank, self.chars))
+        """By best path, which reads characters of one code alone."""
+        return "".join(self.texts[s.char] for s in ctc.greedy(self.forward(image)[0], self.blank, {c[0]: i for c, i in self.chars.items() if len(c) == 1}))
 
     def recognize(self, image: np.ndarray, box: tuple[int, int, int, int] | None = None) -> dict:
         probs, scale = self.forward(image)

@@ -245,6 +245,96 @@ def test_beam_finds_the_best_text_of_short_lines(seed):
         assert -sum(s.rating for s in out) == pytest.approx(want[text])
 
 
+#: Characters of one to three codes; no character's codes begin another's.
+MANY = {(0, 1): 4, (0, 2, 0): 5, (1,): 6, (2, 2): 7}
+
+
+def every_coding(p, blank, chars):
+    """every_text, but a code may begin or go on only as some character's codes do, and a line ends with a whole character."""
+    cost = lambda x: (ctc.certainty(x) + ctc.CERTAINTY_OFFSET) * ctc.DICT_RATIO
+    begun = {w[:k] for w in chars for k in range(1, len(w) + 1)}
+    found: dict = {}
+
+    def go(t, code, follow, part, text, total):
+        if t == len(p):
+            if follow != ctc.ONLY_REPEAT and not part:
+                found[text] = max(found.get(text, -1e9), total)
+            return
+        row = p[t]
+        best = sorted(range(len(row)), key=lambda c: (-row[c], c))[:2]
+        top = {*best, blank}
+        if code in top:
+            if follow != ctc.NO_REPEAT:
+                go(t + 1, code, ctc.ANY, part, text, total + cost(row[code]))
+            if follow == ctc.ANY and code != blank:
+                go(t + 1, code, ctc.NO_REPEAT, part, text, total + cost(row[code] + row[blank]))
+        if follow == ctc.ONLY_REPEAT:
+            return
+        for c in top - {code}:
+            if c == blank:
+                go(t + 1, c, ctc.ANY, part, text, total + cost(row[c]))
+            elif (*part, c) in begun:
+                whole = chars.get((*part, c))
+                then, more = ((*part, c), text) if whole is None else ((), (*text, whole))
+                go(t + 1, c, ctc.ANY, then, more, total + cost(row[c]))
+                swap = row[code] if code not in (None, blank) and follow == ctc.ANY and {code, c} == set(best) else 0.0
+                go(t + 1, c, ctc.ONLY_REPEAT, then, more, total + cost(row[c] + row[blank] + swap))
+
+    go(0, None, ctc.ANY, (), (), 0.0)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_beam_finds_the_best_text_of_several_codes(seed, monkeypatch):
+    monkeypatch.setattr(ctc, "BEAM", 100)  # nothing is pruned
+    rnd = np.random.RandomState(seed)
+    p = rnd.dirichlet([0.7, 0.7, 0.7, 0.3], rnd.randint(1, 7))
+    want = every_coding(p, 3, MANY)
+    out = ctc.Beam(3, range(4), MANY).decode(p)
+    if not want:
+        assert out == []
+        return
+    text = max(want, key=want.get)
+    assert tuple(s.char for s in out) == text
+    if out:
+        assert -sum(s.rating for s in out) == pytest.approx(want[text])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_beam_reads_codes_of_one_to_nine_elements(seed):
+    rnd = np.random.RandomState(seed)
+    # the first code says how many follow, so no character's codes begin another's
+    chars = {(n, *rnd.randint(0, 10, n).tolist()): n for n in range(9)}
+    text, path, spans = rnd.randint(0, 9, 12).tolist(), [], []
+    of = {i: c for c, i in chars.items()}
+    for i in text:
+        begin = None
+        for c in of[i]:
+            if path and path[-1] == c:
+                path.append(10)
+            begin = len(path) if begin is None else begin
+            path += [c] * rnd.randint(1, 3)
+        spans.append((begin, len(path)))
+        path += [10] * rnd.randint(0, 2)
+    p = np.full((len(path), 11), 0.0002)
+    p[np.arange(len(path)), path] = 0.998
+    out = ctc.Beam(10, range(11), chars).decode(p)
+    assert [s.char for s in out] == text
+    # a character may claim the blanks beside it, for their share
+    assert all(s.start <= a and s.end >= b for s, (a, b) in zip(out, spans)) and all(a.end <= b.start for a, b in zip(out, out[1:]))
+
+
+def test_beam_reads_words_of_several_codes():
+    """A lexicon spells characters, whatever their codes; of two readings close by, the word wins."""
+    chars = {(0,): 0, (1, 2): 1, (1, 3): 2, (4,): 3}
+    graph = lexicon.Graph(*zip(*lexicon.build_edges([(1, 3), (2, 1)])))
+    lex = lexicon.Lexicon(4, lambda i: lexicon.ALPHA, None, graph, None)
+    p = np.full((3, 6), 0.001)
+    p[0, 1], p[1, 2], p[1, 3], p[2, 4] = 0.99, 0.45, 0.54, 0.99
+    assert [s.char for s in ctc.Beam(5, range(6), chars).decode(p)] == [2, 3]
+    assert [s.char for s in ctc.Beam(5, range(6), chars, lex).decode(p)] == [1, 3]
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_automaton_by_enumeration(seed):
     """All words of up to five letters, against patterns with words put in for the wildcard."""
