@@ -475,8 +475,6 @@ query(
     SELECT a.image_id, a.y, a.x, ((a.dx + 1) * 3 + a.dy + 1)::INT AS feature, (p.v::FLOAT / 127.5::FLOAT - 1::FLOAT)::DOUBLE AS value FROM around a JOIN pixels p ON p.image_id = a.image_id AND p.y = a.y + a.dy AND p.x = a.x + a.dx
     UNION ALL SELECT image_id, y, x, ((dx + 1) * 3 + dy + 1)::INT, (2.0::DOUBLE * (state // 8589934592)::DOUBLE / 2147483647.0::DOUBLE - 1)::FLOAT::DOUBLE FROM beyond JOIN fill USING (draw)""",
 )(_tensor_rows(lambda x: tensor.convolve(x, 1, 1, tensor.Fill(1))))
-query("nn_lstm")(_tensor_rows(lambda x: tensor.lstm(x, _gates(1, 4))))
-query("nn_lstm_summary")(_tensor_rows(lambda x: tensor.lstm(x, _gates(1, 4), True)))
 
 
 @query("nn_series")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioworks.functions import ctc, raster
 from folioworks.operators import decode, lexical, pixels, spatial
-from folioworks.plans import adapters, catalog, page_queries, training_queries  # noqa: F401
+from folioworks.plans import adapters, catalog, page_queries, recurrent_queries, training_queries  # noqa: F401
 from folioworks.sources import images
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
