@@ -194,3 +194,21 @@ def word_boxes(boxes: DataFrame) -> DataFrame:
     order = Window.partitionBy(*LINE).orderBy("x0", "y0", "root")
     words = word_gaps(boxes).withColumn("word", F.sum(F.coalesce((F.col("gap") > F.col("space")).cast("int"), F.lit(0))).over(order).cast("int"))
     return words.groupBy(*LINE, "word").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n"))
+
+
+# -- ink of word strips --------------------------------------------------------
+
+
+def tight_boxes(strips: DataFrame, boxes: DataFrame) -> DataFrame:
+    """strips (image_id, strip, x0, x1) that have ink, with the box and number of the components (image_id, x0, y0, x1, y1) in them.
+
+    Recognition places words between letters, so a strip begins and ends in paper, and has the
+    line's height; the ink of its components is its tight box. A component is in every strip
+    that has its middle column. Points and strips meet in cells of CELL columns.
+    """
+    wide = strips.where("x0 < x1").select("image_id", "strip", F.col("x0").alias("lo"), F.col("x1").alias("hi"))
+    wide = wide.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / CELL), F.floor((F.col("hi") - 1) / CELL))))
+    middle = boxes.withColumn("at", F.floor((F.col("x0") + F.col("x1") - 1) / 2)).withColumn("cell", F.floor(F.col("at") / CELL))
+    met = middle.join(wide, ["image_id", "cell"]).where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
+    bounds = (F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return met.groupBy("image_id", "strip").agg(*bounds, F.count("*").alias("n"))

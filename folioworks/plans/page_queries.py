@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import columns, page
+from ..operators import columns, decode, page, runs
 from . import adapters as A
+from . import catalog
 from .catalog import PIX, query
 
 #: Ink of the tiles, and gaps that fit them.
@@ -135,3 +136,22 @@ def _(s, d):
 @query("page_blocks", f"WITH {ORDERED} SELECT page, block::INT AS block, band::INT AS band, col::INT AS col, spans, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM ordered GROUP BY page, block, band, col, spans")
 def _(s, d):
     return columns.blocks(columns.reading_order(column_boxes(s, d)))
+
+
+# -- tight boxes of recognised words -------------------------------------------
+
+
+@query(
+    "out_tightbounds",
+    f"""{catalog.CLOSURE}, tiles AS (SELECT image_id, root, min(i % 64) AS x0, min(i // 64) AS y0, max(i % 64) + 1 AS x1, max(i // 64) + 1 AS y1 FROM named GROUP BY image_id, root),
+    strips AS (SELECT * FROM (WITH {A.PROBS8}, {A.scored_sql(catalog.BLANK8)}, {catalog.WORDS}, {catalog._BOXED} SELECT line_id * 1000 + word AS strip, line_id // 1000 * 200 // 64 AS image_id, (x0 - {catalog.BOX[0]}) % 64 AS x0, (x0 - {catalog.BOX[0]}) % 64 + x1 - x0 AS x1 FROM boxed))
+    SELECT s.image_id, s.strip, min(t.x0)::INT AS x0, min(t.y0)::INT AS y0, max(t.x1)::INT AS x1, max(t.y1)::INT AS y1, count(*) AS n FROM strips s JOIN tiles t ON t.image_id = s.image_id AND (t.x0 + t.x1 - 1) // 2 >= s.x0 AND (t.x0 + t.x1 - 1) // 2 < s.x1 GROUP BY s.image_id, s.strip""",
+)
+def _(s, d):
+    """The words of out_wordbounds as strips of the tile their line begins in (columns taken modulo its width), tightened to its components."""
+    p = A.probs8(s, d)
+    scored = decode.scores(p, catalog.BLANK8)
+    words = decode.word_boxes(decode.words(scored, catalog.SPACE), decode.boundaries(scored, decode.widths(p)), catalog.SCALE, catalog.BOX)
+    x0 = (F.col("x0") - catalog.BOX[0]) % 64
+    strips = words.select(F.expr("line_id div 1000 * 200 div 64").alias("image_id"), (F.col("line_id") * 1000 + F.col("word")).alias("strip"), x0.alias("x0"), (x0 + F.col("x1") - F.col("x0")).alias("x1"))
+    return page.tight_boxes(strips, runs.components(catalog.inked(s, d, catalog.THIN), 4))

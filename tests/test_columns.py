@@ -116,3 +116,17 @@ def test_words_by_gaps(spark):
     got = page.word_boxes(feet(spark, [line, even, overlapping, [(3, 20)]])).orderBy("line", "word").collect()
     assert [(r.line, r.word, r.n) for r in got] == [(0, 0, 4), (0, 1, 2), (0, 2, 5), (1, 0, 5), (2, 0, 3), (2, 1, 1), (3, 0, 1)]
     assert (got[0].x0, got[0].x1, got[0].y0, got[0].y1) == (0, 30, 10, 20)
+
+
+def test_tight_boxes_of_strips(spark):
+    """Components by their middle column, strips that lie over each other, without ink, or empty."""
+    rnd = random.Random(5)
+    comps = [(i % 2, x, rnd.randint(0, 30), x + rnd.randint(1, 20), 40) for i, x in enumerate(rnd.sample(range(400), 60))]
+    strips = [(i % 3, i, a, a + rnd.randint(-1, 90)) for i, a in enumerate(rnd.sample(range(-40, 420), 40))]
+    got = page.tight_boxes(spark.createDataFrame(strips, "image_id long, strip long, x0 int, x1 int"), spark.createDataFrame(comps, "image_id long, x0 int, y0 int, x1 int, y1 int"))
+    want = {}
+    for image, strip, lo, hi in strips:
+        mine = [c for c in comps if c[0] == image and lo <= (c[1] + c[3] - 1) // 2 < hi]
+        if mine:
+            want[image, strip] = (min(c[1] for c in mine), min(c[2] for c in mine), max(c[3] for c in mine), max(c[4] for c in mine), len(mine))
+    assert {(r.image_id, r.strip): (r.x0, r.y0, r.x1, r.y1, r.n) for r in got.collect()} == want and want
