@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ctc, lexicon, raster, tensor
-from ..operators import decode, layers, lexical, pixels, spatial
+from ..operators import decode, layers, lexical, pixels, scaling, spatial
 from ..sources import images
 from ..sources import model as files
 from . import adapters as A
@@ -282,7 +282,7 @@ def _scale_sql(factor: float) -> str:
 
 
 def _scales(name: str, factor: float) -> None:
-    query(name, _scale_sql(factor))(lambda s, d: pixels.map_images(A.pixels(s, d), lambda a: raster.scale_gray(a, factor)))
+    query(name, _scale_sql(factor))(lambda s, d: scaling.scale_gray(A.pixels(s, d), factor))
 
 
 for _name, _factor in (("img_scale_li", 1.3), ("img_scale_2x", 2.0), ("img_scale_4x", 4.0), ("img_scale_area", 0.4), ("img_scale_smooth", 0.01), ("img_scale", 36 / 64)):
