@@ -1,8 +1,8 @@
 """Scaling of images as two grouped sums, one for each axis.
 
-Each source position knows, by arithmetic alone, which scaled positions it counts for and with
-which weight, so an axis is an explode and a sum, without a join; sums of whole numbers make the
-two axes separable. pixels is (image_id, y, x, v) with complete rows.
+Each row or column of an image counts for a few scaled ones, with whole weights that arithmetic
+gives; these taps are joined to the pixels, an axis at a time, and summed. Sums of whole
+numbers make the two axes separable. pixels is (image_id, y, x, v) with complete rows.
 """
 
 from __future__ import annotations
@@ -52,13 +52,18 @@ def shares(kind: str, side: int, at: Column, n: Column, m: Column) -> Column:
     return F.filter(F.transform(near, form), lambda t: (t["k"] > 0) | t["first"])
 
 
-def summed(df: DataFrame, axis: str, kind: str, side: int, scale: float) -> DataFrame:
-    """One axis scaled: weighted sums, weights, the value where scaled positions begin, and whether they reach the far edge."""
+def summed(df: DataFrame, sizes: DataFrame, axis: str, kind: str, side: int, scale: float) -> DataFrame:
+    """One axis scaled: weighted sums, weights, the value where scaled positions begin, and whether they reach the far edge.
+
+    Weights are worked out once for each row or column of an image and joined to its pixels.
+    """
     n = F.col({"x": "w", "y": "h"}[axis])
     m = whole(single(F.lit(scale).cast("float") * single(n)).cast("double") + 0.5)
     m = F.greatest(m, F.lit(1)) if kind == "box" else m
-    each = df.withColumn("t", F.explode(shares(kind, side, F.col(axis).cast("long"), n.cast("long"), m)))
-    keys = ["image_id", "w", "h", "y" if axis == "x" else "x"]
+    taps = sizes.withColumn("m", m).withColumn(axis, F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
+    taps = taps.select("image_id", axis, F.explode(shares(kind, side, F.col(axis).cast("long"), n.cast("long"), F.col("m"))).alias("t"))
+    each = df.join(taps, ["image_id", axis])
+    keys = ["image_id", "y" if axis == "x" else "x"]
     corner = F.max(F.when(F.col("t.first"), F.col("corner")))
     out = each.groupBy(*keys, F.col("t.i").alias("i")).agg(F.sum(F.col("t.k") * F.col("total")).alias("total"), F.sum(F.col("t.k") * F.col("area")).alias("area"), corner.alias("corner"), F.max(F.col("far") | F.col("t.far")).alias("far"))
     return out.withColumn(axis, F.col("i").cast("int")).drop("i")
@@ -79,14 +84,14 @@ def scale_gray(pixels: DataFrame, factor: float) -> DataFrame:
         for _ in range(HALVES[f]):
             out = P.halve(out)
         return P.unsharp(out, 1, 0.2) if f > 0.2 else out
-    sized = pixels.join(P.sizes(pixels), "image_id").withColumns({"total": F.col("v").cast("long"), "area": F.lit(1).cast("long"), "corner": F.col("v"), "far": F.lit(False)})
+    sizes, start = P.sizes(pixels), pixels.withColumns({"total": F.col("v").cast("long"), "area": F.lit(1).cast("long"), "corner": F.col("v"), "far": F.lit(False)})
     kind, side = ("box", min(10000, max(2, int(float(np.float32(1) / np.float32(f)) + 0.5)))) if f < 0.02 else ("area", 0) if f < 0.7 else ("line", int(f) if f in (2.0, 4.0) else 0)
     small = None
     if kind == "box":
         fits = (F.col("w") >= side) & (F.col("h") >= side)
-        small = sized.where(~fits & (F.col("y") == F.floor(F.col("h") / 2)) & (F.col("x") == F.floor(F.col("w") / 2))).select("image_id", F.lit(0).alias("y"), F.lit(0).alias("x"), "v")
-        sized = sized.where(fits)
-    sums = summed(summed(sized, "x", kind, side, f), "y", kind, side, f)
+        small = pixels.join(sizes, "image_id").where(~fits & (F.col("y") == F.floor(F.col("h") / 2)) & (F.col("x") == F.floor(F.col("w") / 2))).select("image_id", F.lit(0).alias("y"), F.lit(0).alias("x"), "v")
+        sizes = sizes.where(fits)
+    sums = summed(summed(start, sizes, "x", kind, side, f), sizes, "y", kind, side, f)
     if kind == "box":
         value = F.floor(single(F.col("total")) * F.lit(float(np.float32(1) / np.float32(side * side))).cast("float"))
     elif kind == "area":
