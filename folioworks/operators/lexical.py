@@ -3,9 +3,8 @@ graph edges and word lists. Tables of a model are small; words are not."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,32 +84,65 @@ def lookup(words: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("word", F.coalesce("eow", F.lit(False)).alias("contains"), (F.col("next").isNotNull() | (F.col("word") == "")).alias("prefix"))
 
 
-#: Words that a lexicon may have: a graph of them is built on the driver and sent to all.
-MAX_WORDS = 2_000_000
+def surroundings(patterns: Sequence[str], letters: set[str]) -> tuple[dict[tuple[str, str], bool], dict[str, bool]]:
+    """What punctuation patterns allow around a core, and alone.
 
+    (before, after): whether a word may end there; and the beginnings before a core, likewise.
+    A bare core is always allowed.
+    """
+    whole, around, alone = set(patterns), {("", ""): True}, {}
+    for p in whole:
+        if not set(p) <= letters | {CORE}:
+            raise ValueError(f"a pattern with unknown letters: {p!r}")
+        before, core, after = p.partition(CORE)
+        alone |= {before[:n]: before[:n] in whole for n in range(1, len(before) + 1)}
+        after = after.partition(CORE)[0]
+        for n in range(len(after) + 1) if core else ():
+            key = before, after[:n]
+            around[key] = around.get(key, False) or before + CORE + after[:n] in whole
+    return around, alone
 
-def classify(words: DataFrame, graph_words: DataFrame, letters: list[str], punctuation: list[str] | None = None, numbers: list[str] | None = None) -> DataFrame:
-    """words(word) with permuter and valid_end from the automaton; letters number from 1.
 
-    graph_words(word) is a lexicon, bounded like that of a model: more than MAX_WORDS are an
-    error. "\\0" in punctuation patterns stands for the word, digits in numbers for any digit.
+#: The place of the word in a punctuation pattern.
+CORE = "\0"
+
+
+def classify(words: DataFrame, graph_words: DataFrame, letters: list[str], punctuation: list[str] | None = None, numbers: list[str] | None = None) -> DataFrame:
+    """Distinct words(word) with permuter and valid_end as the automaton of `functions.lexicon` gives them.
+
+    The automaton's state after a word says what the word is made of: punctuation before a
+    core, a core (a word or number, whole if punctuation follows) and punctuation after it.
+    So each word is taken apart in the ways that the patterns allow, and cores are joined to
+    the beginnings of graph_words(word), of which there may be any number. Punctuation alone
+    keeps the rank of the longest core that it can be read as. "\\0" in punctuation patterns
+    stands for the word, digits in numbers for any digit; patterns and numbers are a model's,
+    so they are few. Null and empty words and those with other letters are refused: (0, false).
     """
-    known = [r.word for r in graph_words.select("word").distinct().limit(MAX_WORDS + 1).collect()]
-    if len(known) > MAX_WORDS:
-        raise ValueError(f"a lexicon of more than {MAX_WORDS} words")
-    number = {c: i + 1 for i, c in enumerate(letters)}
-    digit = {number[c] for c in letters if c.isdigit()}
-    code = lambda w: [number.get(c, lexicon.WILDCARD) for c in w]
-    any_digit = lambda w: [lexicon.WILDCARD if c.isdigit() else number[c] for c in w]
-    build = lambda ws: lexicon.Graph(*zip(*lexicon.build_edges(ws))) if ws else None
-    graphs = build([code(w) for w in punctuation or ()]), build([code(w) for w in sorted(known)]), build([any_digit(w) for w in numbers or ()])
-    shared = words.sparkSession.sparkContext.broadcast((graphs, number, digit))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graphs, number, digit = shared.value
-        own = lexicon.Lexicon(len(number) + 1, lambda i: lexicon.DIGIT if i in digit else 0, *graphs)
-        for pdf in batches:
-            got = [own.classify([number.get(c, lexicon.WILDCARD) for c in w]) for w in pdf["word"]]
-            yield pd.DataFrame({"word": pdf["word"], "permuter": [g[0] for g in got], "valid_end": [g[1] for g in got]})
-
-    return words.select("word").mapInPandas(run, "word string, permuter int, valid_end boolean")
+    around, alone = surroundings(punctuation or (), set(letters))
+    digits = "".join(c for c in letters if c.isdigit())
+    shape = lambda c: F.translate(c, digits, "0" * len(digits)) if digits else c
+    shapes = {"".join("0" if c.isdigit() else c for c in w) for w in numbers or ()}
+    begun = {w[:n] for w in shapes for n in range(1, len(w) + 1)}
+
+    every = words.select("word").distinct()
+    spelled = (F.length("word") > 0) & (F.translate("word", "".join(letters), "") == "")
+    ways = F.array(*(F.struct(F.lit(a).alias("before"), F.lit(b).alias("after"), F.lit(end).alias("may_end")) for (a, b), end in sorted(around.items())))
+    readings = F.when(F.col("word").isin(*alone), F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.left("word", n))).otherwise(F.array("word"))
+    read = every.select("word", F.explode_outer(F.when(spelled, readings)).alias("part"))
+    fits = F.filter(ways, lambda w: (F.length("part") > F.length(w["before"]) + F.length(w["after"])) & F.startswith("part", w["before"]) & F.endswith("part", w["after"]))
+    read = read.select("word", "part", F.explode_outer(fits).alias("way"))
+    core = F.substring(F.col("part"), F.length("way.before") + 1, F.length("part") - F.length("way.before") - F.length("way.after"))
+    read = read.select("word", "part", core.alias("core"), (F.col("way.after") == "").alias("open"), F.col("way.may_end").alias("may_end"))
+
+    starts = graph_words.where(F.length("word") > 0).select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("n"))
+    starts = starts.groupBy(F.expr("left(word, n)").alias("core")).agg(F.max(F.col("n") == F.length("word")).alias("whole"))
+    read = read.join(starts, "core", "left").withColumn("shape", shape(F.col("core")))
+    word, number = F.col("whole") | (F.col("open") & F.col("whole").isNotNull()), F.col("shape").isin(*shapes) | (F.col("open") & F.col("shape").isin(*begun))
+    rank = F.when(word, lexicon.SYSTEM_PERM).when(number, lexicon.NUMBER_PERM)
+    ends = (F.col("part") == F.col("word")) & F.col("may_end") & (F.coalesce("whole", F.lit(False)) | F.coalesce(F.col("shape").isin(*shapes), F.lit(False)))
+    read = read.select("word", F.when(rank.isNotNull(), F.struct(F.length("part").alias("n"), rank.alias("rank"))).alias("best"), ends.alias("ends"))
+    out = read.groupBy("word").agg(F.max("best").alias("best"), F.max("ends").alias("ends"))
+    punct, closed = F.col("word").isin(*alone), F.col("word").isin(*(w for w, end in alone.items() if end))
+    permuter = F.coalesce("best.rank", F.when(punct, lexicon.PUNC_PERM).otherwise(lexicon.NO_PERM))
+    refuse = lambda c: F.coalesce(c, F.lit(False))
+    return out.select("word", permuter.cast("int").alias("permuter"), (refuse(F.col("ends")) | refuse(closed)).alias("valid_end"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ctc, lexicon, raster, tensor
-from ..operators import decode, layers, lexical, pixels, scaling, spatial
+from ..operators import decode, layers, lexical, pixels, scaling, spatial, wordgraph
 from ..sources import images
 from ..sources import model as files
 from . import adapters as A
@@ -637,9 +637,29 @@ def _(s, d):
 QUERIES["lex_prefix"], ORACLE_SQL["lex_prefix"] = QUERIES["lex_contains"], ORACLE_SQL["lex_contains"]
 
 
+@query(
+    "lex_minimal",
+    f"""WITH {A.LEXICON}, parts AS (SELECT substring(word, 1, n - 1) AS prefix, substring(word, n, 1) AS letter, substring(word, n) AS rest, n = length(word) AS eow FROM (SELECT word, unnest(range(1, length(word) + 1)) AS n FROM lexicon)),
+    nodes AS (SELECT prefix, string_agg(rest, ' ' ORDER BY rest) AS endings FROM parts GROUP BY prefix),
+    named AS (SELECT prefix, first_value(prefix) OVER (PARTITION BY endings ORDER BY length(prefix), prefix) AS name FROM nodes),
+    edges AS (SELECT prefix, letter, bool_or(eow) AS eow FROM parts GROUP BY prefix, letter)
+    SELECT e.prefix AS node, e.letter, b.name AS next, e.eow, e.letter = max(e.letter) OVER (PARTITION BY e.prefix) AS last
+    FROM edges e JOIN named a ON a.prefix = e.prefix AND a.name = a.prefix LEFT JOIN named b ON b.prefix = e.prefix || e.letter""",
+)
+def _(s, d):
+    """The minimal word graph of the lexicon; the SQL compares whole lists of endings."""
+    return wordgraph.minimal_graph(A.lexicon_words(s, d))
+
+
+@query("lex_walk", _LOOKUP)
+def _(s, d):
+    """The documents' words, stepped along the minimal graph."""
+    return wordgraph.walk(A.document_words(s, d), wordgraph.minimal_graph(A.lexicon_words(s, d)))
+
+
 @query("lex_classify", _LOOKUP.replace("SELECT word, word IN (SELECT word FROM lexicon) AS contains, word IN (SELECT word FROM prefixes) AS prefix FROM words", "SELECT word, CASE WHEN word IN (SELECT word FROM prefixes) THEN 8 ELSE 0 END::INT AS permuter, word IN (SELECT word FROM lexicon) AS valid_end FROM words"))
 def _(s, d):
-    """The automaton over a word graph of the lexicon, without punctuation: 8 is its rank."""
+    """The automaton's answer over the lexicon, without punctuation: 8 is its rank."""
     return lexical.classify(A.document_words(s, d), A.lexicon_words(s, d), LETTERS)
 
 
