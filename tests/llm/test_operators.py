@@ -802,6 +802,19 @@ def test_hot_template_keeps_its_fields(spark):
     assert sum(r.n_dropped for r in out) == 899 and out[0].n_lines == 2
 
 
+@pytest.mark.parametrize("form", ["Hello {} welcome back to our little shop today", "{} signed in to our little shop today again", "Dear friend {} welcome back to our shop today"])
+@pytest.mark.parametrize("names", [400, 100])
+def test_a_leading_token_may_be_a_field(spark, form, names):
+    """A field at each of the leading places; names of one document, and of four; other lines of the same words stay."""
+    rnd = random.Random(len(form))
+    name = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    known, own = [name() for _ in range(names)], lambda: " ".join(name() for _ in range(9))
+    texts = [f"{own()}\n{form.format(known[i % names])}\nHello {own()}" for i in range(400)]
+    out = lines.drop_lines(table(spark, texts)).orderBy("doc_id").collect()
+    assert [r.n_dropped for r in out] == [0] + [1] * 399 and out[0].text == texts[0]
+    assert all(r.text == t[: t.index("\n")] + t[t.rindex("\n") :] for r, t in zip(out[1:], texts[1:]))
+
+
 def test_hot_leaf_is_split(spark, monkeypatch):
     """A leaf of many distinct lines: no exchange after the tokens are read deals its leading tokens out."""
     texts = [f"Same three words then {i:05d}x".replace("0", "o").translate(str.maketrans("123456789", "abcdefghj")) + " at last here" for i in range(3000)]
