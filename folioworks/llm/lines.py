@@ -3,8 +3,8 @@
 DataFrame functions only. Lines go down a tree of fixed depth: number of tokens, then the
 first ``DEPTH`` tokens; tokens with a digit, an at-sign or a scheme are the field ``<*>``
 from the start. A line goes down the path of its own leading tokens, which are constants of that
-leaf, and also down each path on which one of them is a field: where fewer than ``min_docs``
-documents, or than ``share`` of those whose lines differ from its at that place, have the token.
+leaf, and also down each path of a token more on which one of these is a field: where fewer than
+``min_docs`` documents, or than ``share`` of those whose lines differ only there, have the token.
 In a leaf with more than one distinct line, a further token is constant at its place if it
 is there in ``min_docs`` documents or more and in ``share`` of the leaf's, else a field; as the
 share is relative, a template keeps its fields however many documents have it, and common names
@@ -55,13 +55,18 @@ def normal(text: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, line, n, lh, leaves) of all lines that may have a template."""
+    """(doc, line, n, lh, leaves) of all lines that may have a template.
+
+    leaves: the leaf of DEPTH constants, then those with a field at one of their places, and
+    last the path without a field that these branch from.
+    """
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.explode(F.transform(normal(F.col(text)), counted)).alias("l"))
     rows = rows.where(F.col("l.n") >= MIN_TOKENS).select("doc", "l.line", "l.n")
-    lead = F.split(F.substring_index("line", " ", DEPTH), " ")
-    # the leaf of all leading tokens, then those with a field at one of their places; no token is empty
-    leaf = lambda field: F.xxhash64("n", *(F.lit("") if p == field else F.get(lead, F.lit(p)) for p in range(DEPTH)))
-    return rows.select("doc", "line", "n", F.xxhash64("line").alias("lh"), F.array(*(leaf(p) for p in (None, *range(DEPTH)))).alias("leaves"))
+    lead = F.split(F.substring_index("line", " ", DEPTH + 1), " ")
+    # no token is empty, so an empty one marks a field
+    path = lambda depth, field=None: F.xxhash64("n", *(F.lit("") if p == field else F.get(lead, F.lit(p)) for p in range(depth)))
+    leaves = [path(DEPTH), *(F.when(F.col("n") > DEPTH, path(DEPTH + 1, p)) for p in (*range(DEPTH), None))]
+    return rows.select("doc", "line", "n", F.xxhash64("line").alias("lh"), F.array(*leaves).alias("leaves"))
 
 
 def counted(line: Column) -> Column:
@@ -71,17 +76,16 @@ def counted(line: Column) -> Column:
 
 
 def leaf_lines(distinct: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """(lh, leaf, lead, n, doc, docs, leaf_docs): distinct lines by their leaves with more than one; lead counts the path's constants."""
-    paths = distinct.select("lh", "n", "docs", "first", F.posexplode("leaves").alias("place", "leaf"))
-    sizes = cut(paths.groupBy("leaf").agg(F.count("*").alias("c"), F.sum("docs").alias("all")).where("c > 1").select("leaf", "all"))
-    own = distinct.select("lh", "n", "docs", "first", "leaves", F.get("leaves", F.lit(0)).alias("leaf")).join(bounded(sizes), "leaf", "left")
-    paths = own.select("lh", "n", "docs", "first", F.coalesce("all", "docs").alias("own"), F.posexplode("leaves").alias("place", "leaf"))
+    """(lh, leaf, place, n, doc, docs, leaf_docs): distinct lines by their leaves with more than one; place is that of the path's field, from 1."""
+    paths = distinct.select("docs", F.explode("leaves").alias("leaf"))
+    sizes = cut(paths.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("c"), F.sum("docs").alias("all")).where("c > 1").select("leaf", "all"))
+    own = distinct.select("lh", "n", "docs", "first", "leaves", F.get("leaves", F.lit(DEPTH + 1)).alias("leaf")).join(bounded(sizes), "leaf", "left")
+    paths = own.select("lh", "n", "docs", "first", F.coalesce("all", "docs").alias("own"), F.posexplode(F.slice("leaves", 1, DEPTH + 1)).alias("place", "leaf"))
     # a leading token is a field among the lines that differ from its line there, by the rule of all other places
     field = F.col("own") < F.greatest(F.lit(min_docs), share * F.col("all"))
     paths = cut(paths.join(bounded(sizes), "leaf").where((F.col("place") == 0) | field).select("lh", "leaf", "place", "n", F.col("first").alias("doc"), "docs"))
     members = cut(paths.groupBy("leaf").agg(F.count("*").alias("c"), F.sum("docs").alias("leaf_docs")).where("c > 1").select("leaf", "leaf_docs"))
-    lead = F.when(F.col("place") == 0, DEPTH).otherwise(DEPTH - 1)
-    return cut(paths.join(bounded(members), "leaf").select("lh", "leaf", lead.alias("lead"), "n", "doc", "docs", "leaf_docs"))
+    return cut(paths.join(bounded(members), "leaf").select("lh", "leaf", "place", "n", "doc", "docs", "leaf_docs"))
 
 
 def recurring(docs: DataFrame, lines: DataFrame, min_docs: int, constant: float, share: float, key: str, text: str) -> DataFrame:
@@ -93,18 +97,20 @@ def recurring(docs: DataFrame, lines: DataFrame, min_docs: int, constant: float,
     several = leaf_lines(distinct, min_docs, share)
     # one line of each text, where a leaf of its holds several; other documents are not read further
     of = unused("of", docs)
-    wanted = cut(several.groupBy("lh", "doc").agg(F.collect_list(F.struct("leaf", "docs", "leaf_docs")).alias("in")))  # four leaves at most
+    wanted = cut(several.groupBy("lh", "doc").agg(F.collect_list(F.struct("leaf", "place", "docs", "leaf_docs")).alias("in")))  # four leaves at most
     some = docs.join(bounded(cut(wanted.select(F.col("doc").alias(of)).distinct())), F.col(key) == F.col(of), "left_semi")
     found = line_rows(some, key, text).select("doc", "lh", "line", "n").join(bounded(wanted), ["lh", "doc"])
     # a line may stand in a document more than once
     found = found.groupBy("lh").agg(F.first("in").alias("in"), F.first(F.slice(F.transform(F.split("line", " "), lambda t, p: F.xxhash64(p, t)), DEPTH + 1, F.col("n"))).alias("at"))
-    found = cut(found.select("lh", "at", F.explode("in").alias("in")).select("lh", "in.*", "at"))
+    found = found.select("lh", "at", F.explode("in").alias("in"))
+    # a path with a field has one token more
+    found = cut(found.select("lh", "in.*", F.when(F.col("in.place") == 0, F.col("at")).otherwise(F.slice("at", 2, F.size("at") + 1)).alias("at")))
     tokens = found.select("lh", "leaf", "docs", "leaf_docs", F.explode("at").alias("at"))
     fixed = tokens.groupBy("leaf", "at").agg(F.sum("docs").alias("d"), F.first("leaf_docs").alias("all"))
     fixed = fixed.where((F.col("d") >= min_docs) & (F.col("d") >= share * F.col("all"))).select("leaf", "at")
     constants = tokens.select("lh", "leaf", "at").join(fixed, ["leaf", "at"]).groupBy("lh", "leaf").agg(F.count("*").alias("k"), F.bit_xor("at").alias("x"))
-    template = several.select("lh", "leaf", "lead", "n", F.col("doc").alias("first"), "docs").join(constants, ["lh", "leaf"], "left")
-    template = template.withColumns({"k": F.coalesce("k", F.lit(0)) + F.col("lead"), "x": F.coalesce("x", F.lit(0))})
+    template = several.select("lh", "leaf", "n", F.col("doc").alias("first"), "docs").join(constants, ["lh", "leaf"], "left")
+    template = template.withColumns({"k": F.coalesce("k", F.lit(0)) + DEPTH, "x": F.coalesce("x", F.lit(0))})
     template = cut(template.where((F.col("k") >= MIN_TOKENS) & (F.col("k") >= constant * F.col("n"))))
     kept = template.groupBy("leaf", "k", "x").agg(F.sum("docs").alias("d"), F.min("first").alias("keeper")).where(F.col("d") >= min_docs)
     general = template.join(kept, ["leaf", "k", "x"]).select("lh", F.col("keeper").alias("first"))
@@ -153,14 +159,14 @@ lines AS (SELECT doc_id, raw, regexp_replace(plain, '[^ ]*(?:[0-9@]|://)[^ ]*',
 rows AS (SELECT doc_id, line, string_split(line, ' ') AS tokens, len(string_split(line, ' ')) AS n FROM lines),
 few AS (SELECT * FROM rows WHERE n >= 3),
 distinct_lines AS (SELECT line, any_value(tokens) AS tokens, any_value(n) AS n, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM few GROUP BY line),
-all_paths AS (SELECT *, n::VARCHAR || ' ' || CASE WHEN place = 1 THEN '' ELSE tokens[1] END || ' ' || CASE WHEN place = 2 THEN '' ELSE tokens[2] END || ' ' || CASE WHEN place = 3 THEN '' ELSE tokens[3] END AS leaf
-    FROM (SELECT *, unnest([0, 1, 2, 3]) AS place FROM distinct_lines)),
+all_paths AS (SELECT *, n::VARCHAR || ' ' || CASE WHEN place = 1 THEN '' ELSE tokens[1] END || ' ' || CASE WHEN place = 2 THEN '' ELSE tokens[2] END || ' ' || CASE WHEN place = 3 THEN '' ELSE tokens[3] END
+    || CASE WHEN place > 0 THEN ' ' || tokens[4] ELSE '' END AS leaf FROM (SELECT *, unnest([0, 1, 2, 3, 4]) AS place FROM distinct_lines) WHERE place = 0 OR n > 3),
 sizes AS (SELECT leaf, sum(docs) AS all_docs, count(*) AS c FROM all_paths GROUP BY leaf),
-own AS (SELECT line, all_docs AS own FROM all_paths JOIN sizes USING (leaf) WHERE place = 0),
-paths AS (SELECT a.* FROM all_paths a JOIN sizes USING (leaf) JOIN own USING (line) WHERE c > 1 AND (place = 0 OR own < greatest(2, 0.1 * all_docs))),
+own AS (SELECT line, all_docs AS own FROM all_paths JOIN sizes USING (leaf) WHERE place = 4),
+paths AS (SELECT a.* FROM all_paths a JOIN sizes USING (leaf) LEFT JOIN own USING (line) WHERE c > 1 AND place < 4 AND (place = 0 OR own < greatest(2, 0.1 * all_docs))),
 shared AS (SELECT leaf, sum(docs) AS leaf_docs FROM paths GROUP BY leaf HAVING count(*) > 1),
-exploded AS (SELECT line, leaf, n, docs, leaf_docs, first, t.token, t.p FROM paths JOIN shared USING (leaf), LATERAL (SELECT unnest(tokens) AS token, generate_subscripts(tokens, 1) AS p) t WHERE t.p <> place),
-fixed AS (SELECT leaf, p, token FROM exploded GROUP BY leaf, p, token HAVING p <= 3 OR sum(docs) >= 2 AND sum(docs) >= 0.1 * any_value(leaf_docs)),
+exploded AS (SELECT line, leaf, place, n, docs, leaf_docs, first, t.token, t.p FROM paths JOIN shared USING (leaf), LATERAL (SELECT unnest(tokens) AS token, generate_subscripts(tokens, 1) AS p) t WHERE t.p <> place),
+fixed AS (SELECT leaf, p, token FROM exploded GROUP BY leaf, p, token HAVING p <= 3 OR (p = 4 AND max(place) > 0) OR sum(docs) >= 2 AND sum(docs) >= 0.1 * any_value(leaf_docs)),
 template AS (SELECT line, leaf, any_value(n) AS n, any_value(docs) AS docs, any_value(first) AS first, count(*) AS k, string_agg(p::VARCHAR || ':' || token, ' ' ORDER BY p) AS x
     FROM exploded JOIN fixed USING (leaf, p, token) GROUP BY line, leaf),
 usable AS (SELECT * FROM template WHERE k >= 3 AND k >= 0.7 * n),
