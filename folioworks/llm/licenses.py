@@ -7,9 +7,12 @@ document frequencies are counted over all files. A header must have a term witho
 the cosine cannot reach the threshold (what the other terms could add is bounded by their
 share of the template's norm), so most lines are never scored, and none is lost.
 
-A file's own license is that of its best header. A licence file (whole-text cosine at the
-threshold, or a name such as LICENSE or COPYING with a license of its own) licenses its
-directory, by the better of its header and its whole. Files without a license of their own
+A file's own license is that of its whole text, if this is a licence's, else of its best header. A
+whole text must hold the title of a long licence (of those only excerpts are compared), and
+beat the next license by a margin. Licence files (by their whole texts, or by a name such as
+LICENSE or COPYING and a notice) license their directory; in a file of such a name a notice counts
+only if it fills a fifth of it or its licence's title is there too, so that a notice in the
+text of an unknown licence is not taken for that. Files without a license of their own
 take that of the nearest ancestor directory, by joins on directory paths: first for distinct
 directories, then for files.
 
@@ -91,6 +94,20 @@ TEXTS = [
     ("MPL-2.0", "Mozilla Public License Version 2.0. 1. Definitions. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software. \"Contributor Version\" means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor's Contribution. \"Covered Software\" means Source Code Form to which the initial Contributor has attached the notice in Exhibit A, the Executable Form of such Source Code Form, and Modifications of such Source Code Form. \"Larger Work\" means a work that combines Covered Software with other material. \"Secondary License\" means either the GNU General Public License, the GNU Lesser General Public License, the GNU Affero General Public License, or any later versions of those licenses. Incompatible With Secondary Licenses."),
     ("CC0-1.0", "CC0 1.0 Universal. Statement of Purpose. The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights upon the creator and subsequent owner(s) of an original work of authorship and/or a database (each, a \"Work\"). Certain owners wish to permanently relinquish those rights to a Work for the purpose of contributing to a commons of creative, cultural and scientific works that the public can reliably and without fear of later claims of infringement build upon, modify, incorporate in other works, reuse and redistribute as freely as possible in any form whatsoever. Affirmer Waiver. Public License Fallback. Limitations and Disclaimers."),
 ]
+#: Titles with which long licences begin; their texts above are excerpts, so a match must hold the title.
+TITLES = {
+    "Apache-2.0": "Apache License Version 2.0",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3",
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3",
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
+    "EPL-2.0": "Eclipse Public License - v 2.0",
+    "CC0-1.0": "CC0 1.0 Universal",
+}
+#: By how much a whole file's best licence must beat the next one's; the share of a licence file that its notice fills.
+MARGIN, NOTICE_SHARE = 0.01, 0.2
 NAMES = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([._-][^/]*)?$"
 
 
@@ -101,6 +118,7 @@ class Templates:
         every = [*notices, *texts]
         self.names, self.notices = [k for k, _ in every], len(notices)
         tokens = [hashes_of(t) for _, t in every]
+        self.titles = {k: hashes_of(t) for k, t in TITLES.items()}
         self.terms = np.unique(np.concatenate(tokens))
         idf = lambda d: np.log((n + 1) / (d + 1)) + 1
         self.idf = np.array([idf(df.get(int(t.view(np.int64)), 0)) for t in self.terms])
@@ -126,8 +144,20 @@ class Templates:
         at = self.lookup(terms)
         weight = tf * np.where(at >= 0, self.idf[at], self.unknown)
         got = (weight[at >= 0] @ self.matrix[at[at >= 0]]) / np.linalg.norm(weight)
-        best = min(range(self.notices, len(got)) if whole else range(self.notices), key=lambda j: (-round(float(got[j]), 12), self.names[j], j), default=-1)
-        return (float(got[best]), best) if best >= 0 else (0.0, best)
+        order = sorted(range(self.notices, len(got)) if whole else range(self.notices), key=lambda j: (-round(float(got[j]), 12), self.names[j], j))
+        if whole:
+            order = [j for j in order if self.titled(h, self.names[j], True)]
+            if any(self.names[j] != self.names[order[0]] and got[j] > got[order[0]] - MARGIN for j in order[1:]):
+                return 0.0, -1
+        return (float(got[order[0]]), order[0]) if order else (0.0, -1)
+
+    def titled(self, h: np.ndarray, name: str, default: bool) -> bool:
+        """Whether a file's tokens hold the title of a license; the default for those without."""
+        title = self.titles.get(name)
+        if title is None:
+            return default
+        at = np.flatnonzero(h[: max(0, len(h) - len(title) + 1)] == title[0])
+        return any(np.array_equal(h[a : a + len(title)], title) for a in at)
 
 
 def document_frequencies(files: DataFrame, terms: np.ndarray, text: str) -> tuple[dict[int, int], int]:
@@ -158,11 +188,14 @@ def headers(x: Templates, h: np.ndarray, first: np.ndarray, lines: np.ndarray) -
 
 
 def scan(files: DataFrame, threshold: float = 0.6, path: str = "path", text: str = "text", notices: list[tuple[str, str]] | None = None, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """files without text, with own, own_score, header (its line, 1-based), file_license and file_score."""
+    """files without text, with own, own_score, header (its line, 1-based), own_speaks, file_license and file_score.
+
+    own_speaks: the header fills NOTICE_SHARE of the file, or its licence's title is there too.
+    """
     notices, texts = NOTICES if notices is None else notices, TEXTS if texts is None else texts
     terms = np.unique(np.concatenate([hashes_of(t) for _, t in [*notices, *texts]]))
     shared = files.sparkSession.sparkContext.broadcast(Templates(notices, texts, *document_frequencies(files, terms, text), threshold))
-    added = ("own", "own_score", "header", "file_license", "file_score")  # these replace columns of their names
+    added = ("own", "own_score", "header", "own_speaks", "file_license", "file_score")  # these replace columns of their names
     names = [n for n in files.columns if n not in (text, *added)]
     rows = files.select(*(F.col(f"`{n}`") for n in names), F.col(text).cast("string").alias(text))
 
@@ -183,39 +216,44 @@ def scan(files: DataFrame, threshold: float = 0.6, path: str = "path", text: str
                 whole: list = [None] * b.num_rows
                 hit = np.unique(line[(at >= 0) & x.essential[0, at]])
                 for f in np.unique(file_of(hit)):
-                    for a, _, score, j in headers(x, h, first, hit[file_of(hit) == f]):
+                    tokens = h[first[base[f]] : first[base[f + 1]]]
+                    for a, z, score, j in headers(x, h, first, hit[file_of(hit) == f]):
                         if score >= threshold and (own[f] is None or (-round(score, 12), x.names[j]) < (-round(own[f][0], 12), x.names[own[f][1]])):
-                            own[f] = (score, j, int(a - base[f]) + 1)
+                            own[f] = (score, j, int(a - base[f]) + 1, int(first[z] - first[a]))
+                    if own[f] is not None:
+                        score, j, at_line, n = own[f]
+                        own[f] = score, j, at_line, n >= NOTICE_SHARE * len(tokens) or x.titled(tokens, x.names[j], False)
                 for f in np.unique(file_of(line[(at >= 0) & x.essential[1, at]])):
                     score, j = x.cosine(h[first[base[f]] : first[base[f + 1]]], True)
                     whole[f] = (score, j) if score >= threshold else None
                 pick = lambda rows, k: [None if r is None else x.names[r[1]] if k == 1 else r[k] for r in rows]
-                cols = [pa.array(pick(own, 1), pa.string()), pa.array(pick(own, 0), pa.float64()), pa.array(pick(own, 2), pa.int64()), pa.array(pick(whole, 1), pa.string()), pa.array(pick(whole, 0), pa.float64())]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*names, "own", "own_score", "header", "file_license", "file_score"])
+                cols = [pa.array(pick(own, 1), pa.string()), pa.array(pick(own, 0), pa.float64()), pa.array(pick(own, 2), pa.int64()), pa.array([None if r is None else bool(r[3]) for r in own], pa.bool_()), pa.array(pick(whole, 1), pa.string()), pa.array(pick(whole, 0), pa.float64())]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*names, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
-    return rows.mapInArrow(run, f"{schema}, own string, own_score double, header long, file_license string, file_score double")
+    return rows.mapInArrow(run, f"{schema}, own string, own_score double, header long, own_speaks boolean, file_license string, file_score double")
 
 
 def inherit(scanned: DataFrame, path: str = "path") -> DataFrame:
-    """scanned with license and origin: ``header``, ``file``, ``directory`` (inherited) or null."""
+    """scanned with license and origin: ``file``, ``header``, ``directory`` (inherited) or null."""
     folder = F.when(F.col(path).contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.when(F.col(path).isNotNull(), F.lit("")))
     scanned = scanned.drop("license", "origin", "dir")  # results replace columns of their names
-    rows = scanned.withColumn("dir", folder)
-    named = F.col(path).rlike(NAMES) & F.col("own").isNotNull()
-    gives = rows.where(F.col("dir").isNotNull() & (F.col("file_license").isNotNull() | named))
-    better = F.col("file_score").isNull() | (F.col("own_score") >= F.col("file_score"))
-    gives = gives.select("dir", F.when(better, F.coalesce("own", "file_license")).otherwise(F.col("file_license")).alias("license"), F.greatest("file_score", "own_score").alias("score"))
+    # what a licence file is as a whole comes before the notices in it; one of an unknown licence has none by a notice
+    named = F.coalesce(F.col(path).rlike(NAMES), F.lit(False))
+    by_header = F.when(F.col("file_license").isNull() & (~named | F.col("own_speaks")), F.col("own"))
+    mine, header = unused("mine", scanned), unused("by_header", scanned)
+    rows = scanned.withColumn("dir", folder).withColumn(header, by_header).withColumn(mine, F.coalesce("file_license", header))
+    gives = rows.where(F.col("dir").isNotNull() & F.col(mine).isNotNull() & (F.col("file_license").isNotNull() | named))
+    gives = gives.select("dir", F.col(mine).alias("license"), F.when(F.col("file_license").isNotNull(), F.col("file_score")).otherwise(F.col("own_score")).alias("score"))
     best = gives.groupBy("dir").agg(F.min(F.struct(-F.round("score", 12), F.col("license"))).alias("b")).select(F.col("dir").alias("ancestor"), F.col("b.license").alias("given"))
-    dirs = rows.where(F.col("dir").isNotNull() & F.col("own").isNull() & F.col("file_license").isNull()).select("dir").distinct()
+    dirs = rows.where(F.col("dir").isNotNull() & F.col(mine).isNull()).select("dir").distinct()
     parts = F.split("dir", "/")
     up = dirs.withColumn("depth", F.explode(F.sequence(F.lit(0), F.size(parts)))).withColumn("ancestor", F.when(F.col("depth") == 0, "").otherwise(F.array_join(F.slice(parts, 1, F.greatest(F.col("depth"), F.lit(1))), "/")))
     of, given = unused("of", rows), unused("given", rows)
     near = up.join(best, "ancestor").groupBy("dir").agg(F.max(F.struct("depth", "given")).alias("m")).select(F.col("dir").alias(of), F.col("m.given").alias(given))
     out = rows.join(bounded(cut(near)), F.col("dir") == F.col(of), "left")
-    own = F.coalesce("own", "file_license")
-    origin = F.when(F.col("own").isNotNull(), "header").when(F.col("file_license").isNotNull(), "file").when(F.col(given).isNotNull(), "directory")
-    return out.select(*(F.col(f"`{c}`") for c in scanned.columns), F.coalesce(own, given).alias("license"), origin.alias("origin"))
+    origin = F.when(F.col("file_license").isNotNull(), "file").when(F.col(header).isNotNull(), "header").when(F.col(given).isNotNull(), "directory")
+    return out.select(*(F.col(f"`{c}`") for c in scanned.columns), F.coalesce(mine, given).alias("license"), origin.alias("origin"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -344,6 +345,22 @@ def test_license_files_and_wrapped_notices(spark):
     assert got["prose/a.txt"].license is None and got["prose/b.txt"].license is None
 
 
+def test_full_licence_texts_come_out_right_or_not_at_all(spark, sf):
+    """Whole published texts in licence files among documents: versions are told apart, unknown ones take no notice in them for their own."""
+    folder = Path("/usr/share/common-licenses")
+    right = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause"}
+    unknown = ["GPL-1", "LGPL-2", "GFDL-1.2", "GFDL-1.3", "MPL-1.1", "Artistic"]
+    there = [k for k in [*right, *unknown] if (folder / k).exists()]
+    if not there:
+        pytest.skip("no licence texts on this machine")
+    files = [(f"{k}/{name}", text) for k in there for name, text in (("LICENSE", (folder / k).read_text()), ("src/deep/a.c", "int main;"))]
+    files += [(f"docs/{i}.txt", t) for i, t, *_ in documents(sf)]
+    got = {r.path: (r.license, r.origin) for r in licenses.inherit(common.cut(licenses.scan(spark.createDataFrame(files, "path string, text string")))).where("path not like 'docs/%'").collect()}
+    wrong = {k: got[f"{k}/LICENSE"] for k in there if got[f"{k}/LICENSE"][0] != right.get(k)}
+    assert not wrong
+    assert all(got[f"{k}/src/deep/a.c"] == ((right[k], "directory") if k in right else (None, None)) for k in there)
+
+
 def test_licenses_by_brute_force(spark, sf):
     """The whole query with plain dictionaries: every line and file against every template, then the nearest ancestor."""
     token = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
@@ -382,7 +399,7 @@ def test_licenses_by_brute_force(spark, sf):
         up = path.split("/")[:-1]
         near = next((gives["/".join(up[:n])][1] for n in range(len(up), 0, -1) if "/".join(up[:n]) in gives), None)
         if r.own_score is None or r.own == mine:  # wrapped notices may add one, never take one away
-            assert (r.path, r.own, r.license) == (path, mine, mine or (whole[r.doc_id][1] if whole[r.doc_id] else near))
+            assert (r.path, r.own, r.license) == (path, mine, whole[r.doc_id][1] if whole[r.doc_id] else mine or near)
         else:
             assert mine is None
 
