@@ -553,6 +553,26 @@ def searched(fp, queries, max_error=0.15, min_overlap=13, z=5.5):
     return out
 
 
+def test_search_of_sampled_sound(spark):
+    """Noisy cuts of melodies at any sample, as PCM: the search against all pairs at all offsets, and against what was cut."""
+    rnd, rate = np.random.RandomState(17), 8000
+    note = lambda: sum(np.sin(2 * np.pi * 110 * 2 ** (rnd.randint(0, 48) / 12) * np.arange(3200) / rate) for _ in range(2))
+    base = [np.concatenate([note() for _ in range(60)]) for _ in range(6)]
+    cut = {}
+    for i in range(48):
+        x, size = base[i % 6], rnd.randint(12, 16) * rate
+        at = rnd.randint(0, len(x) - size)
+        cut[i] = (at, size, (x[at : at + size] + rnd.randn(size) * 0.1).astype(float))
+    df = spark.createDataFrame([(i, x.tolist()) for i, (_, _, x) in cut.items()], "rec long, x array<double>").repartition(8)
+    pairs, _ = audio.alignments(df, "rec", "x", F.col("rec") % 4 == 0, rate=rate)
+    got = {(r.a, r.b): r["shift"] for r in pairs.collect()}
+    fp = {i: audio.fingerprint(audio.chroma_of_pcm(x, rate)) for i, (_, _, x) in cut.items()}
+    want = searched(fp, [i for i in fp if i % 4 == 0])
+    assert len(want) > 30 and set(got) <= want and len(got) >= 0.9 * len(want)
+    assert all(a % 6 == b % 6 for a, b in got)
+    assert all(abs(shift - (cut[a][0] - cut[b][0]) / 1365) <= 1 for (a, b), shift in got.items())
+
+
 def test_search_finds_noisy_cuts(spark):
     """Cuts of longer signals at several offsets and noise levels, against all pairs at all offsets."""
     rnd = np.random.RandomState(11)
