@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import cut
+
+#: Rows of query boxes, or of queries, that every task may get (of seven longs at most, so under 24 MB).
+FEW = 1 << 18
+
 
 def cells(boxes: DataFrame, size: int, bounds: tuple[int, int, int, int]) -> DataFrame:
     """boxes, once for each cell they touch; what lies outside the bounds falls to the edge cells."""
@@ -19,17 +24,55 @@ def cells(boxes: DataFrame, size: int, bounds: tuple[int, int, int, int]) -> Dat
     return wide.withColumn("cy", F.explode(F.sequence(at("y0", y0, ny), last("y1", y0, ny))))
 
 
+def _few(df: DataFrame) -> tuple[DataFrame, bool]:
+    """df, written, and whether all of it may go to every task."""
+    df = cut(df)
+    return df, df.count() <= FEW
+
+
+def classes(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((c, x0, y0, x1, y1), (q, c)): query boxes once each, and the queries that have them.
+
+    Queries of one and the same box are a class, c being its number from 0; a query of several
+    boxes is a class of its own, below 0. So a query is in one class only.
+    """
+    box = ["x0", "y0", "x1", "y1"]
+    solid = queries.where("x0 < x1 and y0 < y1").select("q", *box).distinct()
+    each = cut(solid.withColumn("alone", F.count("*").over(Window.partitionBy("q")) == 1))
+    one, several = each.where("alone"), each.where("not alone")
+    shared = cut(one.select(*box).distinct().withColumn("c", F.monotonically_increasing_id()))
+    own = cut(several.select(F.col("q").alias("of")).distinct().withColumn("c", -1 - F.monotonically_increasing_id()))
+    members = one.join(shared, box).select("q", "c").unionByName(own.select(F.col("of").alias("q"), "c"))
+    return shared.unionByName(several.join(own, F.col("q").eqNullSafe(F.col("of"))).select(*box, "c")), members
+
+
 def overlapping(queries: DataFrame, boxes: DataFrame, size: int, bounds: tuple[int, int, int, int]) -> DataFrame:
     """(q, id) of boxes that overlap query boxes; half-open, so neighbours that touch do not.
 
-    An equi-join on cells with the exact test as residual. A pair that shares several cells
-    is kept in one of them (the one with its intersection's corner), so nothing is sorted out later.
+    An equi-join on cells with the exact test as residual. A pair that shares several cells is
+    kept in one of them (the one with its intersection's corner). Equal query boxes are joined
+    once, and pairs are sorted out where an id has several boxes, both before the queries of
+    a class take its pairs; pairs are then written as they are found. Boxes are dealt by
+    id, by which they stay where classes are few enough to go to every task.
     """
-    b = cells(boxes.select("id", "x0", "y0", "x1", "y1").distinct(), size, bounds)
-    q = cells(queries, size, bounds).select("q", "cx", "cy", *(F.col(c).alias("q" + c) for c in ("x0", "y0", "x1", "y1")))
+    spark = boxes.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shapes, members = classes(queries)
+    shapes, few = _few(cells(shapes, size, bounds).select("c", "cx", "cy", *(F.col(c).alias("q" + c) for c in ("x0", "y0", "x1", "y1"))))
+    members, light = _few(members)
+    # a stated number of tasks: pairs are far more than the bytes of the boxes let expect
+    dealt = boxes.select("id", "x0", "y0", "x1", "y1").where("x0 < x1 and y0 < y1").repartition(parts, "id").distinct()
+    dealt = dealt.withColumn("n", F.count("*").over(Window.partitionBy("id")))
     x0, y0, x1, y1 = bounds
     nx, ny = -(-(x1 - x0) // size), -(-(y1 - y0) // size)
     corner = lambda a, b, low, n: F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((F.greatest(a, b) - low) / size)))
-    hit = b.join(q, ["cx", "cy"]).where("x0 < qx1 and qx0 < x1 and y0 < qy1 and qy0 < y1")
-    hit = hit.where((F.col("cx") == corner("x0", "qx0", x0, nx)) & (F.col("cy") == corner("y0", "qy0", y0, ny)))
-    return hit.select("q", "id").distinct()
+
+    def met(b: DataFrame) -> DataFrame:
+        hit = cells(b, size, bounds).join(F.broadcast(shapes) if few else shapes, ["cx", "cy"]).where("x0 < qx1 and qx0 < x1 and y0 < qy1 and qy0 < y1")
+        return hit.where((F.col("cx") == corner("x0", "qx0", x0, nx)) & (F.col("cy") == corner("y0", "qy0", y0, ny))).select("c", "id")
+
+    # a class of several boxes may meet a box more than once
+    single = met(dealt.where("n = 1"))
+    single = single if shapes.where("c < 0").isEmpty() else single.distinct()
+    found = single.unionByName(met(dealt.where("n > 1")).distinct())
+    return found.join(F.broadcast(members) if light else members, "c").select("q", "id")

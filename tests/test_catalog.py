@@ -83,6 +83,23 @@ def test_boxes(spark):
         spatial.cells(box, 0, (0, 0, 1, 1))
 
 
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_equal_query_boxes_are_joined_once(spark, few, monkeypatch):
+    """Pairs by brute force: queries that share a box, have several or no number, ids of several boxes; the plan sorts out no pair after queries took theirs."""
+    monkeypatch.setattr(spatial, "FEW", few)
+    rnd = np.random.RandomState(7)
+    rows = lambda n, ids: [(int(rnd.randint(ids)), int(x), int(y), int(x + rnd.randint(-2, 40)), int(y + rnd.randint(1, 40))) for x, y in rnd.randint(-20, 130, (n, 2))]
+    boxes, asked = rows(150, 90), rows(40, 60)
+    asked += [(100 + i, *r[1:]) for i, r in enumerate(asked[:25])] + [(None, *asked[0][1:]), (None, *asked[3][1:])]
+    box = spark.createDataFrame(boxes, "id long, x0 long, y0 long, x1 long, y1 long")
+    out = spatial.overlapping(spark.createDataFrame(asked, "q long, x0 long, y0 long, x1 long, y1 long"), box, 16, (0, 0, 100, 100))
+    got = [(r.q, r.id) for r in out.collect()]
+    want = {(q, i) for q, a0, b0, a1, b1 in asked for i, x0, y0, x1, y1 in boxes if a0 < a1 and b0 < b1 and x0 < x1 and y0 < y1 and x0 < a1 and a0 < x1 and y0 < b1 and b0 < y1}
+    assert len(got) == len(want) and set(got) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Project [q#") and "Join" in plan.splitlines()[1]
+
+
 def test_decoding_equals_kernel(spark, sf):
     probs = adapters.probs8(spark, sf)
     got = {(r.line_id, r.idx): (r.start, r.end, r.certainty) for r in decode.scores(probs, 7).collect()}
