@@ -176,13 +176,14 @@ def word_gaps(boxes: DataFrame) -> DataFrame:
     """boxes with gap, the columns of paper before a component in its line (null for the first), and space, the largest gap within a word of the line.
 
     space splits the histogram of a line's gaps where the classes on both sides differ most (as
-    Otsu's threshold does for gray levels); of lines with gaps of one size it is that size.
+    Otsu's threshold does for gray levels), the smallest such gap of several; of lines with gaps of
+    one size it is that size.
     """
     order = Window.partitionBy(*LINE).orderBy("x0", "y0", "root")
     reached = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
     each = boxes.withColumn("gap", F.when(reached.isNotNull(), F.greatest(F.col("x0") - reached, F.lit(0))))
     known = each.where("gap is not null").select(F.struct(*LINE).alias("image_id"), F.col("gap").alias("v"))
-    split = pixels.otsu_thresholds(known).select(*(F.col(f"image_id.{c}").alias(c) for c in LINE), F.col("threshold").alias("cut"))
+    split = pixels.otsu_thresholds(known, 9).select(*(F.col(f"image_id.{c}").alias(c) for c in LINE), F.col("threshold").alias("cut"))
     widest = known.groupBy("image_id").agg(F.max("v").alias("most"), F.min("v").alias("least"))
     widest = widest.select(*(F.col(f"image_id.{c}").alias(c) for c in LINE), "most", "least")
     both = each.join(split, LINE, "left").join(widest, LINE, "left")

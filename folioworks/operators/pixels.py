@@ -31,8 +31,11 @@ def sizes(pixels: DataFrame) -> DataFrame:
 # -- thresholds --------------------------------------------------------------
 
 
-def otsu_thresholds(pixels: DataFrame) -> DataFrame:
-    """(image_id, threshold) from 256-bin histograms; the smallest of equal levels, 0 if flat."""
+def otsu_thresholds(pixels: DataFrame, digits: int | None = None) -> DataFrame:
+    """(image_id, threshold) from 256-bin histograms; the smallest of equal levels, 0 if flat.
+
+    With digits, spreads are equal that are so when rounded; else the last place of a quotient decides.
+    """
     hist = pixels.groupBy("image_id", "v").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("image_id").orderBy("v")
     whole = Window.partitionBy("image_id")
@@ -40,6 +43,7 @@ def otsu_thresholds(pixels: DataFrame) -> DataFrame:
     wf = F.col("n") - F.col("wb")
     gap = F.col("sb") / F.col("wb") - (F.col("s") - F.col("sb")) / F.nullif(wf, F.lit(0))
     spread = F.coalesce(F.col("wb").cast("double") * wf * gap * gap, F.lit(0.0))
+    spread = spread if digits is None else F.round(spread, digits)
     # the largest spread; of equals the smallest level
     best = run.groupBy("image_id").agg(F.min(F.struct((-spread).alias("d"), F.col("v"))).alias("b"))
     return best.select("image_id", F.when(F.col("b.d") < 0, F.col("b.v")).otherwise(0).cast("int").alias("threshold"))

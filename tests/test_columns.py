@@ -118,6 +118,14 @@ def test_words_by_gaps(spark):
     assert (got[0].x0, got[0].x1, got[0].y0, got[0].y1) == (0, 30, 10, 20)
 
 
+def test_words_of_equal_splits(spark):
+    """Gaps 1, 2, 0, 1 split as well behind 0 as behind 1 (16/3 both): the smaller counts, though a last place may differ."""
+    line = [(0, 20), (7, 20), (15, 20), (21, 20), (28, 20)]
+    rows = page.word_gaps(feet(spark, [line])).orderBy("x0").collect()
+    assert [r.gap for r in rows] == [None, 1, 2, 0, 1] and {r.space for r in rows} == {0}
+    assert [r.n for r in page.word_boxes(feet(spark, [line])).orderBy("word").collect()] == [1, 1, 2, 1]
+
+
 def test_tight_boxes_of_strips(spark):
     """Components by their middle column, strips that lie over each other, without ink, or empty."""
     rnd = random.Random(5)
