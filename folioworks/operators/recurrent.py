@@ -1,128 +1,97 @@
-"""Recurrences as folds of array functions, and integer layers: nothing leaves the JVM.
+"""Recurrences over sequences that Spark deals out, and integer layers.
 
 Tensors are (line_id, y, x, features). A row of a line is one sequence, a line image at most a
-row of the table; any number of them splits over tasks. Weights are a one-row table, as
-large as the layer, which each task gets once.
+row of the table; any number of them splits over tasks. Sequences of one length advance
+together, an array operation for each step. Weights are a one-row table, as large as the layer,
+which each task gets once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tensor
 from .decode import let
-from .layers import affine
 
 #: Names of the gates in the order of their matrices; the fifth weighs the state of the row above.
 GATES = ("cell", "input", "forget", "output", "above")
-LIMIT = float(tensor.STATE_LIMIT)
-
-
-def tabled(v: Column, values: Column) -> Column:
-    """A function of |v| by a table of its values at multiples of 1/256, straight lines between, 1 beyond the table."""
-
-    between = lambda at, low: F.get(values, low) + (F.get(values, low + 1) - F.get(values, low)) * (at - low)
-    return let(F.abs(v) * tensor.TABLE_SCALE, lambda at: F.when(at >= tensor.TABLE_SIZE - 1, 1.0).otherwise(between(at, F.floor(at).cast("int"))))
-
-
-def tanh(v: Column) -> Column:
-    return tabled(v, F.col("tanh")) * F.signum(v)
-
-
-def logistic(v: Column) -> Column:
-    plain = tabled(v, F.col("logistic"))
-    return F.when(v < 0, 1 - plain).otherwise(plain)
+#: Values of features and states that advance together.
+CELLS = 1 << 20
 
 
 def spread(tensors: DataFrame, *keys: str) -> DataFrame:
-    """tensors dealt to all cores by their sequences: a fold is work, however few bytes it reads, so small partitions are not to be joined."""
+    """tensors dealt to all cores by their sequences: steps are work, however few bytes they read, so small partitions are not to be joined."""
     spark = tensors.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return tensors.repartition(n, *keys)
 
 
 def gate_table(spark: SparkSession, gates: list[np.ndarray]) -> DataFrame:
-    """One row (w, tanh, logistic): a matrix by gate, the bias last in each row, and the tables of both activations."""
-    row = ([g.tolist() for g in gates], tensor.TANH.tolist(), tensor.LOGISTIC.tolist())
-    return spark.createDataFrame([row], "w array<array<array<double>>>, tanh array<double>, logistic array<double>")
-
-
-def gated(w: Column, source: Column) -> Column:
-    """By gate, by cell: the activations of all gates."""
-    return F.transform(w, lambda m, k: F.transform(affine(source, m), lambda v: F.when(k == 0, tanh(v)).otherwise(logistic(v))))
-
-
-def single(v: Column) -> Column:
-    return v.cast("array<float>").cast("array<double>")
-
-
-def clipped(v: Column) -> Column:
-    return F.least(F.lit(LIMIT), F.greatest(F.lit(-LIMIT), v))
+    """One row (w): a matrix by gate, the bias last in each row."""
+    return spark.createDataFrame([([g.tolist() for g in gates],)], "w array<array<array<double>>>")
+
+
+def advanced(batch: pa.RecordBatch, sides: int, weight: int, kernel) -> Iterator[pa.RecordBatch]:
+    """Results of kernel, (n, rows, columns, features) to the like, for a batch (line_id, y, h_, w_, at); sequences of one size together."""
+    at = batch.column("at")
+    begin = np.concatenate(([0], np.cumsum(np.diff(at.offsets.to_numpy()))))
+    places = at.flatten()
+    flat = places.flatten().to_numpy().reshape(len(places), -1) if len(places) else np.zeros((0, 1))
+    sizes = np.stack([batch.column(c).to_numpy() for c in ("h_", "w_")], axis=1)
+    for h, w in np.unique(sizes, axis=0):
+        mine = np.flatnonzero((sizes == (h, w)).all(1))
+        step = max(1, CELLS // int(h * w * (flat.shape[1] + weight)))
+        for i in range(0, len(mine), step):
+            part = mine[i : i + step]
+            out = kernel(flat[begin[part][:, None] + np.arange(h * w)].reshape(len(part), h, w, -1))
+            n, rows, cols, size = out.shape
+            y, x = np.indices((rows, cols))
+            who = pa.array(np.repeat(part, rows * cols))
+            lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, size, dtype=np.int32), pa.array(out.ravel(), pa.float32()))
+            ys = batch.column("y").take(who) if sides == 1 else pa.array(np.tile(y.ravel(), n), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("line_id").take(who), ys, pa.array(np.tile(x.ravel(), n), pa.int32()), lists], ["line_id", "y", "x", "features"])
+
+
+def folded(rows: DataFrame, sides: int, weight: int, kernel) -> DataFrame:
+    """(line_id, y, x, features) of rows (line_id, y, h_, w_, at); y is that of rows where they have one side, else a place's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from advanced(batch, sides, weight, kernel)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    y = kinds["y"] if sides == 1 else "int"
+    return rows.select("line_id", "y", "h_", "w_", "at").mapInArrow(run, f"line_id {kinds['line_id']}, y {y}, x int, features array<float>")
 
 
 def lstm(tensors: DataFrame, gates: DataFrame, size: int, summary: bool = False) -> DataFrame:
     """(line_id, y, x, features): each row of a line through an LSTM of size cells, from left to right; with summary only the last place, as x = 0.
 
-    The fold carries states and outputs of the cells; a place sees its features and the outputs before it.
+    A place sees its features and the outputs before it.
     """
-    places = F.array_sort(F.collect_list(F.struct("x", F.col("features").cast("array<double>").alias("features"))))
-    rows = spread(tensors, "line_id", "y").groupBy("line_id", "y").agg(places.alias("at")).join(F.broadcast(gates))
-    zeros = F.array_repeat(F.lit(0.0), size)
-    start = F.struct(zeros.alias("state"), zeros.alias("out"), F.array().cast("array<array<double>>").alias("outs"))
-
-    def step(held: Column, place: Column) -> Column:
-        def moved(g: Column, state: Column) -> Column:
-            out = F.transform(state, lambda s, i: tanh(s) * F.get(F.get(g, F.lit(3)), i))
-            return let(out, lambda o: F.struct(state.alias("state"), o.alias("out"), F.concat(held["outs"], F.array(o)).alias("outs")))
-
-        def states(g: Column) -> Column:
-            gate = lambda k, i: F.get(F.get(g, F.lit(k)), i)
-            return F.transform(held["state"], lambda s, i: clipped(s * gate(2, i) + gate(0, i) * gate(1, i)))
-
-        return let(gated(F.col("w"), F.concat(place["features"], single(held["out"]))), lambda g: let(states(g), lambda s: moved(g, s)))
-
-    folded = rows.select("line_id", "y", F.aggregate("at", start, step)["outs"].alias("outs"))
-    if summary:
-        return folded.select("line_id", "y", F.lit(0).alias("x"), F.element_at("outs", -1).cast("array<float>").alias("features"))
-    return folded.select("line_id", "y", F.posexplode("outs").alias("x", "out")).select("line_id", "y", "x", F.col("out").cast("array<float>").alias("features"))
+    weights = [np.array(g) for g in gates.first()["w"]]
+    places = F.sort_array(F.collect_list(F.struct("x", F.col("features").cast("array<double>").alias("features"))))
+    rows = spread(tensors, "line_id", "y").groupBy("line_id", "y").agg(places["features"].alias("at"))
+    rows = rows.withColumns({"h_": F.lit(1), "w_": F.size("at")})
+    return folded(rows, 1, 6 * size, lambda x: tensor.lstm(x[:, 0], weights, summary)[:, None])
 
 
 def lstm_2d(tensors: DataFrame, gates: DataFrame, size: int) -> DataFrame:
     """(line_id, y, x, features): a line image through a two-dimensional LSTM, from its upper left corner.
 
     A place sees its features, the outputs left of it and those above it; the fifth gate weighs the
-    state above. The fold goes along diagonals, whose places depend on the diagonal before
-    alone: of each row of the image it carries the states and outputs of the place it has come
-    to. Places must be complete.
+    state above. Steps go along diagonals, whose places depend on the diagonal before alone.
+    Places must be complete.
     """
-    places = F.array_sort(F.collect_list(F.struct("y", "x", F.col("features").cast("array<double>").alias("features"))))
-    sized = spread(tensors, "line_id").groupBy("line_id").agg(places.alias("at"), (F.max("x") + 1).alias("w_"), (F.max("y") + 1).alias("h_")).join(F.broadcast(gates))
-    zeros = F.array_repeat(F.lit(0.0), size)
-    place = F.struct(zeros.alias("state"), zeros.alias("out"))
-    start = F.struct(F.array_repeat(place, F.col("h_")).alias("front"), F.array().cast("array<array<struct<state:array<double>,out:array<double>>>>").alias("fronts"))
-
-    def cell(front: Column, y: Column, x: Column) -> Column:
-        beside = lambda i, name: F.coalesce(F.get(front, i)[name], zeros)
-        source = F.concat(F.get("at", y * F.col("w_") + x)["features"], single(beside(y, "out")), single(beside(y - 1, "out")))
-
-        def states(g: Column) -> Column:
-            gate = lambda k, i: F.get(F.get(g, F.lit(k)), i)
-            return F.transform(beside(y, "state"), lambda s, i: clipped(s * gate(2, i) + F.get(beside(y - 1, "state"), i) * gate(4, i) + gate(0, i) * gate(1, i)))
-
-        done = lambda g, state: F.struct(state.alias("state"), F.transform(state, lambda s, i: tanh(s) * F.get(F.get(g, F.lit(3)), i)).alias("out"))
-        return let(gated(F.col("w"), source), lambda g: let(states(g), lambda s: done(g, s)))
-
-    def step(held: Column, k: Column) -> Column:
-        rows = F.sequence(F.lit(0), F.col("h_") - 1)
-        front = F.transform(rows, lambda y: F.when((k - y >= 0) & (k - y < F.col("w_")), cell(held["front"], y, k - y)).otherwise(place))
-        return let(front, lambda f: F.struct(f.alias("front"), F.concat(held["fronts"], F.array(f)).alias("fronts")))
-
-    folded = sized.select("line_id", "w_", F.aggregate(F.sequence(F.lit(0), F.col("h_") + F.col("w_") - 2), start, step)["fronts"].alias("fronts"))
-    flat = folded.select("line_id", "w_", F.posexplode("fronts").alias("k", "front")).select("line_id", "w_", "k", F.posexplode("front").alias("y", "c"))
-    at = F.col("k") - F.col("y")
-    return flat.where((at >= 0) & (at < F.col("w_"))).select("line_id", "y", at.alias("x"), F.col("c.out").cast("array<float>").alias("features"))
+    weights = [np.array(g) for g in gates.first()["w"]]
+    places = F.sort_array(F.collect_list(F.struct("y", "x", F.col("features").cast("array<double>").alias("features"))))
+    rows = spread(tensors, "line_id").groupBy("line_id").agg(places["features"].alias("at"), (F.max("x") + 1).alias("w_"), (F.max("y") + 1).alias("h_"))
+    return folded(rows.withColumn("y", F.lit(0)), 2, 4 * size, lambda x: tensor.lstm_2d(x, weights))
 
 
 # -- layers of 8-bit integers ---------------------------------------------------

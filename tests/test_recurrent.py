@@ -30,6 +30,19 @@ def test_lstm_equals_the_kernel(spark):
     assert recurrent.lstm(both.where("false"), table, 3).count() == 0
 
 
+def test_sequences_advance_together(spark, monkeypatch):
+    """One array operation a step for all sequences of a length, in groups of bounded size; no fold of lambdas by place."""
+    rnd = np.random.RandomState(4)
+    gates = [rnd.uniform(-1, 1, (2, 1 + 2 + 1)) for _ in range(4)]
+    x = rnd.uniform(-1, 1, (6, 11, 1)).astype(np.float32)
+    monkeypatch.setattr(recurrent, "CELLS", 300)
+    out = recurrent.lstm(rows(spark, x[:4]).unionByName(rows(spark, x[:, :7], 3)), recurrent.gate_table(spark, gates), 2)
+    assert np.allclose(dense(out), tensor.lstm(x[:4], gates), atol=1e-6) and np.allclose(dense(out, 3), tensor.lstm(x[:, :7], gates), atol=1e-6)
+    flat = recurrent.lstm_2d(rows(spark, x), recurrent.gate_table(spark, [rnd.uniform(-1, 1, (2, 6)) for _ in recurrent.GATES]), 2)
+    for df in (out, flat):
+        assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_states_are_clipped(spark):
     gates = [np.array([[9.0, 0.0, 9.0]])] * 4
     x = np.ones((1, 130, 1), np.float32)
