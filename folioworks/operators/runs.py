@@ -17,6 +17,11 @@ CELL = 32
 RUN = ["image_id", "run"]
 
 
+def met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """left joined to right, both dealt by their keys. Files of labels are so much smaller than their rows that Spark would send them through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def inked_runs(bits: DataFrame) -> DataFrame:
     """The ink pixels (image_id, y, x) with the run of their row they belong to."""
     row = Window.partitionBy("image_id", "y").orderBy("x")
@@ -47,7 +52,7 @@ def links(found: DataFrame, connectivity: int) -> DataFrame:
     above = found.select("image_id", F.col("run").alias("a"), (F.col("y") + 1).alias("y"), (F.col("x0") - beyond).alias("a0"), (F.col("x1") + beyond).alias("a1"))
     above = above.withColumn("cell", cells(F.col("a0"), F.col("a1")))
     below = found.select("image_id", F.col("run").alias("b"), "y", "x0", "x1").withColumn("cell", cells(F.col("x0"), F.col("x1")))
-    both = above.join(below, ["image_id", "y", "cell"]).where((F.col("a0") < F.col("x1")) & (F.col("x0") < F.col("a1")))
+    both = met(above, below, ["image_id", "y", "cell"]).where((F.col("a0") < F.col("x1")) & (F.col("x0") < F.col("a1")))
     return both.where(F.floor(F.greatest("a0", "x0") / CELL) == F.col("cell")).select("image_id", "a", "b")
 
 
@@ -63,12 +68,12 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
     state = cut(state)
     while True:
         near = state.select("image_id", F.col("run").alias("near"), F.col("top").alias("theirs"))
-        heard = both.join(near, ["image_id", "near"]).groupBy(*RUN).agg(F.min("theirs").alias("theirs"))
-        told = state.join(heard, RUN).withColumn("least", F.least("theirs", "top"))
+        heard = met(both, near, ["image_id", "near"]).groupBy(*RUN).agg(F.min("theirs").alias("theirs"))
+        told = met(state, heard, RUN).withColumn("least", F.least("theirs", "top"))
         hooks = told.select("image_id", F.col("up").alias("run"), "least").unionByName(told.select(*RUN, "least")).groupBy(*RUN).agg(F.min("least").alias("least"))
-        moved = cut(state.join(hooks, RUN).select(*RUN, F.least("up", "least").alias("up"), F.col("up").alias("was"), F.col("top").alias("topped")))
+        moved = cut(met(state, hooks, RUN).select(*RUN, F.least("up", "least").alias("up"), F.col("up").alias("was"), F.col("top").alias("topped")))
         parents = moved.select("image_id", F.col("run").alias("up"), F.col("up").alias("top"))
-        after = cut(moved.join(parents, ["image_id", "up"]))
+        after = cut(met(moved, parents, ["image_id", "up"]))
         if after.where("up <> was or top <> topped").isEmpty():
             return after.select(*RUN, F.col("top").alias("root"))
         state = after.select(*RUN, "up", "top")
@@ -77,7 +82,7 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
 def labelled(found: DataFrame, connectivity: int) -> DataFrame:
     """runs with root, the first run of their component. found is written already."""
     roots = smallest_reachable(links(found, connectivity))
-    return found.join(roots, RUN, "left").withColumn("root", F.coalesce("root", "run"))
+    return met(found, roots, RUN, "left").withColumn("root", F.coalesce("root", "run"))
 
 
 def components(bits: DataFrame, connectivity: int) -> DataFrame:
@@ -93,8 +98,8 @@ def seed_fill(seeds: DataFrame, mask: DataFrame, connectivity: int) -> DataFrame
     dots = cut(inked_runs(mask))
     each = labelled(cut(dots.groupBy(*RUN, "y").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"))), connectivity).select(*RUN, "root")
     each = cut(each)
-    hit = dots.join(marks, ["image_id", "y", "x"], "left_semi").select(*RUN).distinct().join(each, RUN).select("image_id", "root").distinct()
-    return dots.join(each.join(hit, ["image_id", "root"], "left_semi"), RUN).select("image_id", "y", "x")
+    hit = met(met(dots, marks, ["image_id", "y", "x"], "left_semi").select(*RUN).distinct(), each, RUN).select("image_id", "root").distinct()
+    return met(dots, met(each, hit, ["image_id", "root"], "left_semi"), RUN).select("image_id", "y", "x")
 
 
 def distance(bits: DataFrame) -> DataFrame:
