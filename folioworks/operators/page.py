@@ -43,8 +43,8 @@ def blocks(bits: DataFrame, gaps: tuple[int, int, int] = GAPS) -> DataFrame:
     dots = cut(runs.inked_runs(smeared(bits, gaps)))
     each = cut(dots.groupBy("image_id", "run", "y").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1")))
     roots = runs.labelled(each, 8).select("image_id", "run", F.col("root").alias("block"))
-    ink = dots.join(bits.where("v = 1").select("image_id", "y", "x"), ["image_id", "y", "x"])
-    return ink.join(roots, ["image_id", "run"]).select("image_id", "y", "x", "block")
+    ink = runs.met(dots, bits.where("v = 1").select("image_id", "y", "x"), ["image_id", "y", "x"])
+    return runs.met(ink, roots, ["image_id", "run"]).select("image_id", "y", "x", "block")
 
 
 def profile(ink: DataFrame) -> DataFrame:
@@ -82,13 +82,13 @@ def lined(bits: DataFrame, gaps: tuple[int, int, int] = GAPS, least: int = LEAST
     cuts = valley_cuts(rows, least).groupBy("image_id", "block").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
     # a block's cuts are fewer than its rows
     line = F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("y"))), F.lit(0))
-    return ink, rows.select("image_id", "block", "y").join(cuts, ["image_id", "block"], "left").select("image_id", "block", "y", line.alias("line"))
+    return ink, runs.met(rows.select("image_id", "block", "y"), cuts, ["image_id", "block"], "left").select("image_id", "block", "y", line.alias("line"))
 
 
 def text_lines(bits: DataFrame, gaps: tuple[int, int, int] = GAPS, least: int = LEAST_CORE) -> DataFrame:
     """(image_id, block, line, x0, y0, x1, y1, ink): half-open boxes of the ink of each line."""
     ink, rows = lined(bits, gaps, least)
-    each = ink.join(rows, ["image_id", "block", "y"]).groupBy("image_id", "block", "line")
+    each = runs.met(ink, rows, ["image_id", "block", "y"]).groupBy("image_id", "block", "line")
     return each.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"), F.count("*").alias("ink"))
 
 
@@ -107,7 +107,7 @@ def crop_pixels(gray: DataFrame, lines: DataFrame, pad: int = 0) -> DataFrame:
     wide = wide.withColumn("cy", F.explode(cells(F.col("y0"), F.col("y1")))).withColumn("cx", F.explode(cells(F.col("x0"), F.col("x1"))))
     at = gray.withColumn("cy", F.floor(F.col("y") / CELL)).withColumn("cx", F.floor(F.col("x") / CELL))
     inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
-    met = at.join(wide, ["image_id", "cy", "cx"]).where(inside)
+    met = runs.met(at, wide, ["image_id", "cy", "cx"]).where(inside)
     return met.select(F.col("line_id").alias("image_id"), (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "v")
 
 
@@ -143,7 +143,7 @@ def line_components(bits: DataFrame, gaps: tuple[int, int, int] = GAPS, least: i
     found = runs.components(bits, 8)
     at = ink.select("image_id", "block", runs.run_name(F.col("y"), F.col("x")).alias("root"))
     middle = F.floor((F.col("y0") + F.col("y1") - 1) / 2).cast("int")
-    return found.join(at, ["image_id", "root"]).withColumn("y", middle).join(rows, ["image_id", "block", "y"]).select(*LINE, "root", "x0", "y0", "x1", "y1")
+    return runs.met(runs.met(found, at, ["image_id", "root"]).withColumn("y", middle), rows, ["image_id", "block", "y"]).select(*LINE, "root", "x0", "y0", "x1", "y1")
 
 
 def baselines(boxes: DataFrame) -> DataFrame:
@@ -160,13 +160,13 @@ def baselines(boxes: DataFrame) -> DataFrame:
     feet = feet.withColumn("k", F.row_number().over(order)).withColumn("n", F.count("*").over(line))
     ends = feet.where((F.col("k") <= ENDS) | (F.col("k") > F.col("n") - ENDS))
     at = lambda side: ends.select(*LINE, *(F.col(c).alias(f"{c}{side}") for c in ("k", "x", "y")), *(["n"] if side == "a" else []))
-    pairs = at("a").join(at("b"), LINE).where((F.col("ka") <= ENDS) & (F.col("kb") > F.col("n") - ENDS) & (F.col("xa") < F.col("xb")))
+    pairs = runs.met(at("a"), at("b"), LINE).where((F.col("ka") <= ENDS) & (F.col("kb") > F.col("n") - ENDS) & (F.col("xa") < F.col("xb")))
     slope = (F.col("yb") - F.col("ya")) / (F.col("xb") - F.col("xa"))
     lines = pairs.select(*LINE, "ka", "kb", slope.alias("slope"), (F.col("ya") - slope * F.col("xa")).alias("offset"))
     level = feet.where("k = 1").select(*LINE, F.lit(0).alias("ka"), F.lit(0).alias("kb"), F.lit(0.0).alias("slope"), F.col("y").alias("offset"))
-    level = level.join(lines.select(*LINE).distinct(), LINE, "left_anti")
+    level = runs.met(level, lines.select(*LINE).distinct(), LINE, "left_anti")
     off = F.col("y") - F.col("offset") - F.col("slope") * F.col("x")
-    each = lines.unionByName(level).join(feet.select(*LINE, "x", "y", "n"), LINE).withColumn("r", F.round(off * off, 6))
+    each = runs.met(lines.unionByName(level), feet.select(*LINE, "x", "y", "n"), LINE).withColumn("r", F.round(off * off, 6))
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy(*LINE, "ka", "kb").orderBy("r"))).where(F.col("rank") == F.floor(F.col("n") / 2) + 1)
     best = ranked.groupBy(*LINE, "n").agg(F.min(F.struct("r", "ka", "kb", "slope", "offset")).alias("b"))
     return best.select(*LINE, F.col("b.slope").alias("slope"), F.col("b.offset").alias("offset"), F.col("b.r").alias("error"), "n")
@@ -186,7 +186,7 @@ def word_gaps(boxes: DataFrame) -> DataFrame:
     split = pixels.otsu_thresholds(known, 9).select(*(F.col(f"image_id.{c}").alias(c) for c in LINE), F.col("threshold").alias("cut"))
     widest = known.groupBy("image_id").agg(F.max("v").alias("most"), F.min("v").alias("least"))
     widest = widest.select(*(F.col(f"image_id.{c}").alias(c) for c in LINE), "most", "least")
-    both = each.join(split, LINE, "left").join(widest, LINE, "left")
+    both = runs.met(runs.met(each, split, LINE, "left"), widest, LINE, "left")
     return both.withColumn("space", F.when(F.col("most") == F.col("least"), F.col("most")).otherwise(F.col("cut"))).drop("cut", "most", "least")
 
 
@@ -210,6 +210,6 @@ def tight_boxes(strips: DataFrame, boxes: DataFrame) -> DataFrame:
     wide = strips.where("x0 < x1").select("image_id", "strip", F.col("x0").alias("lo"), F.col("x1").alias("hi"))
     wide = wide.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / CELL), F.floor((F.col("hi") - 1) / CELL))))
     middle = boxes.withColumn("at", F.floor((F.col("x0") + F.col("x1") - 1) / 2)).withColumn("cell", F.floor(F.col("at") / CELL))
-    met = middle.join(wide, ["image_id", "cell"]).where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
+    met = runs.met(middle, wide, ["image_id", "cell"]).where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
     bounds = (F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     return met.groupBy("image_id", "strip").agg(*bounds, F.count("*").alias("n"))

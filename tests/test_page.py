@@ -45,6 +45,18 @@ def test_components_equal_the_kernel(spark, connectivity, seed):
     assert far == {(y, x): int(d) for (y, x), d in np.ndenumerate(raster.city_block(a)) if a[y, x]}
 
 
+def test_labels_do_not_go_through_the_driver(spark):
+    """However small the files of labels are, no join of them is a broadcast."""
+    rnd = np.random.RandomState(3)
+    a = (rnd.rand(30, 40) < 0.4).astype(np.uint8)
+    bits = image_rows(spark, a).cache()
+    boxes = page.line_components(bits, (4, 4, 2), 2)
+    for df in (runs.components(bits, 4), runs.seed_fill(bits.where("x % 5 = 0"), bits, 4), boxes, page.baselines(boxes), page.word_boxes(boxes)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan
+
+
 def test_components_without_ink_or_images(spark):
     paper = image_rows(spark, np.zeros((3, 4), np.uint8))
     assert pixels.components(paper, 8).count() == 0 and runs.distance(paper).count() == 0
