@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .recurrent import spread
+
 #: Edges this near to each other support one tab stop; a stop has this share of its page's boxes, and is alone within RADIUS.
 NEAR, SHARE, RADIUS = 4, 0.1, 40
 #: Empty rows between boxes of a column at which a new block begins.
@@ -52,7 +54,8 @@ def reading_order(boxes: DataFrame, stops: DataFrame | None = None, near: int =
     column, or left of it in its band, is read before it. Blocks are the boxes of a band's
     column without a break of more than gap rows, numbered in reading order.
     """
-    each = placed(boxes, tab_stops(boxes, near) if stops is None else stops, near)
+    # all windows below keep this dealing, whose tasks are not joined to few large ones
+    each = placed(spread(boxes, "page"), tab_stops(boxes, near) if stops is None else stops, near)
     page = Window.partitionBy("page")
     down = page.orderBy("y0", F.desc("spans"), "x0", "id", "x1", "y1")
     each = each.withColumn("band", F.sum(F.col("spans").cast("int")).over(down)).withColumn("c", F.when(F.col("spans"), -1).otherwise(F.col("col")))
