@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pixels as P
+from .recurrent import spread
 
 #: Factors that are one half, or one half again and again.
 HALVES = {0.5: 1, 0.25: 2, 0.125: 3, 0.0625: 4}
@@ -65,7 +66,9 @@ def summed(df: DataFrame, sizes: DataFrame, axis: str, kind: str, side: int, sca
     each = df.join(taps, ["image_id", axis])
     keys = ["image_id", "y" if axis == "x" else "x"]
     corner = F.max(F.when(F.col("t.first"), F.col("corner")))
-    out = each.groupBy(*keys, F.col("t.i").alias("i")).agg(F.sum(F.col("t.k") * F.col("total")).alias("total"), F.sum(F.col("t.k") * F.col("area")).alias("area"), corner.alias("corner"), F.max(F.col("far") | F.col("t.far")).alias("far"))
+    # weights multiply rows, so tasks are not to be joined by the few bytes they read
+    each = spread(each.withColumn("i", F.col("t.i")), *keys, "i")
+    out = each.groupBy(*keys, "i").agg(F.sum(F.col("t.k") * F.col("total")).alias("total"), F.sum(F.col("t.k") * F.col("area")).alias("area"), corner.alias("corner"), F.max(F.col("far") | F.col("t.far")).alias("far"))
     return out.withColumn(axis, F.col("i").cast("int")).drop("i")
 
 

@@ -23,3 +23,12 @@ def test_scales_of_nothing(spark):
     assert all(scaling.scale_gray(none, f).count() == 0 for f in (0.01, 0.4, 2.0, 1.3))
     with pytest.raises(ValueError):
         scaling.scale_gray(none, 0.0)
+
+
+def test_sums_and_pages_are_dealt_to_all_tasks(spark, sf):
+    """What reads few bytes but makes many rows, or sorts pages, keeps a stated number of tasks."""
+    from folioworks.plans import catalog, page_queries  # noqa: F401
+
+    for name in ("img_scale_4x", "page_blocks"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan
