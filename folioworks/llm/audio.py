@@ -12,11 +12,13 @@ Equal fingerprints are one class. The search (``alignments``, the registered que
 stated set of recordings as queries against all. Multi-index: every position of a recording
 gives six keys, its integer and the one ``REACH`` further without two of their four bytes, so
 that errors within two bytes do not hide it and 32 bits remain to tell recordings apart.
-Keys are joined; hits of a pair at each offset are its histogram. Offsets with ``min_votes``
-or more are tested for bit errors, and of those that pass the one with the most votes is the
-pair's alignment. A position that repeats the one before has no keys of its own, so silence
-and sustained tones do not multiply hits. The index is approximate; the README has its
-recall against all pairs at all offsets.
+Queries with frequent keys in common are packs; a pack and the recordings that share keys with
+it meet in a task, where hits of a pair at each offset are its histogram, so that neither hits
+nor pairs of a large group of near copies are rows. Offsets with ``min_votes`` or more are
+tested for bit errors, and of those that pass the one with the most votes is the pair's
+alignment. A position that repeats the one before has no keys of its own, so silence and
+sustained tones do not multiply hits. The index is approximate; the README has its recall
+against all pairs at all offsets.
 
 ``recordings_aligned`` groups recordings into components: with ``every`` it tests all pairs
 at all offsets in pairs of blocks (exact, quadratic), without it pairs with an equal integer.
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, integer_id
+from .common import components, cut, integer_id, join_groups
 from .neardup import BLOCK, FEW, Forest, block_pairs
 
 PITCHES, FILTERS, SPAN = 12, 16, 16
@@ -337,12 +339,148 @@ def keys(codes: DataFrame) -> DataFrame:
     return at.select(F.explode(each).alias("key"), "id", "t")
 
 
-def alignments(recordings: DataFrame, key: str, samples: str, queries: Column, rate: int | None = None, max_error: float = 0.15, min_overlap: int = 13, z: float = 5.5, min_votes: int = 2) -> tuple[DataFrame, DataFrame]:
-    """The search: (pairs, members).
+def spots(flat: np.ndarray, off: np.ndarray, rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, row, t) of the keys of rows, as ``keys`` makes them, with the row's group in the value."""
+    row = np.repeat(rows, np.diff(off)[rows])
+    t = np.arange(len(row)) - np.repeat(np.cumsum(np.diff(off)[rows]) - np.diff(off)[rows], np.diff(off)[rows])
+    full = t + REACH < np.diff(off)[row]
+    row, t = row[full], t[full]
+    at = off[row] + t
+    new = (t == 0) | (flat[at] != flat[at - 1]) | (flat[at + REACH] != flat[at - 1 + REACH])
+    row, t, at = row[new], t[new], at[new]
+    byte = [(flat >> np.uint32(8 * i)) & np.uint32(0xFF) for i in range(4)]
+    out = []
+    for k, (i, j) in enumerate(combinations(range(4), 2)):  # the two bytes that stay
+        half = (byte[i] << np.uint32(8) | byte[j]).astype(np.uint64)
+        out.append(half[at] << np.uint64(16) | half[at + REACH] | np.uint64(k) << np.uint64(32) | group[row].astype(np.uint64) << np.uint64(35))
+    return np.concatenate(out), np.tile(row, len(out)), np.tile(t, len(out))
+
+
+def histograms(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, shift, votes) of the rows a of left (sorted by value) and b of right with equal keys, from at most about ``most`` hits at once."""
+    low, high = (np.searchsorted(left[0], right[0], side) for side in ("left", "right"))
+    hit = np.flatnonzero(high > low)
+    right, low, n = [x[hit] for x in right], low[hit], (high - low)[hit]
+
+    def shifts(part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = n[part]
+        x = np.repeat(low[part] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return left[1][x], np.repeat(right[1][part], size), np.repeat(right[2][part], size) - left[2][x]
+
+    if not len(hit):
+        return
+    if n.sum() > most:
+        for side in (right, left):
+            rows = np.unique(side[1])
+            if len(rows) > 1:
+                upper = side[1] >= rows[len(rows) // 2]
+                for half in (~upper, upper):
+                    part = [x[half] for x in side]
+                    yield from histograms(left, part, most) if side is right else histograms(part, right, most)
+                return
+        least = -int(left[2].max())  # one pair: its histogram is summed over parts of its hits
+        votes = np.zeros(int(right[2].max()) - least + 1, np.int64)
+        for part in np.array_split(np.arange(len(n)), -(-int(n.sum()) // most)):
+            if len(part):
+                votes += np.bincount(shifts(slice(part[0], part[-1] + 1))[2] - least, minlength=len(votes))
+        shift = np.flatnonzero(votes)
+        yield np.full(len(shift), left[1][0]), np.full(len(shift), right[1][0]), shift + least, votes[shift]
+        return
+    a, b, shift = shifts(slice(None))
+    order = np.lexsort((shift, b, a))
+    a, b, shift = a[order], b[order], shift[order]
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(shift) != 0))))
+    yield a[first], b[first], shift[first], np.diff(np.append(first, len(a)))
+
+
+def wrong_bits(flat: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
+    """The number of differing bits of the n codes from x and from y on."""
+    out, i = np.zeros(len(n), np.int64), 0
+    end = np.cumsum(n)
+    while i < len(n):
+        done = end[i] - n[i]
+        j = max(i + 1, int(np.searchsorted(end, done + most, "right")))
+        size = n[i:j]
+        place = np.arange(size.sum()) - np.repeat(end[i:j] - size - done, size)
+        out[i:j] = np.add.reduceat(np.bitwise_count(flat[np.repeat(x[i:j], size) + place] ^ flat[np.repeat(y[i:j], size) + place]).astype(np.int64), end[i:j] - size - done)
+        i = j
+    return out
 
-    pairs(a, b, shift, votes, overlap, error): the class a of a query is aligned with the class
-    b; b's codes from ``shift`` on match a's. members(id, n_codes, class_id, rows, asked): every
-    recording with its class, the smallest id of those with its fingerprint.
+
+def aligned_in_groups(max_error: float, min_overlap: int, z: float | None, min_votes: int, summed: bool):
+    """Kernel of groups of queries and what may be aligned with them.
+
+    Gives their aligned pairs, each with its best offset, or with ``summed`` the number and the
+    best of each query's.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        group = np.unique(np.stack([table[c].to_numpy() for c in ("pack", "part")]), axis=1, return_inverse=True)[1].ravel()
+        ids, asked = table["id"].to_numpy(), table["asked"].to_numpy()
+        lists = table["codes"].combine_chunks()
+        off = lists.offsets.to_numpy().astype(np.int64)
+        flat, off = lists.values.to_numpy()[off[0] : off[-1]].astype(np.uint32), off - off[0]
+        size = np.diff(off)
+        left = spots(flat, off, np.flatnonzero(asked), group)
+        order = np.argsort(left[0], kind="stable")
+        found: list[list[np.ndarray]] = []
+        for a, b, shift, votes in histograms([x[order] for x in left], spots(flat, off, np.flatnonzero(~asked), group), HITS):
+            n = np.minimum(size[a] - np.maximum(-shift, 0), size[b] - np.maximum(shift, 0))
+            use = (votes >= min_votes) & (n >= max(1, min_overlap)) & (ids[a] != ids[b])
+            a, b, shift, votes, n = (x[use] for x in (a, b, shift, votes, n))
+            error = wrong_bits(flat, off[a] + np.maximum(-shift, 0), off[b] + np.maximum(shift, 0), n, HITS) / (32 * n)
+            use = error <= (max_error if z is None else np.minimum(max_error, UNRELATED[0] - z * UNRELATED[1] / np.sqrt(n)))
+            rows = [x[use] for x in (a, b, shift, votes, n, error)]
+            best = np.lexsort((rows[2], rows[5], -rows[3], rows[1], rows[0]))
+            rows = [x[best] for x in rows]
+            found.append([x[np.concatenate(([True], (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)))[: len(x)]] for x in rows])
+        a, b, shift, votes, n, error = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64) for _ in range(6))
+        links = np.ones(len(a), np.int64)
+        if summed and len(a):
+            best = np.lexsort((ids[b], error, -votes, a))
+            first = np.flatnonzero(np.concatenate(([True], np.diff(a[best]) != 0)))
+            links = np.diff(np.append(first, len(a)))
+            a, b, shift, votes, n, error = (x[best][first] for x in (a, b, shift, votes, n, error))
+        columns = [(ids[a], "int64"), (links, "int64"), (ids[b], "int64"), (shift, "int32"), (votes, "int64"), (n, "int32"), (error, "float64")]
+        return pa.table([pa.array(x.astype(t)) for x, t in columns], names=["a", "links", "b", "shift", "votes", "overlap", "error"])
+
+    return run
+
+
+#: Queries of a pack, codes of a part of what may be aligned with a pack, and hits or codes that a kernel holds at once.
+PACK, PART_CODES, HITS = 512, 1 << 14, 1 << 20
+#: Rounds in which queries move to a larger pack that has one in KEYS_IN or more of their keys.
+MOVES, KEYS_IN = 2, 4
+
+
+def packs_of(left: DataFrame) -> DataFrame:
+    """(a, pack) of the queries in left(key, a), a written table.
+
+    Queries are together by the most frequent of their keys that PACK queries or fewer have
+    (else by the least frequent). Then each moves to the pack that is the largest with most of
+    its keys. So near copies share a pack, and what has their keys meets that and not each
+    query. Packs of more than PACK queries are dealt to several.
+    """
+    n, key = F.col("n"), F.col("key")
+    of = left.join(left.groupBy("key").agg(F.count("*").alias("n")), "key")
+    packs = of.groupBy("a").agg(F.max_by("key", F.struct(F.when(n <= PACK, n).otherwise(-n), key)).alias("pack"), F.count("*").alias("keys"))
+    for _ in range(MOVES):
+        sized = cut(packs.join(packs.groupBy("pack").agg(F.count("*").alias("n")), "pack"))
+        largest = left.join(sized.select("a", "pack", "n"), "a").groupBy("key").agg(F.max(F.struct("n", "pack")).alias("m"))
+        to = left.join(largest, "key").groupBy("a", "m").agg(F.count("*").alias("shared")).groupBy("a").agg(F.max(F.struct("shared", "m.n", "m.pack")).alias("to"))
+        move = (F.col("to.shared") * KEYS_IN >= F.col("keys")) & (F.col("to.n") > n)
+        packs = sized.join(to, "a").select("a", F.when(move, F.col("to.pack")).otherwise(F.col("pack")).alias("pack"), "keys")
+    packs = cut(packs)
+    packs = packs.join(packs.groupBy("pack").agg(F.count("*").alias("n")), "pack")
+    return packs.select("a", F.xxhash64("pack", F.pmod(F.xxhash64("a", F.lit("pack")), F.ceil(n / PACK))).alias("pack"))
+
+
+def search(recordings: DataFrame, key: str, samples: str, queries: Column, rate: int | None, max_error: float, min_overlap: int, z: float | None, min_votes: int, summed: bool) -> tuple[DataFrame, DataFrame]:
+    """``alignments``, or with ``summed`` ``best_alignments``.
+
+    Key hits are not rows. Queries with frequent keys in common are packs; a recording meets a
+    pack if ``min_votes`` or more of its keys are in it, as it has no alignment otherwise. A pack
+    and a part of what it meets go to a kernel, which makes the hits again from the codes.
     """
     rows = cut(fingerprints(recordings.where(F.col(key).isNotNull()), key, samples, rate).withColumn("own", F.sha2(F.concat_ws(",", F.col("codes").cast("array<string>")), 256)))
     asked = recordings.where(queries).select(integer_id(recordings, key).alias("q")).distinct()
@@ -353,12 +491,41 @@ def alignments(recordings: DataFrame, key: str, samples: str, queries: Column, r
     reps = members.where("n_codes > 0 and id = class_id").select(F.col("id").alias("rep"))
     codes = cut(rows.join(reps, F.col("id") == F.col("rep")).groupBy("id").agg(F.min(F.struct("own", "codes")).alias("r")).select("id", "r.codes"))
     wanted = members.where("asked and n_codes > 0").select(F.col("class_id").alias("want")).distinct()
-    left = keys(codes.join(wanted, F.col("id") == F.col("want"), "left_semi")).select("key", F.col("id").alias("a"), F.col("t").alias("ta"))
-    right = keys(codes).select("key", F.col("id").alias("b"), F.col("t").alias("tb"))
-    votes = left.join(right, "key").where("a <> b").groupBy("a", "b", (F.col("tb") - F.col("ta")).alias("shift")).agg(F.count("*").alias("votes"))
-    found = aligned(cut(votes.where(F.col("votes") >= min_votes)), codes, max_error, min_overlap, z)
-    best = F.max_by(F.struct("shift", "votes", F.col("n").alias("overlap"), "error"), F.struct("votes", -F.col("error"), -F.col("shift"))).alias("m")
-    return found.groupBy("a", "b").agg(best).select("a", "b", "m.*"), members
+    left = cut(keys(codes.join(wanted, F.col("id") == F.col("want"), "left_semi")).select("key", F.col("id").alias("a")).distinct())
+    packs = cut(packs_of(left))
+    met = keys(codes).select("key", "id").join(left.join(packs, "a").select("key", "pack").distinct(), "key")
+    met = met.groupBy("pack", "id").agg(F.count("*").alias("n")).where(F.col("n") >= min_votes).select("pack", "id")
+    met = cut(met.join(members.select("id", "n_codes"), "id"))
+    parts = met.groupBy("pack").agg(F.count("*").alias("met"), F.sum("n_codes").alias("codes"))
+    parts = cut(parts.select("pack", "met", "codes", F.ceil(F.col("codes") / PART_CODES).alias("parts")))
+    bins = max(1, -(-2 * (parts.agg(F.sum("codes")).first()[0] or 0) // PART_CODES))
+    right = join_groups(met.select("pack", "id"), parts.select("pack", "met", "parts"), "pack", "met").select("pack", F.pmod(F.xxhash64("id", F.lit("part")), "parts").alias("part"), F.lit(False).alias("asked"), "id")
+    own = packs.join(parts, "pack").select("pack", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asked"), F.col("a").alias("id"))
+    both = own.unionByName(right).join(codes, "id").withColumn("bin", F.pmod(F.xxhash64("pack", "part"), F.lit(bins)))
+    kernel = aligned_in_groups(max_error, min_overlap, z, min_votes, summed)
+    return both.groupBy("bin").applyInArrow(kernel, "a long, links long, b long, shift int, votes long, overlap int, error double"), members
+
+
+def alignments(recordings: DataFrame, key: str, samples: str, queries: Column, rate: int | None = None, max_error: float = 0.15, min_overlap: int = 13, z: float | None = 5.5, min_votes: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The search: (pairs, members).
+
+    pairs(a, b, shift, votes, overlap, error): the class a of a query is aligned with the class
+    b; b's codes from ``shift`` on match a's. members(id, n_codes, class_id, rows, asked): every
+    recording with its class, the smallest id of those with its fingerprint.
+    """
+    pairs, members = search(recordings, key, samples, queries, rate, max_error, min_overlap, z, min_votes, False)
+    return pairs.drop("links"), members
+
+
+def best_alignments(recordings: DataFrame, key: str, samples: str, queries: Column, rate: int | None = None, max_error: float = 0.15, min_overlap: int = 13, z: float | None = 5.5, min_votes: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The search without its pairs: (found, members).
+
+    found(a, links, match_id, shift, votes, overlap, error): how many classes the class a of a
+    query is aligned with, and of these alignments the one with the most votes.
+    """
+    some, members = search(recordings, key, samples, queries, rate, max_error, min_overlap, z, min_votes, True)
+    best = F.max_by(F.struct(F.col("b").alias("match_id"), "shift", "votes", "overlap", "error"), F.struct("votes", -F.col("error"), -F.col("b"))).alias("m")
+    return some.groupBy("a").agg(F.sum("links").alias("links"), best).select("a", "links", "m.*"), members
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,8 +535,6 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     its class, the rows of the class, the number of other classes it is aligned with, and the
     alignment with the most votes.
     """
-    pairs, members = alignments(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
-    best = F.max_by(F.struct(F.col("b").alias("match_id"), "shift", "votes", "overlap", "error"), F.struct("votes", -F.col("error"), -F.col("b"))).alias("m")
-    found = pairs.groupBy("a").agg(F.count("*").alias("links"), best)
+    found, members = best_alignments(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
     out = members.where("asked").join(found, F.col("class_id") == F.col("a"), "left")
-    return out.select(F.col("id").alias("vec_id"), F.col("n_codes").cast("long").alias("n_codes"), "class_id", F.col("rows").alias("class_rows"), F.coalesce("links", F.lit(0)).alias("links"), "m.match_id", "m.shift", "m.votes", "m.overlap", F.round("m.error", 9).alias("error"))
+    return out.select(F.col("id").alias("vec_id"), F.col("n_codes").cast("long").alias("n_codes"), "class_id", F.col("rows").alias("class_rows"), F.coalesce("links", F.lit(0)).alias("links"), "match_id", "shift", "votes", "overlap", F.round("error", 9).alias("error"))

@@ -617,6 +617,62 @@ def test_search_on_awkward_rows(spark):
         audio.alignments(df.withColumn("vec_id", F.col("vec_id").cast("string")), "vec_id", "embedding", F.lit(True))
 
 
+def rows_of_joins(spark, run):
+    """The most rows that a join makes in what run() executes, by Spark's own count."""
+    store, bus, most = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus(), 0
+
+    def executions():
+        bus.waitUntilEmpty()
+        done = store.executionsList()
+        return {done.apply(i).executionId() for i in range(done.size())}
+
+    before = executions()
+    run()
+    for i in executions() - before:
+        nodes, values = store.planGraph(i).allNodes(), store.executionMetrics(i)
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            metrics = [node.metrics().apply(k) for k in range(node.metrics().size())] if "Join" in node.name() else []
+            counts = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+            most = max([most, *(int(v.get().replace(",", "")) for v in counts if v.isDefined())])
+    return most
+
+
+def test_search_of_near_copies(spark, tmp_path, monkeypatch):
+    """A group of near copies: twice its size makes about twice the rows, not four times; all links are found and counted, in parts and small steps too."""
+    rnd = np.random.RandomState(3)
+    base, made = rnd.randn(64) * 0.12, []
+    for size in (1000, 2000):
+        x = base + rnd.randn(size, 64) * 0.011
+        spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/{size}/embeddings.parquet")
+        rows = {}
+        made.append(rows_of_joins(spark, lambda: rows.update((r.vec_id, r) for r in llm.QUERIES["op6_fingerprints"](spark, f"{tmp_path}/{size}").collect())))  # noqa: B023
+        if size == 1000:
+            fp = {i: audio.fingerprint(audio.chroma_of_bins(v)) for i, v in enumerate(x)}
+            want, got = collections.Counter(i for i, _ in searched(fp, range(0, size, 100))), rows
+    assert made[1] <= 2.8 * made[0] and sum(r.links for r in rows.values()) > 10_000
+    assert all(got[i].links <= want[i] for i in want) and sum(got[i].links for i in want) >= 0.9 * sum(want.values())
+    for name, value in (("PACK", 20), ("PART_CODES", 5000), ("HITS", 20_000)):
+        monkeypatch.setattr(audio, name, value)
+    assert {r.vec_id: r for r in llm.QUERIES["op6_fingerprints"](spark, f"{tmp_path}/1000").collect()} == got
+    pairs, _ = audio.alignments(spark.read.parquet(f"{tmp_path}/1000/embeddings.parquet"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+    assert {r.a: r["count"] for r in pairs.groupBy("a").count().collect()} == {i: r.links for i, r in got.items() if r.links}
+
+
+def test_histograms_in_steps():
+    """Hits of equal keys by offset, in one step, in many, and for a pair with more hits than a step."""
+    rnd = np.random.RandomState(4)
+    codes = [rnd.randint(0, 3, rnd.randint(0, 60)).astype(np.uint32) * np.uint32(0x01010101) for _ in range(12)]
+    off = np.concatenate(([0], np.cumsum([len(c) for c in codes])))
+    group = np.arange(12) % 2
+    left, right = (audio.spots(np.concatenate(codes), off, rows, group) for rows in (np.arange(4), np.arange(4, 12)))
+    left = [x[np.argsort(left[0], kind="stable")] for x in left]
+    want = collections.Counter((int(a), int(b), int(t - s)) for v, a, s in zip(*left) for w, b, t in zip(*right) if v == w)
+    assert len(want) > 100 and all(a % 2 == b % 2 for a, b, _ in want)
+    for most in (1 << 20, 50, 3):
+        got = [(int(a), int(b), int(s), int(n)) for part in audio.histograms(left, right, most) for a, b, s, n in zip(*part)]
+        assert len(got) == len(want) and {(a, b, s): n for a, b, s, n in got} == want
+
+
 # -- 7: mixing ---------------------------------------------------------------
 
 
