@@ -407,6 +407,16 @@ def wrong_bits(flat: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, mo
     return out
 
 
+def of_each(rows: list[np.ndarray], ids: np.ndarray) -> list[np.ndarray]:
+    """The best of each a of (a, b, shift, votes, n, error, links), with the sum of its links."""
+    a, b, _, votes, _, error, links = rows
+    if not len(a):
+        return rows
+    best = np.lexsort((ids[b], error, -votes, a))
+    first = np.flatnonzero(np.concatenate(([True], np.diff(a[best]) != 0)))
+    return [x[best][first] for x in rows[:-1]] + [np.add.reduceat(links[best], first)]
+
+
 def aligned_in_groups(max_error: float, min_overlap: int, z: float | None, min_votes: int, summed: bool):
     """Kernel of groups of queries and what may be aligned with them.
 
@@ -433,46 +443,43 @@ def aligned_in_groups(max_error: float, min_overlap: int, z: float | None, min_v
             rows = [x[use] for x in (a, b, shift, votes, n, error)]
             best = np.lexsort((rows[2], rows[5], -rows[3], rows[1], rows[0]))
             rows = [x[best] for x in rows]
-            found.append([x[np.concatenate(([True], (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)))[: len(x)]] for x in rows])
-        a, b, shift, votes, n, error = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64) for _ in range(6))
-        links = np.ones(len(a), np.int64)
-        if summed and len(a):
-            best = np.lexsort((ids[b], error, -votes, a))
-            first = np.flatnonzero(np.concatenate(([True], np.diff(a[best]) != 0)))
-            links = np.diff(np.append(first, len(a)))
-            a, b, shift, votes, n, error = (x[best][first] for x in (a, b, shift, votes, n, error))
+            rows = [x[np.concatenate(([True], (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)))[: len(x)]] for x in rows]
+            rows.append(np.ones(len(rows[0]), np.int64))
+            found.append(of_each(rows, ids) if summed else rows)
+        rows = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 7
+        a, b, shift, votes, n, error, links = of_each(rows, ids) if summed else rows
         columns = [(ids[a], "int64"), (links, "int64"), (ids[b], "int64"), (shift, "int32"), (votes, "int64"), (n, "int32"), (error, "float64")]
         return pa.table([pa.array(x.astype(t)) for x, t in columns], names=["a", "links", "b", "shift", "votes", "overlap", "error"])
 
     return run
 
 
-#: Queries of a pack, codes of a part of what may be aligned with a pack, and hits or codes that a kernel holds at once.
-PACK, PART_CODES, HITS = 512, 1 << 14, 1 << 20
+#: Codes of a pack of queries and of a part of what may be aligned with it, and hits or codes that a kernel holds at once.
+PACK_CODES, PART_CODES, HITS = 1 << 17, 1 << 14, 1 << 20
 #: Rounds in which queries move to a larger pack that has one in KEYS_IN or more of their keys.
 MOVES, KEYS_IN = 2, 4
 
 
 def packs_of(left: DataFrame) -> DataFrame:
-    """(a, pack) of the queries in left(key, a), a written table.
+    """(a, pack) of the queries in left(key, a, codes), a written table with the number of their codes.
 
-    Queries are together by the most frequent of their keys that PACK queries or fewer have
-    (else by the least frequent). Then each moves to the pack that is the largest with most of
+    Queries are together by the most frequent of their keys that queries of PACK_CODES or fewer
+    have (else by the least frequent). Then each moves to the pack that is the largest with most of
     its keys. So near copies share a pack, and what has their keys meets that and not each
-    query. Packs of more than PACK queries are dealt to several.
+    query. Packs of more than PACK_CODES are dealt to several.
     """
     n, key = F.col("n"), F.col("key")
-    of = left.join(left.groupBy("key").agg(F.count("*").alias("n")), "key")
-    packs = of.groupBy("a").agg(F.max_by("key", F.struct(F.when(n <= PACK, n).otherwise(-n), key)).alias("pack"), F.count("*").alias("keys"))
+    of = left.join(left.groupBy("key").agg(F.sum("codes").alias("n")), "key")
+    packs = of.groupBy("a").agg(F.max_by("key", F.struct(F.when(n <= PACK_CODES, n).otherwise(-n), key)).alias("pack"), F.count("*").alias("keys"), F.max("codes").alias("codes"))
     for _ in range(MOVES):
-        sized = cut(packs.join(packs.groupBy("pack").agg(F.count("*").alias("n")), "pack"))
+        sized = cut(packs.join(packs.groupBy("pack").agg(F.sum("codes").alias("n")), "pack"))
         largest = left.join(sized.select("a", "pack", "n"), "a").groupBy("key").agg(F.max(F.struct("n", "pack")).alias("m"))
         to = left.join(largest, "key").groupBy("a", "m").agg(F.count("*").alias("shared")).groupBy("a").agg(F.max(F.struct("shared", "m.n", "m.pack")).alias("to"))
         move = (F.col("to.shared") * KEYS_IN >= F.col("keys")) & (F.col("to.n") > n)
-        packs = sized.join(to, "a").select("a", F.when(move, F.col("to.pack")).otherwise(F.col("pack")).alias("pack"), "keys")
+        packs = sized.join(to, "a").select("a", F.when(move, F.col("to.pack")).otherwise(F.col("pack")).alias("pack"), "keys", "codes")
     packs = cut(packs)
-    packs = packs.join(packs.groupBy("pack").agg(F.count("*").alias("n")), "pack")
-    return packs.select("a", F.xxhash64("pack", F.pmod(F.xxhash64("a", F.lit("pack")), F.ceil(n / PACK))).alias("pack"))
+    packs = packs.join(packs.groupBy("pack").agg(F.sum("codes").alias("n")), "pack")
+    return packs.select("a", F.xxhash64("pack", F.pmod(F.xxhash64("a", F.lit("pack")), F.ceil(n / PACK_CODES))).alias("pack"))
 
 
 def search(recordings: DataFrame, key: str, samples: str, queries: Column, rate: int | None, max_error: float, min_overlap: int, z: float | None, min_votes: int, summed: bool) -> tuple[DataFrame, DataFrame]:
@@ -491,7 +498,8 @@ def search(recordings: DataFrame, key: str, samples: str, queries: Column, rate:
     reps = members.where("n_codes > 0 and id = class_id").select(F.col("id").alias("rep"))
     codes = cut(rows.join(reps, F.col("id") == F.col("rep")).groupBy("id").agg(F.min(F.struct("own", "codes")).alias("r")).select("id", "r.codes"))
     wanted = members.where("asked and n_codes > 0").select(F.col("class_id").alias("want")).distinct()
-    left = cut(keys(codes.join(wanted, F.col("id") == F.col("want"), "left_semi")).select("key", F.col("id").alias("a")).distinct())
+    left = keys(codes.join(wanted, F.col("id") == F.col("want"), "left_semi")).select("key", "id").distinct()
+    left = cut(left.join(members.select("id", "n_codes"), "id").select("key", F.col("id").alias("a"), F.col("n_codes").alias("codes")))
     packs = cut(packs_of(left))
     met = keys(codes).select("key", "id").join(left.join(packs, "a").select("key", "pack").distinct(), "key")
     met = met.groupBy("pack", "id").agg(F.count("*").alias("n")).where(F.col("n") >= min_votes).select("pack", "id")

@@ -651,7 +651,7 @@ def test_search_of_near_copies(spark, tmp_path, monkeypatch):
             want, got = collections.Counter(i for i, _ in searched(fp, range(0, size, 100))), rows
     assert made[1] <= 2.8 * made[0] and sum(r.links for r in rows.values()) > 10_000
     assert all(got[i].links <= want[i] for i in want) and sum(got[i].links for i in want) >= 0.9 * sum(want.values())
-    for name, value in (("PACK", 20), ("PART_CODES", 5000), ("HITS", 20_000)):
+    for name, value in (("PACK_CODES", 520), ("PART_CODES", 5000), ("HITS", 20_000)):
         monkeypatch.setattr(audio, name, value)
     assert {r.vec_id: r for r in llm.QUERIES["op6_fingerprints"](spark, f"{tmp_path}/1000").collect()} == got
     pairs, _ = audio.alignments(spark.read.parquet(f"{tmp_path}/1000/embeddings.parquet"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
