@@ -9,6 +9,11 @@ from ..plans.session import cut
 
 #: Rows of query boxes, or of queries, that every task may get (of seven longs at most, so under 24 MB).
 FEW = 1 << 18
+#: Boxes that a task gets, in the mean: it holds them without a spill, and a dictionary of 1 MB (Parquet's) their ids.
+DEALT = 100_000
+#: An id's boxes are held against each other up to so many; of more, its pairs are.
+HELD = 4
+BOX = ["x0", "y0", "x1", "y1"]
 
 
 def cells(boxes: DataFrame, size: int, bounds: tuple[int, int, int, int]) -> DataFrame:
@@ -36,14 +41,13 @@ def classes(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     Queries of one and the same box are a class, c being its number from 0; a query of several
     boxes is a class of its own, below 0. So a query is in one class only.
     """
-    box = ["x0", "y0", "x1", "y1"]
-    solid = queries.where("x0 < x1 and y0 < y1").select("q", *box).distinct()
+    solid = queries.where("x0 < x1 and y0 < y1").select("q", *BOX).distinct()
     each = cut(solid.withColumn("alone", F.count("*").over(Window.partitionBy("q")) == 1))
     one, several = each.where("alone"), each.where("not alone")
-    shared = cut(one.select(*box).distinct().withColumn("c", F.monotonically_increasing_id()))
+    shared = cut(one.select(*BOX).distinct().withColumn("c", F.monotonically_increasing_id()))
     own = cut(several.select(F.col("q").alias("of")).distinct().withColumn("c", -1 - F.monotonically_increasing_id()))
-    members = one.join(shared, box).select("q", "c").unionByName(own.select(F.col("of").alias("q"), "c"))
-    return shared.unionByName(several.join(own, F.col("q").eqNullSafe(F.col("of"))).select(*box, "c")), members
+    members = one.join(shared, BOX).select("q", "c").unionByName(own.select(F.col("of").alias("q"), "c"))
+    return shared.unionByName(several.join(own, F.col("q").eqNullSafe(F.col("of"))).select(*BOX, "c")), members
 
 
 def overlapping(queries: DataFrame, boxes: DataFrame, size: int, bounds: tuple[int, int, int, int]) -> DataFrame:
@@ -51,28 +55,36 @@ def overlapping(queries: DataFrame, boxes: DataFrame, size: int, bounds: tuple[i
 
     An equi-join on cells with the exact test as residual. A pair that shares several cells is
     kept in one of them (the one with its intersection's corner). Equal query boxes are joined
-    once, and pairs are sorted out where an id has several boxes, both before the queries of
-    a class take its pairs; pairs are then written as they are found. Boxes are dealt by
-    id, by which they stay where classes are few enough to go to every task.
+    once; of an id's boxes that meet the same query the first makes the pair, both before the
+    queries of a class take its pairs; pairs are then written as they are found. Boxes are dealt by
+    id, by which they stay where classes are few enough to go to every task. There they are
+    sorted by place: neighbours have nearly the same queries, so that a file of the pairs, which
+    are far more than the boxes, takes little more than the boxes do.
     """
     spark = boxes.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    x0, y0, x1, y1 = bounds
     shapes, members = classes(queries)
-    shapes, few = _few(cells(shapes, size, bounds).select("c", "cx", "cy", *(F.col(c).alias("q" + c) for c in ("x0", "y0", "x1", "y1"))))
+    shapes, few = _few(cells(shapes, size, bounds).select("c", "cx", "cy", *(F.col(c).alias("q" + c) for c in BOX)))
     members, light = _few(members)
     # a stated number of tasks: pairs are far more than the bytes of the boxes let expect
-    dealt = boxes.select("id", "x0", "y0", "x1", "y1").where("x0 < x1 and y0 < y1").repartition(parts, "id").distinct()
-    dealt = dealt.withColumn("n", F.count("*").over(Window.partitionBy("id")))
-    x0, y0, x1, y1 = bounds
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-boxes.count() // DEALT))
+    dealt = boxes.select("id", *BOX).where("x0 < x1 and y0 < y1").repartition(parts, "id").distinct()
+    # with each box those before it of the same id, null where there is none
+    by = Window.partitionBy("id")
+    dealt = dealt.select("*", *(F.lag(c, k).over(by.orderBy(*BOX)).alias(f"{c}_{k}") for k in range(1, HELD) for c in BOX)).withColumn("n", F.count("*").over(by))
     nx, ny = -(-(x1 - x0) // size), -(-(y1 - y0) // size)
     corner = lambda a, b, low, n: F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((F.greatest(a, b) - low) / size)))
+    meets = lambda k: "x0{0} < qx1 and qx0 < x1{0} and y0{0} < qy1 and qy0 < y1{0}".format(k)
 
-    def met(b: DataFrame) -> DataFrame:
-        hit = cells(b, size, bounds).join(F.broadcast(shapes) if few else shapes, ["cx", "cy"]).where("x0 < qx1 and qx0 < x1 and y0 < qy1 and qy0 < y1")
-        return hit.where((F.col("cx") == corner("x0", "qx0", x0, nx)) & (F.col("cy") == corner("y0", "qy0", y0, ny))).select("c", "id")
+    def met(b: DataFrame, held: int) -> DataFrame:
+        """(c, id), without pairs that one of the held boxes before makes; the tests that rule out most come first."""
+        first = (F.col("cx") == corner("x0", "qx0", x0, nx)) & (F.col("cy") == corner("y0", "qy0", y0, ny))
+        for k in range(1, held):
+            first &= ~F.coalesce(F.expr(meets(f"_{k}")), F.lit(False))
+        return cells(b, size, bounds).join(F.broadcast(shapes) if few else shapes, ["cx", "cy"]).where(F.expr(meets("")) & first).select("c", "id")
 
+    single = met(dealt.where(F.col("n") <= HELD).sortWithinPartitions(F.floor(F.col("y0") * 4 / size), *BOX), HELD)
     # a class of several boxes may meet a box more than once
-    single = met(dealt.where("n = 1"))
     single = single if shapes.where("c < 0").isEmpty() else single.distinct()
-    found = single.unionByName(met(dealt.where("n > 1")).distinct())
+    found = single.unionByName(met(dealt.where(F.col("n") > HELD), 1).distinct())
     return found.join(F.broadcast(members) if light else members, "c").select("q", "id")

@@ -5,6 +5,7 @@ import math
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,30 @@ def test_equal_query_boxes_are_joined_once(spark, few, monkeypatch):
     assert plan.lstrip().startswith("Project [q#") and "Join" in plan.splitlines()[1]
 
 
+def test_pairs_of_boxes_take_little_disk(spark, tmp_path, monkeypatch):
+    """Tasks get a bounded number of boxes, and pairs lie so that files of them are small; pairs are right where ids have one, few or many boxes."""
+    monkeypatch.setattr(spatial, "DEALT", 2000)
+    rnd = np.random.RandomState(3)
+    places = lambda n, w, h: [(int(x), int(y)) for x, y in zip(rnd.randint(0, w, n), rnd.randint(0, h, n), strict=True)]
+    boxes = [(int(rnd.randint(1 << 40)), x, y, x + int(rnd.randint(1, 50)), y + int(rnd.randint(1, 8)) * 5) for x, y in places(10_000, 1000, 1400)]
+    for k in range(2, 9):  # ids of k boxes, near each other
+        boxes += [(k, x + 15 * i, y, x + 15 * i + 30, y + 20) for x, y in [places(1, 800, 1300)[0]] for i in range(k)]
+    shapes = [(x, y, x + 300, y + 300) for x, y in places(60, 900, 1300)]
+    asked = [(60 * k + i, *b) for k in range(4) for i, b in enumerate(shapes)]
+    box, ask = (spark.createDataFrame(r, f"{k} long, x0 long, y0 long, x1 long, y1 long") for k, r in (("id", boxes), ("q", asked)))
+    out = spatial.overlapping(ask, box, 64, (0, 0, 1000, 1400))
+    out.write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs")
+    met = {(i, id_) for i, (a0, b0, a1, b1) in enumerate(shapes) for id_, x0, y0, x1, y1 in boxes if x0 < a1 and a0 < x1 and y0 < b1 and b0 < y1}
+    got = pairs.toPandas()
+    assert len(got) == 4 * len(met) and set(zip(got.q, got.id, strict=True)) == {(60 * k + i, id_) for i, id_ in met for k in range(4)}
+    tasks = out.rdd.getNumPartitions()
+    assert tasks >= len(boxes) / 2000
+    pairs.repartition(tasks, "id").sortWithinPartitions("id").write.parquet(f"{tmp_path}/by_id")
+    of_q = lambda name: sum(pq.read_metadata(p).row_group(0).column(0).total_compressed_size for p in (tmp_path / name).glob("*.parquet") if pq.read_metadata(p).num_rows)
+    assert of_q("pairs") < 0.8 * of_q("by_id")
+
+
 def test_decoding_equals_kernel(spark, sf):
     probs = adapters.probs8(spark, sf)
     got = {(r.line_id, r.idx): (r.start, r.end, r.certainty) for r in decode.scores(probs, 7).collect()}
