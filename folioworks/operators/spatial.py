@@ -58,8 +58,8 @@ def overlapping(queries: DataFrame, boxes: DataFrame, size: int, bounds: tuple[i
     once; of an id's boxes that meet the same query the first makes the pair, both before the
     queries of a class take its pairs; pairs are then written as they are found. Boxes are dealt by
     id, by which they stay where classes are few enough to go to every task. There they are
-    sorted by place: neighbours have nearly the same queries, so that a file of the pairs, which
-    are far more than the boxes, takes little more than the boxes do.
+    sorted by place: neighbours have nearly the same queries, so that files of the pairs, which
+    are far more than the boxes, compress well.
     """
     spark = boxes.sparkSession
     x0, y0, x1, y1 = bounds
